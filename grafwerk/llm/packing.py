@@ -83,7 +83,8 @@ def _configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tup
     Simplex over the covering problem with columns priced by an unbounded knapsack.
     """
     k = len(sizes)
-    basis, rest = np.zeros((k, k)), demand.copy()
+    # Products by einsum: threaded linear algebra can stall in a process that runs a JVM.
+    basis, rest, steps = np.zeros((k, k)), demand.copy(), []
     while rest.any():  # a first solution: fill greedily, each pattern until it exhausts a size
         space, column = capacity, np.zeros(k)
         for i in np.flatnonzero(rest):
@@ -92,9 +93,16 @@ def _configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tup
         i = int(many.argmin())
         basis[:, i], rest = column, np.maximum(rest - many[i] * column, 0)
         rest[i] = 0
+        steps.append(i)
     for i in np.flatnonzero(~basis.any(0)):  # exhausted along with another
         basis[i, i] = capacity // sizes[i]
-    inverse = np.linalg.inv(basis)
+        steps.append(int(i))
+    inverse = np.eye(k)  # a later column has no size that an earlier one exhausted
+    for i in steps:
+        inverse[i] /= basis[i, i]
+        others = np.flatnonzero(basis[:, i])
+        others = others[others != i]
+        inverse[others] -= np.outer(basis[others, i], inverse[i])
     for _ in range(ROUNDS):
         worth = inverse.sum(0)
         best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
@@ -111,14 +119,14 @@ def _configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tup
             else:
                 column[choice[c]] += 1
                 c -= int(sizes[choice[c]])
-        step, used = inverse @ column, inverse @ demand
+        step, used = np.einsum("ij,j->i", inverse, column), np.einsum("ij,j->i", inverse, demand)
         ratio = np.where(step > 1e-9, used / np.where(step > 1e-9, step, 1), np.inf)
         out = int(ratio.argmin())
         basis[:, out] = column
         row = inverse[out] / step[out]
         inverse -= np.outer(step, row)
         inverse[out] = row
-    return basis.T, np.maximum(np.linalg.solve(basis, demand), 0)
+    return basis.T, np.maximum(np.einsum("ij,j->i", inverse, demand), 0)
 
 
 def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, list[int]]]:
