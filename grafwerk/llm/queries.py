@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grafwerk.llm import bpe, chat, linededup, packing, simhash, substring
+from grafwerk.llm import ann, bpe, chat, linededup, packing, quality, simhash, substring, topk, warc
 from grafwerk.llm.shared import prepare, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -28,6 +28,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary_path(), keep_ids=False)
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     said = r"\### Assistant: </turn> ok"
@@ -46,6 +51,11 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     kept = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -63,13 +73,24 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", _sha("text").alias("kept_sha256"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    back = warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe, op3_chat, op5_lines, op6_simhash, op7_substring, op10_packing]
+    found = [op1_bpe, op2_ann, op3_chat, op4_quality, op5_lines, op6_simhash, op7_substring, op8_warc, op9_topk, op10_packing]
     return {f.__name__: f for f in found}
 
 
@@ -111,5 +132,25 @@ FROM w LEFT JOIN a ON a.doc_id = w.doc_id
 """
 
 
+OP8_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT *, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY payload) AS last FROM p),
+g AS (SELECT *, list_transform(generate_series(0, 7), lambda i: ('0x' || substr(hex, (i * 5 + 1)::INT, 5))::BIGINT) AS five FROM d)
+SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((five[(i // 4 + 1)::INT] >> ((3 - i % 4) * 5)::INT) & 31) + 1)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM g
+"""
+
+OP9_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": OP3_SQL, "op5_lines": OP5_SQL, "op7_substring": OP7_SQL}
+    return {"op3_chat": OP3_SQL, "op5_lines": OP5_SQL, "op7_substring": OP7_SQL, "op8_warc": OP8_SQL, "op9_topk": OP9_SQL}
