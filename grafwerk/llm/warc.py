@@ -95,7 +95,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
             for page_id, url, payload, refers_to, revisit in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "refers_to", "revisit"))):
                 if out is None:
                     name = f"{base}/part-{context.partitionId():06d}-{context.taskAttemptId()}-{number}.warc.zst"
-                    out, n = store.open_output_stream(name), 0
+                    out, n = store.open_output_stream(name, compression=None), 0
                     size = out.write(leading_frame(dictionary))
                 frame = packer.compress(record(page_id.as_py(), url.as_py(), payload.as_py(), refers_to.as_py(), revisit.as_py()))
                 out.write(frame)
@@ -143,7 +143,7 @@ def read_archives(archives: DataFrame, folder: str, with_payload: bool = True) -
         store, _ = pyarrow.fs.FileSystem.from_uri(folder)
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                with store.open_input_stream(path) as source:
+                with store.open_input_stream(path, compression=None) as source:
                     rows: list[tuple] = []
                     held = 0
                     for head, block in parse(source):
