@@ -105,15 +105,16 @@ def _unplane(raw: bytes, at: int, n: int, kind: str) -> tuple[np.ndarray, int]:
     return np.ascontiguousarray(part.T).view(kind).reshape(n), at + n * size
 
 
-def _pack(ids: np.ndarray, signs: np.ndarray, row: np.ndarray, position: np.ndarray, hashes: np.ndarray) -> bytes:
-    """Windows of one target in (row, position) order."""
+def _pack(ids: np.ndarray, signs: np.ndarray, row: np.ndarray, position: np.ndarray, hashes: np.ndarray | None = None) -> bytes:
+    """Places, or windows of one target, in (row, position) order; ids and signs by row."""
     rows, first, count = np.unique(row, return_index=True, return_counts=True)
     gap = np.diff(position, prepend=0)
     gap[first] = position[first]
-    return b"".join([np.array([len(rows), len(row)], "<i8").tobytes(), _planes(ids[rows].astype("<i8")), _planes(signs[rows].astype("<i4")), _planes(count.astype("<i4")), _planes(gap.astype("<i4")), hashes.tobytes()])
+    parts = [np.array([len(rows), len(row)], "<i8").tobytes(), _planes(ids[rows].astype("<i8")), _planes(signs[rows].astype("<i4")), _planes(count.astype("<i4")), _planes(gap.astype("<i4"))]
+    return b"".join(parts if hashes is None else [*parts, hashes.tobytes()])
 
 
-def _unpack(raw: bytes) -> tuple[np.ndarray, ...]:
+def _unpack(raw: bytes, hashed: bool = True) -> tuple[np.ndarray, ...]:
     rows, n = np.frombuffer(raw, "<i8", 2).tolist()
     ids, at = _unplane(raw, 16, rows, "<i8")
     signs, at = _unplane(raw, at, rows, "<i4")
@@ -122,10 +123,28 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, ...]:
     first = np.cumsum(count) - count
     position = np.cumsum(gap)
     position -= np.repeat(position[first] - gap[first], count)
-    return np.repeat(ids, count), np.repeat(signs, count), position, np.frombuffer(raw, "<u8", n, at)
+    places = np.repeat(ids, count), np.repeat(signs, count), position
+    return (*places, np.frombuffer(raw, "<u8", n, at)) if hashed else places
 
 
-_SCHEMA = "target int, id long, sign int, payload binary"
+def _by_document(ids: np.ndarray, signs: np.ndarray, position: np.ndarray, n_targets: int) -> Iterator[tuple[int, bytes]]:
+    """Places packed for the target that their document's id chooses."""
+    home = (_mix(ids.astype(np.uint64)) % np.uint64(n_targets)).astype(np.int64)
+    order = np.lexsort([position, signs, ids, home])
+    home, ids, signs, position = home[order], ids[order], signs[order], position[order]
+    row = np.cumsum(np.concatenate([[0], (ids[1:] != ids[:-1]) | (signs[1:] != signs[:-1])]))
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    edges = np.flatnonzero(np.diff(home, prepend=-1)).tolist()
+    for a, b in zip(edges, [*edges[1:], len(home)]):
+        yield int(home[a]), _pack(ids[first], signs[first], row[a:b], position[a:b])
+
+
+_SCHEMA, _NAMES = "target int, settled boolean, payload binary", ["target", "settled", "payload"]
+
+
+def _sent(rows: list[tuple[int, bool, bytes]]) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(rows), 64):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 64]), (pa.int32(), pa.bool_(), pa.binary()))], names=_NAMES)
 
 
 def _settle(ids: np.ndarray, signs: np.ndarray, row: np.ndarray, position: np.ndarray, hashes: np.ndarray, targets: np.ndarray, n_targets: int) -> Iterator[pa.RecordBatch]:
@@ -136,18 +155,14 @@ def _settle(ids: np.ndarray, signs: np.ndarray, row: np.ndarray, position: np.nd
     smallest = doc[np.flatnonzero(first)][np.cumsum(first) - 1]
     repeat = np.zeros(len(row), bool)
     repeat[order] = doc > smallest
-    out: list[tuple] = []
-    found, at = np.unique(row[repeat], return_index=True)
-    for r, starts in zip(found.tolist(), np.split(position[repeat], at[1:])):
-        out.append((int(r) % n_targets, int(ids[r]), int(signs[r]), starts.astype("<i4").tobytes()))
+    out = [(home, True, raw) for home, raw in _by_document(ids[row[repeat]], signs[row[repeat]], position[repeat], n_targets)] if repeat.any() else []
     kept = np.flatnonzero(~repeat)
     kept = kept[np.argsort(targets[kept], kind="stable")]
     edges = np.flatnonzero(np.diff(targets[kept], prepend=-1))
     for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(kept)]):
         w = kept[a:b]
-        out.append((int(targets[w[0]]), None, None, _pack(ids, signs, row[w], position[w], hashes[w])))
-    for a in range(0, len(out), 64):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[a : a + 64]), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["target", "id", "sign", "payload"])
+        out.append((int(targets[w[0]]), False, _pack(ids, signs, row[w], position[w], hashes[w])))
+    yield from _sent(out)
 
 
 def _text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +184,7 @@ def _spaced(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def removals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, sign, payloads: the first words of every window that a smaller id has too."""
+    """id, sign, starts (packed): the first words of every window that a smaller id has too."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.hash(text).alias("sign"), text.alias("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
@@ -206,10 +221,10 @@ def removals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            settled = batch.filter(pa.compute.is_valid(batch.column("id")))
+            settled = batch.filter(batch.column("settled"))
             if len(settled):
-                yield settled.select(["id", "sign", "payload"])
-            sent += [_unpack(x.as_py()) for x in batch.filter(pa.compute.is_null(batch.column("id"))).column("payload")]
+                yield settled.select(["target", "payload"])
+            sent += [_unpack(x.as_py()) for x in batch.filter(pa.compute.invert(batch.column("settled"))).column("payload")]
         if not sent:
             return
         ids, signs, position, hashes = map(np.concatenate, zip(*sent))
@@ -224,17 +239,26 @@ def removals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text
         begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         smallest = np.repeat(np.minimum.reduceat(ids[order], begin), np.diff(np.append(begin, len(order))))
         order = order[ids[order] > smallest]
-        order = order[np.lexsort([position[order], signs[order], ids[order]])]
-        if len(order):
-            i, s, p = ids[order], signs[order], position[order].astype("<i4")
-            edge = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (s[1:] != s[:-1])]))
-            for a in range(0, len(edge), 4096):
-                e = edge[a : a + 4096]
-                to = np.append(edge, len(order))[a + 1 : a + 1 + len(e)]
-                yield pa.RecordBatch.from_arrays([pa.array(i[e]), pa.array(s[e]), pa.array([p[x:y].tobytes() for x, y in zip(e, to)], pa.binary())], names=["id", "sign", "payload"])
+        for home, raw in _by_document(ids[order], signs[order], position[order], n_targets) if len(order) else ():
+            yield pa.RecordBatch.from_arrays([pa.array([home], pa.int32()), pa.array([raw], pa.binary())], names=["target", "payload"])
+
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [_unpack(x.as_py(), False) for b in batches for x in b.column("payload")]
+        if not found:
+            return
+        i, s, p = map(np.concatenate, zip(*found))
+        found.clear()
+        order = np.lexsort([p, s, i])
+        i, s, p = i[order], s[order], p[order].astype("<i4")
+        edge = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (s[1:] != s[:-1])]))
+        to = np.append(edge[1:], len(p))
+        for a in range(0, len(edge), 1024):
+            part = slice(a, a + 1024)
+            yield pa.RecordBatch.from_arrays([pa.array(i[edge[part]]), pa.array(s[edge[part]]), pa.array([p[x:y].tobytes() for x, y in zip(edge[part], to[part])], pa.binary())], names=["id", "sign", "starts"])
 
     sent = rows.mapInArrow(send, _SCHEMA)
-    return sent.repartitionById(n_targets, "target").mapInArrow(meet, "id long, sign int, payload binary").groupBy("id", "sign").agg(F.collect_list("payload").alias("payloads"))
+    met = sent.repartitionById(n_targets, "target").mapInArrow(meet, "target int, payload binary")
+    return met.repartitionById(n_targets, "target").mapInArrow(gather, "id long, sign int, starts binary")
 
 
 def dedup_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,16 +270,16 @@ def dedup_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
     text = F.coalesce(F.col(text_col), F.lit(""))
     left = docs.select(*rest, text.alias("__text"), F.col(id_col).cast("long").alias("__id"), F.hash(text).alias("__sign"))
-    joined = left.join(found, (F.col("__id") == F.col("id")) & (F.col("__sign") == F.col("sign")), "left").select(*rest, "__text", F.col("payloads").alias("__payloads"))
+    joined = left.join(found, (F.col("__id") == F.col("id")) & (F.col("__sign") == F.col("sign")), "left").select(*rest, "__text", F.col("starts").alias("__starts"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, n_words, n_removed = [], [], []
-            for text, payloads in zip(batch.column("__text"), batch.column("__payloads")):
+            for text, packed in zip(batch.column("__text"), batch.column("__starts")):
                 words = text.as_py().encode().split()
                 n_words.append(len(words))
-                if payloads.is_valid:
-                    starts = np.concatenate([np.frombuffer(x, "<i4") for x in payloads.as_py()])
+                if packed.is_valid:
+                    starts = np.frombuffer(packed.as_py(), "<i4")
                     edge = np.zeros(len(words) + 1, np.int32)
                     np.add.at(edge, starts, 1)
                     np.add.at(edge, starts + window, -1)
