@@ -96,7 +96,7 @@ def fit_trees(rows: np.ndarray, labels: np.ndarray) -> Trees:
     """Logistic boosting with second-order leaves on binned features."""
     mean = labels.mean() if len(labels) else 0.5
     empty = np.zeros(0, np.int64)
-    if not 0 < mean < 1:
+    if not len(labels) or not 0 < mean < 1:
         return Trees(empty, empty.astype(float), empty, empty, empty.astype(float), empty, float(np.clip(math.log(max(mean, 1e-9) / max(1 - mean, 1e-9)), -20, 20)))
     base = math.log(mean / (1 - mean))
     cuts = [np.unique(np.quantile(rows[:, f], np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for f in range(rows.shape[1])]
