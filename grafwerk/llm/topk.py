@@ -29,8 +29,11 @@ from pyspark.sql import functions as F
 from grafwerk.llm.ann import usable
 
 SCALE = 256
-#: Rows and queries of a block; share of a block's rows that is rescored rather than narrowed.
-ROWS, QUERIES, RESCORE = 8192, 1024, 0.04
+#: Rows and queries of a block; share of a block's rows up to which possible members are
+#: rescored rather than narrowed down further (a row costs about what ten postings do).
+ROWS, QUERIES, RESCORE = 8192, 1024, 0.4
+#: Cut-offs of the rounds as shares of the largest contribution; None: every posting.
+CUTS = (0.0, -0.1, None)
 
 
 class ImpactIndex:
@@ -38,49 +41,69 @@ class ImpactIndex:
     weight is positive, so that contributions descend either way)."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
-        self.ids, self.rows = ids, rows
-        self.postings = np.argsort(rows, axis=0, kind="stable").T.astype(np.int32).copy()
-        self.impacts = np.take_along_axis(rows, self.postings.T, axis=0).T.copy()
-
-    def search(self, query_id: int, query: np.ndarray, k: int, bar: int | None) -> list[tuple[int, int]]:
-        """(score, id) of the k best rows that score at least ``bar``."""
+        largest = int(np.abs(rows).max(initial=0))
+        # sums of products are exact in doubles below 2^53
+        kind = np.float64 if largest**2 * rows.shape[1] < 1 << 53 else np.int64
+        self.ids, self.rows, self.largest = ids, rows.astype(kind), largest
+        self.postings = np.argsort(rows, axis=0, kind="stable").T.copy()
+        self.impacts = np.take_along_axis(self.rows, self.postings.T, axis=0).T.copy()
+
+    def _scores(self, who: np.ndarray, query: np.ndarray) -> np.ndarray:
+        return self.rows[who] @ query
+
+    def _segment(self, d: int, w: int, cut: int, done: int) -> tuple[slice, int]:
+        """Postings of a dimension that contribute at least ``cut`` and are not done yet,
+        and how many are done with them."""
+        n, line = len(self.ids), self.impacts[d]
+        if w > 0:
+            upto = n - int(np.searchsorted(line, -(-cut // w), "left"))
+            return slice(n - upto, n - done), max(upto, done)
+        upto = int(np.searchsorted(line, cut // w, "right"))
+        return slice(done, upto), max(upto, done)
+
+    def search(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """(score, id) of the k best rows."""
         n = len(self.ids)
-        first, last = self.impacts[:, 0] * query, self.impacts[:, -1] * query
+        exact = self.rows.dtype == np.float64 and int(np.abs(query).max(initial=0)) * self.largest * len(query) < 1 << 53
+        weights = query.astype(self.rows.dtype) if exact else query
+        first, last = self.impacts[:, 0] * weights, self.impacts[:, -1] * weights
         most, least = np.maximum(first, last), np.minimum(first, last)
-        total, seen = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        done = np.zeros(len(query), np.int64)  # postings processed of each dimension
-        cut = None
-        alive = np.arange(n)
-        for step in (0.25, 0.0, -0.25, None):
-            lower = int(least.min()) if step is None else int(step * max(int(most.max()), 1))
+        total, seen = np.zeros(n, weights.dtype), np.zeros(n, np.int64)
+        done = [0] * len(query)
+        cut, bar, alive = None, None, np.arange(n)
+        for step in CUTS:
+            lower = int(least.min(initial=0)) if step is None else int(step * max(int(most.max(initial=0)), 1))
             if cut is not None:
                 total += seen * (cut - lower)
             cut = lower
+            who, added = [], []
             for d in np.flatnonzero((most >= cut) & (query != 0)).tolist():
-                w = int(query[d])
-                if w > 0:
-                    upto = n - int(np.searchsorted(self.impacts[d], -(-cut // w), "left"))
-                    part = slice(n - upto, n - int(done[d]))
-                else:
-                    upto = int(np.searchsorted(self.impacts[d], cut // w, "right"))
-                    part = slice(int(done[d]), upto)
+                part, upto = self._segment(d, int(query[d]), cut, done[d])
                 if upto > done[d]:
-                    who = self.postings[d, part]
-                    total[who] += self.impacts[d, part] * w - cut
-                    seen[who] += 1
+                    who.append(self.postings[d, part])
+                    added.append(self.impacts[d, part] * weights[d] - cut)
                     done[d] = upto
-            rest = int(np.minimum(most, cut)[query != 0].sum())
-            bound = total + rest
-            if bar is None and n > k:  # a first bar: the k-th exact score of the most promising
+            if who:
+                every = np.concatenate(who)
+                if exact:
+                    total += np.bincount(every, np.concatenate(added), n)
+                else:
+                    np.add.at(total, every, np.concatenate(added))
+                seen += np.bincount(every, minlength=n)
+            bound = total + np.minimum(most, cut)[query != 0].sum()
+            if bar is None and n > k:  # the k-th exact score of the most promising rows
                 tried = np.argpartition(-bound, min(4 * k, n - 1))[: 4 * k]
                 tried = tried[self.ids[tried] != query_id]
                 if len(tried) >= k:
-                    bar = int(np.partition(self.rows[tried] @ query, -k)[-k])
+                    bar = np.partition(self._scores(tried, weights), -k)[-k]
             alive = np.flatnonzero(bound >= bar) if bar is not None else np.arange(n)
             if len(alive) <= max(4 * k, RESCORE * n):
                 break
         alive = alive[self.ids[alive] != query_id]
-        score = (self.rows[alive] * query).sum(1)
+        score = self._scores(alive, weights)
+        if len(alive) > k:  # ties at the k-th score stay in
+            best = score >= np.partition(score, -k)[-k]
+            alive, score = alive[best], score[best]
         return [(int(score[i]), int(self.ids[alive[i]])) for i in np.lexsort([self.ids[alive], -score])[:k]]
 
 
@@ -113,7 +136,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE, id
                 continue
             index = ImpactIndex(i[~is_q], x[~is_q])
             for query_id, query in zip(i[is_q].tolist(), x[is_q]):
-                out += [(query_id, v, s) for s, v in index.search(query_id, query, k, None)]
+                out += [(query_id, v, s) for s, v in index.search(query_id, query, k)]
         return pa.table([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
 
     near = asked.unionByName(held).groupBy("qb", "rb").applyInArrow(rank, "query_id long, vec_id long, score long")
