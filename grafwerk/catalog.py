@@ -812,8 +812,12 @@ def _(events):
 
 
 def queries() -> dict[str, Query]:
+    import grafwerk.plans.more  # noqa: F401  adds its own
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    import grafwerk.plans.more  # noqa: F401
+
     return dict(_oracles)
