@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 #: Words of a window.
 WINDOW = 13
 #: Bytes hashed at once; windows settled at once; bytes of text whose windows go to a target.
-SLICE, SCOPE, TARGET = 1 << 21, 1 << 22, 24 << 20
+SLICE, SCOPE, TARGET = 1 << 21, 1 << 20, 24 << 20
 _BASE, _STEP, _STEP2 = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
