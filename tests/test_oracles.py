@@ -1,8 +1,10 @@
 """Every query against its SQL on the same tables."""
 
-import math
+import numbers
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from grafwerk import catalog
@@ -19,9 +21,9 @@ def duck(sf):
 
 
 def plain(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if pd.api.types.is_scalar(v) and pd.isna(v):
         return "null"
-    return f"{v:.9g}" if isinstance(v, float) else str(v)
+    return f"{float(v):.9g}" if isinstance(v, numbers.Real) and not isinstance(v, (bool, np.bool_)) else str(v)
 
 
 def rows(frame):
