@@ -3,7 +3,7 @@ before is removed by an anti join, and each level is checkpointed so that plans
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grafwerk.operators.lookup import STRUCTURAL, located, test_method
@@ -31,19 +31,27 @@ def _calls(graph: Graph, service: bool, backward: bool) -> DataFrame:
     return e.select(F.col(a).alias("from_id"), F.col(b).alias("to_id")).distinct()
 
 
-def impact(graph: Graph, name: str, max_depth: int = 10, limit: int = 500, service: bool = False) -> DataFrame:
-    """Symbols that a change of ``name`` reaches through callers: least depth (0: direct),
-    how each shows to be a test, and whether the limit cut the list."""
+def impacted(graph: Graph, name: str, max_depth: int = 10, service: bool = False) -> DataFrame:
+    """node, depth of the symbols that a change of ``name`` reaches through callers; direct
+    callers have depth 0, symbols of the name itself are left out."""
     seeds = graph.symbols.where(F.col("name") == name).select(F.col("id").alias("node"))
     met = reach(_calls(graph, service, True), seeds, max_depth).where("depth > 0").groupBy("node").agg((F.min("depth") - 1).alias("depth"))
-    met = met.join(seeds, "node", "left_anti")
-    order = Window.orderBy("depth", "node")
-    found = met.withColumn("nth", F.row_number().over(order)).withColumn("truncated", F.count("*").over(Window.partitionBy()) > limit).where(F.col("nth") <= limit)
-    return found.join(located(graph).withColumnRenamed("id", "node"), "node").select("node", "name", "path", "depth", test_method(F.col("path"), F.col("name"), F.col("qualified_name")).alias("test"), "truncated")
+    return met.join(seeds, "node", "left_anti")
+
+
+def _labelled(graph: Graph, nodes: DataFrame) -> DataFrame:
+    return nodes.join(located(graph).withColumnRenamed("id", "node"), "node").withColumn("test", test_method(F.col("path"), F.col("name"), F.col("qualified_name")))
+
+
+def impact(graph: Graph, name: str, max_depth: int = 10, limit: int = 500, service: bool = False) -> DataFrame:
+    """``impacted`` with names, how each shows to be a test, and whether the limit cut the list."""
+    met = impacted(graph, name, max_depth, service)
+    cut = met.agg((F.count("*") > limit).alias("truncated"))
+    return _labelled(graph, met.orderBy("depth", "node").limit(limit)).crossJoin(F.broadcast(cut)).select("node", "name", "path", "depth", "test", "truncated")
 
 
 def impact_histogram(graph: Graph, name: str, max_depth: int = 10) -> DataFrame:
-    return impact(graph, name, max_depth, 1 << 30).groupBy("depth").agg(F.count("*").alias("symbols"), F.count_if(F.col("test") != "").alias("tests"))
+    return _labelled(graph, impacted(graph, name, max_depth)).groupBy("depth").agg(F.count("*").alias("symbols"), F.count_if(F.col("test") != "").alias("tests"))
 
 
 def cycles(graph: Graph, length: int = 3) -> DataFrame:
