@@ -55,8 +55,7 @@ def scan(spark: SparkSession, root: str, **filters) -> DataFrame:
     base = F.lit(root.rstrip("/") + "/")
     rows = raw.select(F.element_at(F.split(F.col("path"), base), -1).alias("path"), F.col("length").alias("size"), F.col("modificationTime").cast("double").alias("mtime"), "content")
     rows = rows.withColumn("language", language(F.col("path"))).where("language is not null").withColumn("reason", skip_reason(F.col("path"), F.col("size"), **filters))
-    text = F.when(F.col("reason").isNull(), F.try_to_binary(F.hex("content"), F.lit("hex")))
-    rows = rows.withColumn("text", F.decode(text, "UTF-8"))
+    rows = rows.withColumn("text", F.when(F.col("reason").isNull(), F.col("content").cast("string")))
     rows = rows.withColumn("language", F.when(F.col("language") == "header", header_language(F.col("text"))).otherwise(F.col("language")))
     return rows.withColumn("hash", F.sha2("content", 256)).drop("content")
 

@@ -60,7 +60,7 @@ class _Python(ast.NodeVisitor):
         self.imports += [{"imported_path": a.name, "line": node.lineno} for a in node.names]
 
     def visit_ImportFrom(self, node) -> None:
-        self.imports += [{"imported_path": f"{'.' * node.level}{node.module or ''}.{a.name}".removeprefix(".") if not node.level else f"{node.module or ''}.{a.name}".strip("."), "line": node.lineno} for a in node.names]
+        self.imports += [{"imported_path": f"{node.module or ''}.{a.name}".strip("."), "line": node.lineno} for a in node.names]
 
 
 def parse_python(text: str) -> Parsed:
