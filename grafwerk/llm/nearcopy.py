@@ -1,0 +1,125 @@
+"""Near copies by shingle similarity: banded MinHash proposes pairs, the whole sets decide.
+
+Two texts are near copies if the Jaccard similarity of their sets of ``WORDS``-word shingles
+is at least ``SIMILAR``. ``BANDS`` bands of ``ROWS`` minima are buckets; a pair at 0.8 shares
+none of them with a chance of (1 - 0.8 ** 4) ** 30 = 1.4e-7, one above it more rarely still.
+In each bucket every text is compared with one leader first, which joins large groups with
+few pairs; what a bucket then still holds of different groups is compared in full.
+
+Defined results: equal texts are one node; words are split at ASCII white space and lowered
+in ASCII; a text of fewer words is one shingle; texts without words are near each other.
+Nodes and shingles are 64-bit hashes.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from grafwerk.llm.shared import checkpoint, text_of
+from grafwerk.llm.simhash import components
+
+WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 30, 4
+#: Shingles whose minima are taken at once.
+CHUNK = 4096
+_draw = np.random.default_rng(42)
+_TIMES = _draw.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _draw.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+
+
+def shingles(text: str, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles."""
+    w = [xxhash.xxh64_intdigest(x) for x in text.encode().lower().split()]
+    if not w:
+        return np.zeros(0, np.uint64)
+    h, k = np.array(w, np.uint64), min(words, len(w))
+    n = len(w) - k + 1
+    out = np.full(n, k, np.uint64)
+    for j in range(k):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n]
+        out ^= out >> np.uint64(29)
+    return np.unique(out * np.uint64(0xBF58476D1CE4E5B9))
+
+
+def bands(found: np.ndarray) -> list[int]:
+    """The bucket of each band, as a signed long; one fixed bucket for a text without words."""
+    if not len(found):
+        return [0]
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), CHUNK):
+        low = np.minimum(low, (found[at : at + CHUNK, None] * _TIMES + _PLUS).min(0))
+    return [xxhash.xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), b) - (1 << 63) for b in range(BANDS)]
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; 1 where both are empty."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def node(text_col: str = "text") -> Column:
+    return F.xxhash64(text_of(text_col))
+
+
+def _buckets(docs: DataFrame, text_col: str) -> DataFrame:
+    """node, key: each distinct text in its buckets."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [bands(shingles(x.as_py())) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"])
+
+    signed = docs.select(node(text_col).alias("node"), text_of(text_col).alias("text")).mapInArrow(run, "node long, keys array<long>")
+    return checkpoint(signed.select("node", F.explode("keys").alias("key")).distinct())
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, text_col: str, similar: float) -> DataFrame:
+    """Of the pairs (u, v) those whose whole texts are similar."""
+
+    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x.as_py()).tobytes() for x in batch.column(1)], pa.binary())], names=["node", "set"])
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [similarity(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)) >= similar for a, b in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    asked = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    texts = docs.select(node(text_col).alias("node"), text_of(text_col).alias("text")).join(asked, "node", "left_semi").dropDuplicates(["node"])
+    held = checkpoint(texts.mapInArrow(sets, "node long, set binary"))
+    left, right = held.select(F.col("node").alias("u"), F.col("set").alias("a")), held.select(F.col("node").alias("v"), F.col("set").alias("b"))
+    return checkpoint(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long"))
+
+
+def _roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, root of all nodes; a node without an edge is its own root."""
+    return nodes.join(components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def near_copies(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, node and component_id, the smallest id reachable through similar texts."""
+    rows = _buckets(docs, text_col)
+    lead = rows.groupBy("key").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1").select("key", "u")
+    shared = checkpoint(rows.join(lead, "key"))
+    first = checkpoint(shared.where("node <> u").select("u", F.col("node").alias("v")).distinct())
+    edges = _similar(first, docs, text_col, similar)
+    roots = checkpoint(_roots(shared.select("node").distinct(), edges))
+    placed = shared.select("key", "node").join(roots, "node")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    left = checkpoint(placed.join(mixed, "key", "left_semi"))
+    other = left.select("key", F.col("node").alias("v"), F.col("root").alias("other"))
+    rest = left.withColumnRenamed("node", "u").join(other, "key").where("u < v and root <> other").select("u", "v").distinct()
+    rest = checkpoint(rest.join(first, ["u", "v"], "left_anti"))
+    if not rest.isEmpty():
+        edges = edges.unionByName(_similar(rest, docs, text_col, similar))
+        roots = checkpoint(_roots(shared.select("node").distinct(), edges))
+    named = docs.select(id_col, node(text_col).alias("node"))
+    firsts = named.groupBy("node").agg(F.min(id_col).alias("first")).join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    names = firsts.join(firsts.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
+    return named.join(names, "node").select(id_col, "node", "component_id")
