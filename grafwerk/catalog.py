@@ -607,6 +607,18 @@ def _(documents):
     return vector.sparse_cosine(e, e.where("id = 0")).withColumn("score", F.round("score", 6))
 
 
+@on_tables("v8_hash_embed_all", "documents")
+def _(documents):
+    """Of every document; the SQL of v8_hash_embed reaches each twentieth."""
+    return vector.hash_embed(documents, "doc_id", F.col("text")).withColumn("x", F.round("x", 6))
+
+
+@on_tables("v15_hash_search_all", "documents")
+def _(documents):
+    e = vector.hash_embed(documents, "doc_id", F.col("text"))
+    return vector.sparse_cosine(e, e.where("id = 0")).withColumn("score", F.round("score", 6))
+
+
 @on_graph("v10_chunks", " SELECT id, left(kind || ' ' || qualified_name || chr(10) || docstring, 2048) AS chunk FROM symbols", False)
 def _(g):
     return g.symbols.select("id", vector.chunk_text(F.col("kind"), F.col("name"), F.col("qualified_name"), F.col("docstring"), "B").alias("chunk"))

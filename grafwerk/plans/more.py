@@ -107,6 +107,13 @@ def _(documents):
     return vector.hash_embed(todo, "doc_id", F.col("text")).agg(F.count_distinct("id").alias("docs"))
 
 
+@on_tables("v14_embed_missing_all", "documents")
+def _(documents):
+    """Every document that has no vector yet; each fortieth stands for the stored ones."""
+    todo = documents.join(documents.where("doc_id % 40 = 0").select("doc_id"), "doc_id", "left_anti")
+    return vector.hash_embed(todo, "doc_id", F.col("text")).agg(F.count_distinct("id").alias("docs"))
+
+
 @on_tables("m2_signals", "documents labels events", RECORDS + "SELECT r.id, round(coalesce(refs, 0), 6)::DOUBLE AS refs, round(coalesce(reinf, 0), 6)::DOUBLE AS reinforcement, round(CASE WHEN manual THEN 1 ELSE exp(-ln(2) * age / CASE type WHEN 'decision' THEN 90 ELSE 270 END) END, 6)::DOUBLE AS freshness, CASE WHEN manual THEN 1.0 ELSE 0.5 END::DOUBLE AS authority FROM r LEFT JOIN rf ON rf.id = r.id")
 def _(documents, labels, events):
     as_of = F.lit(AS_OF).cast("timestamp")
