@@ -453,6 +453,13 @@ def _(docs):
     return docs.where("n_chars < 4000").select("doc_id", F.size(t).alias("n"), F.array_join(F.slice(t, 1, 5), " ").alias("first"))
 
 
+@on_tables("l5_tokens_all", "documents")
+def _(docs):
+    """Of texts of any length; the SQL of l5_tokens reaches those under 4000 characters."""
+    t = T.tokens(F.col("text"))
+    return docs.select("doc_id", F.size(t).alias("n"), F.array_join(F.slice(t, 1, 5), " ").alias("first"))
+
+
 def _stem_sql() -> str:
     rules = [f"WHEN ends_with(w, '{e}') AND length(w) - {len(e)} + {len(n)} >= 3 THEN left(w, length(w) - {len(e)}) || '{n}'" for e, n in T.ENDINGS]
     rules += [f"WHEN ends_with(w, '{e}') AND length(w) > {m} THEN left(w, length(w) - {len(e)})" for e, m in (("es", 5), ("s", 4), ("ed", 5))]

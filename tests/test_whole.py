@@ -7,6 +7,7 @@ import re
 import pytest
 
 from grafwerk import catalog
+from grafwerk.functions.text import STOP_WORDS
 
 
 @pytest.fixture(scope="module")
@@ -43,3 +44,11 @@ def test_hash_search_all(texts, answer):
 
 def test_embed_missing_all(texts, answer):
     assert answer("v14_embed_missing_all") == [(sum(d % 40 != 0 and bool(embedded(t or "")) for d, t in texts.items()),)]
+
+
+def test_tokens_all(texts, answer):
+    def tokens(t):
+        return list(dict.fromkeys(w for w in re.split("[^a-z0-9]+", t.lower()) if len(w) >= 3 and w not in STOP_WORDS))
+
+    assert max(map(len, texts.values())) >= 4000
+    assert sorted(answer("l5_tokens_all")) == sorted((d, len(x), " ".join(x[:5])) for d, t in texts.items() for x in [tokens(t)])
