@@ -28,6 +28,17 @@ def _(g):
     return compose.blast_radius(g, g.symbols.where("id < 20"))
 
 
+@on_graph("t14_neighbours_all")
+def _(g):
+    """Of every symbol, as the four below: their namesakes' SQL reaches only some rows."""
+    return compose.neighbours(g, g.symbols)
+
+
+@on_graph("t14_blast_radius_all")
+def _(g):
+    return compose.blast_radius(g, g.symbols)
+
+
 @on_graph("t14_explore")
 def _(g):
     return compose.explore(g, name_of(g))
@@ -41,6 +52,13 @@ def _(spark, sf_dir):
     return compose.source_spans(spans, docs.select("path", "text"), 100)
 
 
+@on_tables("t15_source_spans_all", "documents")
+def _(documents):
+    docs = documents.withColumn("path", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 20, "0")))
+    spans = docs.select(F.col("doc_id").alias("id"), "path", (1 + F.col("doc_id") % 3).cast("int").alias("line_start"), (3 + F.col("doc_id") % 5).cast("int").alias("line_end"))
+    return compose.source_spans(spans, docs.select("path", "text"), 100)
+
+
 @on_graph("t16_impact_graph", CE + ", n1 AS (SELECT DISTINCT source_id FROM ce WHERE target_id = 7) SELECT source_id AS source, target_id AS target FROM ce WHERE target_id = 7 OR target_id IN (SELECT source_id FROM n1) ORDER BY 1, 2 LIMIT 100")
 def _(g):
     e = traverse._calls(g, False, True).select(F.col("to_id").alias("source"), F.col("from_id").alias("target"))
@@ -95,6 +113,13 @@ def _(g):
     return compose.rerank(hits, "q", F.col("name"), _Longest(), 5).select("id", "rerank")
 
 
+@on_graph("v7_reranked_all")
+def _(g):
+    """The pool is what a search over all symbols returns."""
+    hits = lexical.bm25(lexical.postings(g.symbols, "id", ["name", "qualified_name"]), ["brand"], True).join(g.symbols.select("id", "name"), "id")
+    return compose.rerank(hits, "q", F.col("name"), _Longest(), 5).select("id", "rerank")
+
+
 @on_tables("v11_signatures", "documents", "SELECT doc_id, trim(string_split(text, chr(10))[(doc_id % 3 + 1)::INT], ' ') AS line FROM documents")
 def _(documents):
     return documents.select("doc_id", compose.signature(F.col("text"), (F.col("doc_id") % 3 + 1).cast("int")).alias("line"))
@@ -219,6 +244,13 @@ def _(g):
     return files_source.scip_edges(rows).agg(F.count("*").alias("edges"), F.sum("line").alias("lines"), F.sum("target_line").alias("target_lines"))
 
 
+@on_graph("s14_index_import_all")
+def _(g):
+    src = g.symbols.select(F.col("id").alias("source_id"), "file_id")
+    rows = g.raw_edges.join(src, "source_id").select(F.col("file_id").alias("path"), F.col("target_name").alias("symbol"), (F.col("line") * 9).alias("line"), (F.col("line").bitwiseAND(1) != 0).alias("is_definition"))
+    return files_source.scip_edges(rows).agg(F.count("*").alias("edges"), F.sum("line").alias("lines"), F.sum("target_line").alias("target_lines"))
+
+
 @on_graph("s16_merge_indexes", """, x AS (SELECT file_id, name, line_start + (id % 2)::INT AS line_start, 'scip ' || id AS symbol FROM symbols WHERE id % 3 = 0), l AS (SELECT file_id, name, min(symbol) AS s FROM x GROUP BY ALL HAVING count(*) = 1)
 SELECT o.id, coalesce(min(x.symbol), min(l.s)) AS symbol FROM symbols o LEFT JOIN x ON x.file_id = o.file_id AND x.name = o.name AND x.line_start = o.line_start LEFT JOIN l ON l.file_id = o.file_id AND l.name = o.name GROUP BY o.id""", False)
 def _(g):

@@ -8,6 +8,8 @@ import pytest
 
 from grafwerk import catalog
 from grafwerk.functions.text import STOP_WORDS
+from grafwerk.operators import lexical
+from grafwerk.plans.store import build
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +54,78 @@ def test_tokens_all(texts, answer):
 
     assert max(map(len, texts.values())) >= 4000
     assert sorted(answer("l5_tokens_all")) == sorted((d, len(x), " ".join(x[:5])) for d, t in texts.items() for x in [tokens(t)])
+
+
+@pytest.fixture(scope="module")
+def graph(spark, sf):
+    """The graph's tables as rows, and its callers and callees by symbol."""
+    g = build(spark, sf)
+    tables = {t: getattr(g, t).collect() for t in ("files", "symbols", "raw_edges", "edges")}
+    calls = {(e["source_id"], e["target_id"]) for e in tables["edges"] if e["target_id"] is not None and e["kind"] in ("calls", "extends", "implements")}
+    repo = {f["id"]: f["repo_id"] for f in tables["files"]}
+    return tables | {"callers": turned(calls, True), "callees": turned(calls, False), "repo": {s["id"]: repo[s["file_id"]] for s in tables["symbols"]}}
+
+
+def turned(pairs, back):
+    out = {}
+    for a, b in pairs:
+        out.setdefault(b if back else a, set()).add(a if back else b)
+    return out
+
+
+def reached(step, seeds, depth):
+    """node: least depth, seeds at 0."""
+    met = dict.fromkeys(seeds, 0)
+    front = set(seeds)
+    for d in range(1, depth + 1):
+        front = {n for f in front for n in step.get(f, ())} - met.keys()
+        met |= dict.fromkeys(front, d)
+    return met
+
+
+def radius(graph, seeds, depth):
+    out = []
+    for s in seeds:
+        if others := reached(graph["callers"], [s], depth).keys() - {s}:
+            out.append((s, len(others), len({graph["repo"][n] for n in others})))
+    return out
+
+
+def test_neighbours_all(graph, answer):
+    known = {(e["source_id"], e["target_id"]) for e in graph["edges"] if e["target_id"] is not None}
+    want = [(i, o, side) for side, back in (("caller", True), ("callee", False)) for i, others in turned(known, back).items() for o in sorted(others)[:20]]
+    assert sorted(answer("t14_neighbours_all")) == sorted(want) and max(i for i, _, _ in want) >= 20
+
+
+def test_blast_radius_all(graph, answer):
+    assert sorted(answer("t14_blast_radius_all")) == sorted(radius(graph, [s["id"] for s in graph["symbols"]], 2))
+
+
+def test_source_spans_all(texts, answer):
+    want, before = [], 0
+    for d in sorted(texts):
+        a, b = 1 + d % 3, 3 + d % 5
+        if before < 100:
+            want.append((d, f"d{d:020}", "\n".join(texts[d].split("\n")[a - 1 : b])))
+        before += max(b - a + 1, 0)
+    assert sorted(answer("t15_source_spans_all")) == want and any(d % 4 for d, _, _ in want)
+
+
+def test_reranked_all(spark, sf, graph, answer):
+    g = build(spark, sf)
+    hits = lexical.bm25(lexical.postings(g.symbols, "id", ["name", "qualified_name"]), ["brand"], True).collect()
+    name = {s["id"]: s["name"] for s in graph["symbols"]}
+    pool = [r["id"] for r in sorted(hits, key=lambda r: (-r["score"], r["id"]))[:50]]
+    assert len(pool) == 50 and max(pool) >= 40
+    assert answer("v7_reranked_all") == sorted(((i, float(len(name[i]))) for i in pool), key=lambda r: (-r[1], r[0]))[:5]
+
+
+def test_index_import_all(graph, answer):
+    file = {s["id"]: s["file_id"] for s in graph["symbols"]}
+    occ = [(file[e["source_id"]], e["target_name"], e["line"] * 9, e["line"] % 2 == 1) for e in graph["raw_edges"] if e["source_id"] in file]
+    defs = {}
+    for path, symbol, line, is_definition in occ:
+        if is_definition:
+            defs[symbol] = min(defs.get(symbol, (path, line)), (path, line))
+    refs = [(line, defs[symbol][1]) for _, symbol, line, is_definition in occ if not is_definition and symbol in defs]
+    assert answer("s14_index_import_all") == [(len(refs), sum(a for a, _ in refs), sum(b for _, b in refs))]
