@@ -293,6 +293,38 @@ def _(g):
     return traverse.dataflow_index(Graph(g.repos, g.files, g.symbols, g.imports, g.raw_edges, g.edges), kinds, 2).where("symbol_id = 7").select("symbol_id", "within")
 
 
+@on_graph("t3_impact_all")
+def _(g):
+    """To the operators' own depths, as the five below; the SQL of their namesakes goes less deep."""
+    return traverse.impact(g, name_of(g))
+
+
+@on_graph("t8_impact_histogram_all")
+def _(g):
+    return traverse.impact_histogram(g, name_of(g))
+
+
+@on_graph("t6_flow_all")
+def _(g):
+    return traverse.flow(g, name_of(g))
+
+
+@on_graph("t10_closure_all")
+def _(g):
+    return traverse.closure(g).groupBy("distance").agg(F.count("*").alias("n"), F.sum("source_id").alias("sources"), F.sum("target_id").alias("targets"), F.count_distinct("target_name").alias("names"))
+
+
+@on_graph("t11_dataflow_index_all")
+def _(g):
+    return traverse.dataflow_index(g)
+
+
+@on_graph("t12_dataflow_lookup_all")
+def _(g):
+    kinds = ("class", "function", "method", "interface", "property", "variable")
+    return traverse.dataflow_index(g, kinds).where("symbol_id = 7").select("symbol_id", "within")
+
+
 @on_graph("t13_ambiguous_dispatch", " SELECT target_name, count(DISTINCT s.name)::BIGINT AS n, string_agg(DISTINCT s.name, ',' ORDER BY s.name) AS callers FROM redges e JOIN symbols s ON s.id = e.source_id WHERE resolution = 'ambiguous' GROUP BY 1")
 def _(g):
     return traverse.ambiguous_dispatch(g)

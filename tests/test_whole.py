@@ -129,3 +129,57 @@ def test_index_import_all(graph, answer):
             defs[symbol] = min(defs.get(symbol, (path, line)), (path, line))
     refs = [(line, defs[symbol][1]) for _, symbol, line, is_definition in occ if not is_definition and symbol in defs]
     assert answer("s14_index_import_all") == [(len(refs), sum(a for a, _ in refs), sum(b for _, b in refs))]
+
+
+@pytest.fixture(scope="module")
+def seeds(spark, sf, graph):
+    name = catalog.name_of(build(spark, sf))
+    return [s["id"] for s in graph["symbols"] if s["name"] == name]
+
+
+def test_impact_all(graph, seeds, answer):
+    met = {n: d - 1 for n, d in reached(graph["callers"], seeds, 10).items() if n not in seeds}
+    want = sorted((d, n) for n, d in met.items())
+    got = answer("t3_impact_all")
+    assert sorted((d, n) for n, _, _, d, _, _ in got) == want[:500] and {r[-1] for r in got} == {len(want) > 500}
+    counts = {d: n for d, n, _ in answer("t8_impact_histogram_all")}
+    assert counts == {d: sum(x == d for x in met.values()) for d in set(met.values())}
+
+
+def test_flow_all(graph, seeds, answer):
+    met = reached(graph["callees"], seeds, 8)
+    want = {n: (d, min((p for p in graph["callers"].get(n, ()) if met.get(p) == d - 1), default=None), len(graph["callees"].get(n, ()))) for n, d in met.items()}
+    assert {n: (d, p, c) for n, _, d, p, c, _ in answer("t6_flow_all")} == want
+
+
+def test_dataflow_all(graph, answer):
+    kinds = ("function", "method", "class", "interface", "enum")
+    assert sorted(answer("t11_dataflow_index_all")) == sorted(radius(graph, [s["id"] for s in graph["symbols"] if s["kind"] in kinds], 5))
+    assert answer("t12_dataflow_lookup_all") == [r[:2] for r in radius(graph, [7], 5)]
+
+
+def test_closure_all(graph, answer):
+    name, ids = {s["id"]: s["name"] for s in graph["symbols"]}, {}
+    for i, n in name.items():
+        ids.setdefault(n, []).append(i)
+    hop = {}
+    for e in graph["edges"]:
+        t = e["target_id"]
+        hop.setdefault((e["source_id"], name.get(t, e["target_name"])), set()).add(t)
+    least = lambda x: min((i for i in x if i is not None), default=None)
+    hop = {k: least(v) for k, v in hop.items()}
+    then = {(s, n): t if t is not None else ids[n][0] if len(ids.get(n, ())) == 1 else None for (s, n), t in hop.items()}
+    out = {}
+    for s, n in hop:
+        out.setdefault(s, []).append(n)
+    level, at, want = hop, then, []
+    for d in range(1, 4):
+        if d > 1:
+            found = {}
+            for s, x in {(s, at[s, n]) for s, n in level if at[s, n] is not None}:
+                for n in out.get(x, ()):
+                    found.setdefault((s, n), []).append((hop[x, n], then[x, n]))
+            level, at = {k: least(t for t, _ in v) for k, v in found.items()}, {k: least(x for _, x in v) for k, v in found.items()}
+        targets = [t for t in level.values() if t is not None]
+        want.append((d, len(level), sum(s for s, _ in level), sum(targets) if targets else None, len({n for _, n in level})))
+    assert sorted(answer("t10_closure_all")) == want
