@@ -829,6 +829,20 @@ def _(documents):
     return documents.select(F.col("doc_id").alias("id"), knowledge.sync_steps(words(1), words(101)).alias("s")).select("id", F.size("s.added").alias("added"), F.size("s.removed").alias("removed"))
 
 
+@on_tables("c11_workflow_steps_all", "documents")
+def _(documents):
+    """Of whole texts, as the one below; the SQL of their namesakes reads the first characters."""
+    return knowledge.workflow_steps(documents.select(F.col("doc_id").alias("id"), F.split("text", " ").alias("steps")))
+
+
+@on_tables("c13_sync_steps_all", "documents")
+def _(documents):
+    """The lines of each document against all but its first."""
+    lines = F.split("text", "\n", -1)
+    changed = knowledge.sync_steps(lines, F.slice(lines, 2, F.size(lines)))
+    return documents.select(F.col("doc_id").alias("id"), changed.alias("s")).select("id", F.size("s.added").alias("added"), F.size("s.removed").alias("removed"))
+
+
 @on_graph("a15_facts", " SELECT file_id, string_agg(kind || '=' || n, ',' ORDER BY kind || '=' || n) AS facts FROM (SELECT file_id, kind, count(*) AS n FROM symbols GROUP BY ALL) GROUP BY 1", False)
 def _(g):
     return knowledge.facts(g.symbols, "file_id")

@@ -183,3 +183,14 @@ def test_closure_all(graph, answer):
         targets = [t for t in level.values() if t is not None]
         want.append((d, len(level), sum(s for s, _ in level), sum(targets) if targets else None, len({n for _, n in level})))
     assert sorted(answer("t10_closure_all")) == want
+
+
+def test_workflow_steps_all(texts, answer):
+    steps = {d: t.split(" ") for d, t in texts.items()}
+    want = [(d, k, x) for d, s in steps.items() for k, x in enumerate(s[:20])] + [(d, 20, f"... {len(s) - 20} more") for d, s in steps.items() if len(s) > 20]
+    assert sorted(answer("c11_workflow_steps_all")) == sorted(want)
+
+
+def test_sync_steps_all(texts, answer):
+    want = [(d, len(set(x[1:]) - set(x)), len(set(x) - set(x[1:]))) for d, t in texts.items() for x in [t.split("\n")]]
+    assert sorted(answer("c13_sync_steps_all")) == sorted(want)
