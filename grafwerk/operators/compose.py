@@ -82,8 +82,14 @@ def blast_radius(graph: Graph, seeds: DataFrame, depth: int = 2) -> DataFrame:
 
 
 def explore(graph: Graph, pattern: str, seeds: int = 20) -> DataFrame:
-    """section, id, name, n: seeds with rank, neighbours, reach, undecided calls to them."""
-    found = checkpoint(lexical.search_symbols(graph.symbols, pattern, limit=seeds))
+    """section, id, name, n: seeds with rank, neighbours, reach, undecided calls to them.
+
+    Seeds are the hits of the search by words, then those that only hashed vectors find.
+    """
+    words = lexical.search_symbols(graph.symbols, pattern, limit=seeds).select("id", "score", "source", "name")
+    chunk = vector.chunk_text(F.col("kind"), F.col("name"), F.col("qualified_name"), F.col("docstring"), "B")
+    near = HashRetriever(graph.symbols, chunk, 0.3).retrieve(pattern, seeds).join(words, "id", "left_anti")
+    found = checkpoint(words.unionByName(near.join(graph.symbols.select("id", "name"), "id").select("id", "score", F.lit(2).alias("source"), "name")))
     ranked = found.withColumn("n", F.row_number().over(Window.orderBy("source", F.desc("score"), "id")).cast("long")).select(F.lit("seed").alias("section"), "id", "name", "n")
     name = graph.symbols.select("id", "name")
     near = neighbours(graph, found).groupBy("other").agg(F.count("*").alias("n")).withColumnRenamed("other", "id").join(name, "id").select(F.lit("neighbour").alias("section"), "id", "name", "n")

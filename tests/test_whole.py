@@ -8,8 +8,9 @@ import pytest
 
 from grafwerk import catalog
 from grafwerk.functions.text import STOP_WORDS
-from grafwerk.operators import lexical
+from grafwerk.operators import compose, lexical
 from grafwerk.plans.store import build
+from grafwerk.sources.views import Graph
 
 
 @pytest.fixture(scope="module")
@@ -194,3 +195,15 @@ def test_workflow_steps_all(texts, answer):
 def test_sync_steps_all(texts, answer):
     want = [(d, len(set(x[1:]) - set(x)), len(set(x) - set(x[1:]))) for d, t in texts.items() for x in [t.split("\n")]]
     assert sorted(answer("c13_sync_steps_all")) == sorted(want)
+
+
+def test_explore_by_vectors(spark):
+    """A symbol that holds one of two words is found by vectors only, with its callers."""
+    def table(rows, schema):
+        return spark.createDataFrame(rows, schema)
+
+    symbols = table([(1, 1, "alpha_beta", "alpha_beta", "function", ""), (2, 1, "gamma", "alpha", "function", ""), (3, 1, "caller", "zeta", "function", "")], "id long, file_id long, name string, qualified_name string, kind string, docstring string")
+    edges = table([(1, 3, 2, "gamma", "calls", "exact")], "id long, source_id long, target_id long, target_name string, kind string, resolution string")
+    g = Graph(table([(1, "r")], "id long, name string"), table([(1, 1, "a.py", "python")], "id long, repo_id long, path string, language string"), symbols, None, edges, edges)
+    got = {(r["section"], r["id"]) for r in compose.explore(g, "alpha beta").collect()}
+    assert {("seed", 1), ("seed", 2), ("neighbour", 3), ("reach", 2)} <= got
