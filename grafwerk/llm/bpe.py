@@ -40,6 +40,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from grafwerk.llm.shared import lean
+
 #: The pre-token pattern and white space of the byte-level scheme.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -370,6 +372,7 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
     """
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, " + ("ids array<int>, " if keep_ids else "") + "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
+    @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocab_path)
         digits = enc.vocab.digits.__getitem__
@@ -398,6 +401,7 @@ def decode_documents(tokens: DataFrame, vocab_path: str, id_col: str = "doc_id",
     """Text of every array of ids (null: empty)."""
     schema = f"id {tokens.schema[id_col].dataType.simpleString()}, text string"
 
+    @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(vocab_path)
         for batch in batches:

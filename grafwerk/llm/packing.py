@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grafwerk.llm.bpe import encoder
-from grafwerk.llm.shared import checkpoint
+from grafwerk.llm.shared import checkpoint, lean
 
 CAPACITY, END_ID = 1024, 2
 #: Groups of large lengths; lengths up to capacity // SMALL are small.
@@ -45,6 +45,7 @@ def cut_documents(docs: DataFrame, vocab_path: str, capacity: int = CAPACITY, en
     """
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
+    @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seen = encoder(vocab_path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], "<u4")
@@ -204,6 +205,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     keys, firsts, places = slots(plan_packing(histogram, capacity))
 
+    @lean
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))

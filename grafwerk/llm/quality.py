@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grafwerk.llm.shared import lean
+
 #: Labelled rows to fit on at most; bins of a feature; trees, their depth, step and penalty.
 SAMPLE, BINS, TREES, DEPTH, RATE, RIDGE, LEAST = 20_000, 64, 80, 4, 0.15, 1.0, 20
 FEATURES = ("log_chars", "log_words", "word_length", "upper", "digit", "blank", "line_break", "stop", "mark", "symbol", "pipe", "shout", "beyond_ascii", "distinct_words", "distinct_lines", "words_per_line", "repeats", "log_long_word")
@@ -152,6 +154,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and features of every whole text."""
 
+    @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([statistics(x.as_py() or "") for x in batch.column(1)], pa.list_(pa.float64()))], names=["id", "features"])
@@ -172,6 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
 def score_documents(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col and score; one pass without a shuffle. The trees are a few thousand numbers."""
 
+    @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.array([statistics(x.as_py() or "") for x in batch.column(1)], float).reshape(len(batch), len(FEATURES))
@@ -192,6 +196,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataF
     names = docs.columns
     at = names.index("text")
 
+    @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.array([statistics(x.as_py() or "") for x in batch.column(at)], float).reshape(len(batch), len(FEATURES))

@@ -2,28 +2,40 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache, wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; keeps a batch of very long texts within a worker's memory.
-ARROW_ROWS = 1000
+#: Rows and bytes of one Arrow batch; the bytes keep a batch of very long texts small.
+ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
+BATCH_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(ARROW_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BYTES)}
+Batches = Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches, and a checkpoint folder where the session names none."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Arrow batches of bounded size, and a checkpoint folder where the session names none."""
+    for name, value in BATCH_CONF.items():
+        spark.conf.set(name, value)
     shared_dir(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else a local one for tests."""
+    """The folder that all executors share: spark.checkpoint.dir. Where the session names none,
+    one in the warehouse, which is shared too; a temporary one if all runs in this process."""
     context = spark.sparkContext
     set_here = context._jsc.sc().getCheckpointDir()
     if set_here.isDefined():
         return set_here.get()
-    context.setCheckpointDir(named := context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
+    named = context.getConf().get("spark.checkpoint.dir")
+    if not named:
+        here = context.master.split("[")[0] == "local"
+        named = tempfile.mkdtemp(prefix="checkpoint") if here else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+    context.setCheckpointDir(named)
     return context._jsc.sc().getCheckpointDir().get() or named
 
 
@@ -33,6 +45,35 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of this run in the shared file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def lean(run: Batches) -> Batches:
+    """``run`` in a worker that gives freed memory back when its task ends; workers are kept
+    for later stages and would hold on to the largest batch that they ever saw."""
+
+    @wraps(run)
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

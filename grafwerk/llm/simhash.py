@@ -1,8 +1,8 @@
 """SimHash near-dedup by a binary trie self-join.
 
-Fingerprints (64 bits, of word shingles) that differ in at most ``budget`` bits are linked
-and linked ones grouped. Equal fingerprints are one trie leaf with one smallest id, so
-copies never become pairs.
+Fingerprints of word shingles that differ in at most ``budget`` bits are linked and linked
+ones grouped. Equal fingerprints are one trie leaf with one smallest id, so copies never
+become pairs.
 
 The join descends two trie nodes at once, adds a differing bit where it follows unequal
 branches and gives a node pair up once the budget is exceeded. To spread it, the fingerprint
@@ -13,28 +13,45 @@ below the block with no bit spent, and every cell is a task's work. A cell of mo
 own two tries. A task returns a spanning forest of what it links, never all pairs.
 Components come from alternating large-star and small-star rounds, checkpointed each.
 
-Defined results: a text without words has fingerprint zero and is linked like any other;
-null text is empty; null ids are in their group but never its name unless all are null;
-rows that repeat an id are rows of their own. Extra columns are ignored.
+``near_duplicates`` links 64-bit fingerprints exactly by their bits. ``near_copies`` links
+texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more: its
+fingerprints have 256 bits, the same join finds fingerprints within ``WIDE_BUDGET`` bits,
+and the whole shingle sets decide. About 39 bits differ at 0.8, too many for blocks that
+agree for sure; so the rotations are draws of bits whose first ones make the cell, enough of
+them that a pair at 0.8 misses every cell with a chance below ``MISS``. Each text proposes
+its nearest texts of other groups and what the sets confirm joins groups, until a round
+joins none; so a large group of near copies costs a few pairs a text, not all of them.
+The cells hold about ``CROWD`` texts whatever their number n, which takes rotations in
+proportion to n ** 0.23 (24 at fifty thousand texts, 400 at 100 million).
+
+Defined results: a text without words has fingerprint zero and is linked like any other
+(``near_copies``: near the others without words); null text is empty; null ids are in their
+group but never its name unless all are null; rows that repeat an id are rows of their own.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import math
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grafwerk.llm.shared import checkpoint
+from grafwerk.llm.shared import checkpoint, lean, text_of
 
 WORDS, SEED, BUDGET = 4, 42, 4
 #: Fingerprints of a cell above which it is split; pairs of leaves compared at once.
 CELL, LEAF, CHUNK = 32_768, 24, 1 << 20
 #: Rows of a task, which hold it in memory at about 100 bytes each.
-TASK_ROWS = 2_000_000
+TASK_ROWS = 1_000_000
+#: Near copies: words of a shingle, least similarity, bits that may differ, of all and of the
+#: first 64 of a draw; chance that no cell has a pair at that similarity; texts of a cell.
+WIDE_WORDS, SIMILAR, WIDE_BUDGET, KEY_BUDGET, MISS, CROWD = 5, 0.8, 54, 21, 0.001, 64
+WIDE, SALTS = 256, 32
 
 
 def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
@@ -57,6 +74,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, id_col:
     """id_col and ``fp`` (the fingerprint's 64 bits as a signed long)."""
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, fp long"
 
+    @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(x.as_py() or "", words, seed) for x in batch.column(1)], np.uint64)
@@ -147,52 +165,77 @@ def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = further
 
 
+def _split_cells(rows: DataFrame, cell: int) -> DataFrame:
+    """rows (turn, cell, fp, ...) with their tasks: parts i and j, and whether it is of part i."""
+    full = rows.groupBy("turn", "cell").count().where(F.col("count") > cell).select("turn", "cell", F.ceil(F.col("count") / cell).cast("int").alias("parts"))
+    named = [c for c in rows.columns if c not in ("turn", "cell")]
+    rows = rows.join(full, ["turn", "cell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.select(*named, "turn", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("is_i"))
+
+
 def _cells(first: DataFrame, budget: int, cell: int) -> DataFrame:
-    """fp with its tasks: (rotation, cell, i, j) and whether it is of part i or of part j."""
+    """The rows of ``first`` (fp, first) once for each rotation, with their cell and task."""
     blocks = budget + 1
     width = [64 // blocks + (k < 64 % blocks) for k in range(blocks)]
     at = [sum(width[:k]) for k in range(blocks)]
     turns = F.array(*[F.struct(F.lit(at[k]).alias("turn"), F.shiftrightunsigned(F.shiftleft("fp", at[k]) if at[k] else F.col("fp"), 64 - width[k]).alias("cell")) for k in range(blocks)])
-    rows = first.select("fp", F.explode(turns).alias("t")).select("fp", "t.turn", "t.cell")
-    full = rows.groupBy("turn", "cell").count().where(F.col("count") > cell).select("turn", "cell", F.ceil(F.col("count") / cell).cast("int").alias("parts"))
-    rows = rows.join(full, ["turn", "cell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return rows.select("fp", "turn", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("is_i"))
+    return _split_cells(first.select("fp", "first", F.explode(turns).alias("t")).select("fp", "first", "t.turn", "t.cell"), cell)
+
+
+def _join_cells(col: dict[str, np.ndarray], keyed: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j) of rows that meet in a task's cells within budget by their keys, and
+    the order in which positions are meant first."""
+    order = np.lexsort([keyed, ~col["is_i"], col["j"], col["i"], col["cell"], col["turn"]])
+    tasks = np.stack([col[c].astype(np.int64)[order] for c in ("turn", "cell", "i", "j")])
+    keyed, is_i = keyed[order], col["is_i"][order]
+    edges = np.concatenate([[0], np.flatnonzero((np.diff(tasks) != 0).any(0)) + 1, [len(keyed)]])
+    own = tasks[2, edges[:-1]] == tasks[3, edges[:-1]]
+    whole = [(a, b, a, b) for a, b, one in zip(edges[:-1].tolist(), edges[1:].tolist(), own.tolist()) if one and b - a > 1]
+    for i, j in trie_links(keyed, keyed, whole, budget):
+        yield order[i], order[j]
+    for a, b in zip(edges[:-1][~own].tolist(), edges[1:][~own].tolist()):
+        middle = a + int(is_i[a:b].sum())
+        if a < middle < b:
+            for i, j in trie_links(keyed[a:middle], keyed[middle:b], [(0, middle - a, 0, b - middle)], budget):
+                yield order[i + a], order[j + middle]
+
+
+def _read(batches: Iterable[pa.RecordBatch]) -> pa.Table | None:
+    """A task's rows; None where it has none, as then there is not even a schema."""
+    got = [b for b in batches if len(b)]
+    return pa.Table.from_batches(got) if got else None
 
 
 def links(first: DataFrame, budget: int = BUDGET, cell: int = CELL) -> DataFrame:
-    """A spanning forest (u, v) of the distinct fingerprints ``fp`` within budget of each other."""
+    """A spanning forest (u, v) of the distinct fingerprints ``fp`` within budget of each
+    other, with the ``first`` of both ends, if there is such a column."""
+    first = first if "first" in first.columns else first.select("fp", F.col("fp").alias("first"))
+    kind = first.schema["first"].dataType.simpleString()
 
+    @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches)
-        if not len(table):
+        if (table := _read(batches)) is None:
             return
-        col = {c: table.column(c).to_numpy() for c in table.column_names}
-        turn = col["turn"].astype(np.uint64)
-        rotated = (col["fp"].view(np.uint64) << turn) | np.where(turn > 0, col["fp"].view(np.uint64) >> ((np.uint64(64) - turn) & np.uint64(63)), np.uint64(0))
-        order = np.lexsort([rotated, ~col["is_i"], col["j"], col["i"], col["cell"], col["turn"]])
-        keys = np.stack([col[c].astype(np.int64)[order] for c in ("turn", "cell", "i", "j")])
-        fps, rotated, is_i = col["fp"][order], rotated[order], col["is_i"][order]
-        edges = np.concatenate([[0], np.flatnonzero((np.diff(keys) != 0).any(0)) + 1, [len(fps)]])
-        own = keys[2, edges[:-1]] == keys[3, edges[:-1]]
+        col = {c: table.column(c).to_numpy() for c in ("fp", "turn", "cell", "i", "j", "is_i")}
+        fps, turn = col["fp"].view(np.uint64), col["turn"].astype(np.uint64)
+        rotated = (fps << turn) | np.where(turn > 0, fps >> ((np.uint64(64) - turn) & np.uint64(63)), np.uint64(0))
         label = np.arange(len(fps))
-        whole = [(a, b, a, b) for a, b, one in zip(edges[:-1].tolist(), edges[1:].tolist(), own.tolist()) if one and b - a > 1]
-        for i, j in trie_links(rotated, rotated, whole, budget):
+        for i, j in _join_cells(col, rotated, budget):
             label = unite(label, i, j)
-        for a, b in zip(edges[:-1][~own].tolist(), edges[1:][~own].tolist()):
-            middle = a + int(is_i[a:b].sum())
-            if a < middle < b:
-                for i, j in trie_links(rotated[a:middle], rotated[middle:b], [(0, middle - a, 0, b - middle)], budget):
-                    label = unite(label, i + a, j + middle)
-        linked = np.flatnonzero(label != np.arange(len(fps)))
-        yield pa.RecordBatch.from_arrays([pa.array(fps[linked]), pa.array(fps[label[linked]])], names=["u", "v"])
+        u = np.flatnonzero(label != np.arange(len(fps)))
+        names, fp = table.column("first").combine_chunks(), table.column("fp").combine_chunks()
+        for at in range(0, len(u), 1 << 16):
+            x = pa.array(u[at : at + (1 << 16)])
+            y = pa.array(label[u[at : at + (1 << 16)]])
+            yield pa.RecordBatch.from_arrays([fp.take(x), fp.take(y), names.take(x), names.take(y)], names=["u", "v", "first_u", "first_v"])
 
     parts = max(int(first.sparkSession.conf.get("spark.sql.shuffle.partitions")), first.count() * (budget + 1) // TASK_ROWS + 1)
-    return _cells(first, budget, cell).repartition(parts, "turn", "cell", "i", "j").mapInArrow(run, "u long, v long").distinct()
+    return _cells(first, budget, cell).repartition(parts, "turn", "cell", "i", "j").mapInArrow(run, f"u long, v long, first_u {kind}, first_v {kind}").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (smallest node reachable) of all nodes with an edge."""
+    """node, root (smallest node reachable) of all nodes with an edge (u, v) but the roots."""
     edges = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     while True:
@@ -209,10 +252,209 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, budget: int = BUDGET, cell: int = CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, fingerprint (16 hex digits) and component_id, the smallest id reachable."""
+    """id_col, fingerprint (16 hex digits) and component_id, the smallest id reachable.
+
+    Nodes order by id, those without last, so a component's root bears its name and no row
+    has to travel to its root's task.
+    """
     prints = checkpoint(fingerprints(docs, words, seed, id_col, text_col))
-    first = prints.groupBy("fp").agg(F.min(id_col).alias("first"))
-    groups = components(links(first.select("fp"), budget, cell))
-    rooted = first.join(groups, first["fp"] == groups["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    names = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
+    first = checkpoint(prints.groupBy("fp").agg(F.min(id_col).alias("first")))
+    end = lambda x: F.struct(F.col(f"first_{x}").isNull().alias("unnamed"), F.col(f"first_{x}").alias("first"), F.col(x).alias("fp")).alias(x)
+    linked = components(links(first, budget, cell).select(end("u"), end("v"))).select(F.col("node.fp").alias("fp"), F.col("root.first").alias("name"), F.lit(True).alias("linked"))
+    names = first.join(linked, "fp", "left").select("fp", F.when(F.col("linked"), F.col("name")).otherwise(F.col("first")).alias("component_id"))
     return prints.join(names, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# --- near copies: wide fingerprints, whole shingle sets decide ---------------------------
+
+
+def shingles(text: str, words: int = WIDE_WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles (A-Z lower-cased, ASCII white space)."""
+    w = text.encode().lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    h, k = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w)), min(words, len(w))
+    n = len(w) - k + 1
+    out = np.full(n, k, np.uint64)
+    for j in range(k):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n]
+        out ^= out >> np.uint64(29)
+    return np.unique(out * np.uint64(0xBF58476D1CE4E5B9))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; 1 where both are empty."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def wide_fingerprint(found: np.ndarray) -> np.ndarray:
+    """WIDE bits as uint64 words: set in over half the hashes of the shingles, each hashed
+    to as many words."""
+    counts = np.zeros(WIDE, np.int64)
+    seeds = (np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    for at in range(0, len(found), 255 * 32):  # 255 ones fit a byte
+        h = found[at : at + 255 * 32, None] + seeds
+        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(times)
+        h ^= h >> np.uint64(31)
+        bits = np.unpackbits(h.view(np.uint8), axis=1)
+        for k in range(0, len(bits), 255):
+            counts += bits[k : k + 255].sum(0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(found)).view(np.uint64)
+
+
+def draws(rotations: int) -> np.ndarray:
+    """The 64 bits that lead in each rotation, from a fixed seed."""
+    rng = np.random.default_rng(SEED)
+    return np.stack([rng.permutation(WIDE)[:64] for _ in range(rotations)])
+
+
+def _lead(plain: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The chosen 64 bits of each row of bits, as one number."""
+    return np.ascontiguousarray(np.packbits(plain[:, chosen], axis=1)).view(">u8").astype(np.uint64).ravel()
+
+
+def rotations(n: int, similar: float = SIMILAR) -> tuple[int, int]:
+    """Bits of a cell and number of rotations for n texts: a bit of two texts differs with
+    the chance of the angle between their shingle vectors."""
+    bits = min(32, max(2, math.ceil(math.log2(max(n, 1) / CROWD))))
+    alike = (1 - math.acos(2 * similar / (1 + similar)) / math.pi) ** bits
+    return bits, math.ceil(math.log(MISS) / math.log1p(-alike))
+
+
+def node(text_col: str = "text") -> Column:
+    return F.xxhash64(text_of(text_col))
+
+
+def wide_fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """node and words (array of longs) of every distinct text."""
+
+    @lean
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_fingerprint(shingles(x.as_py())).view(np.int64).tolist() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "words"])
+
+    made = docs.select(node(text_col).alias("node"), text_of(text_col).alias("text")).mapInArrow(run, "node long, words array<long>")
+    return made.groupBy("node").agg(F.first("words").alias("words"))
+
+
+def _wide_cells(prints: DataFrame, bits: int, turns: int) -> DataFrame:
+    """(node, root, words) once for each rotation, with its cell."""
+    lead = draws(turns)
+
+    @lean
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                plain = np.unpackbits(batch.column("words").flatten().to_numpy().view(np.uint8).reshape(len(batch), WIDE // 8), axis=1)
+                for turn in range(turns):
+                    key = _lead(plain, lead[turn])
+                    cell = (key >> np.uint64(64 - bits)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "root", "words")), pa.array(np.full(len(batch), turn, np.int32)), pa.array(cell)], names=["fp", "root", "words", "turn", "cell"])
+
+    return prints.select("node", "root", "words").mapInArrow(run, "fp long, root long, words array<long>, turn int, cell long")
+
+
+def _nearest(i: np.ndarray, j: np.ndarray, far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs (i, j) those that are among the k nearest of i or of j."""
+    who, pair = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
+    order = np.lexsort([pair, far[pair], who])
+    place = np.arange(len(who)) - np.searchsorted(who[order], who[order])
+    keep = np.unique(pair[order][place < k])
+    return i[keep], j[keep], far[keep]
+
+
+def proposals(prints: DataFrame, bits: int, turns: int, k: int, cell: int = CELL) -> DataFrame:
+    """Distinct pairs (u, v), u < v, of texts of unlike groups: of each text the k nearest
+    of every cell, by fingerprint and within WIDE_BUDGET bits."""
+    lead = draws(turns)
+
+    @lean
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (table := _read(batches)) is None:
+            return
+        col = {c: table.column(c).to_numpy() for c in ("fp", "root", "turn", "cell", "i", "j", "is_i")}
+        words = table.column("words").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(table), WIDE // 64)
+        key = np.zeros(len(words), np.uint64)
+        for turn in np.unique(col["turn"]).tolist():
+            for at in np.array_split(rows := np.flatnonzero(col["turn"] == turn), len(rows) // 65_536 + 1):
+                key[at] = _lead(np.unpackbits(words[at].view(np.uint8), axis=1), lead[turn])
+        held = [np.zeros(0, np.int64)] * 3
+        for i, j in _join_cells(col, key, KEY_BUDGET):
+            apart = col["root"][i] != col["root"][j]
+            i, j = i[apart], j[apart]
+            far = np.zeros(len(i), np.int64)
+            for w in range(WIDE // 64):
+                far += np.bitwise_count(words[i, w] ^ words[j, w])
+            near = far <= WIDE_BUDGET
+            held = [np.concatenate(x) for x in zip(held, (i[near], j[near], far[near]))]
+            if len(held[0]) > CHUNK:
+                held = list(_nearest(*held, k))
+        i, j, _ = _nearest(*held, k)
+        u, v = np.minimum(col["fp"][i], col["fp"][j]), np.maximum(col["fp"][i], col["fp"][j])
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    spread = _split_cells(_wide_cells(prints, bits, turns), cell)
+    parts = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), prints.count() * turns // TASK_ROWS + 1)
+    return spread.repartition(parts, "turn", "cell", "i", "j").mapInArrow(run, "u long, v long").distinct()
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, similar: float = SIMILAR, text_col: str = "text") -> DataFrame:
+    """Of the pairs (u, v) of nodes those whose whole texts' shingle sets are similar."""
+
+    @lean
+    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x.as_py()).tobytes() for x in batch.column(1)], pa.binary())], names=["node", "held"])
+
+    @lean
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [similarity(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)) >= similar for a, b in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    texts = docs.select(node(text_col).alias("node"), text_of(text_col).alias("text")).join(asked, "node", "left_semi").dropDuplicates(["node"])
+    held = checkpoint(texts.mapInArrow(sets, "node long, held binary"))
+    left, right = held.select(F.col("node").alias("u"), F.col("held").alias("a")), held.select(F.col("node").alias("v"), F.col("held").alias("b"))
+    return checkpoint(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long"))
+
+
+def near_copies(docs: DataFrame, similar: float = SIMILAR, cell: int = CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, node (hash of the text) and component_id, the smallest id reachable through
+    texts whose five-word shingle sets are similar.
+
+    The first round proposes each text's nearest of every cell, the next ones four times as
+    many, only between groups and only for texts that have a neighbour at all.
+    """
+    prints = checkpoint(wide_fingerprints(docs, text_col))
+    bits, turns = rotations(prints.count(), similar)
+    pool = prints.withColumn("root", F.col("node"))
+    tried = edges = roots = None
+    k = 1
+    while True:
+        found = proposals(pool, bits, turns, k, cell)
+        found = checkpoint(found if tried is None else found.join(tried, ["u", "v"], "left_anti"))
+        if found.isEmpty():
+            break
+        near = confirmed(found, docs, similar, text_col)
+        if near.isEmpty():
+            break
+        tried = found if tried is None else tried.unionByName(found)
+        edges = near if edges is None else edges.unionByName(near)
+        roots = components(edges)
+        roots = roots.union(roots.select("root", "root").distinct())
+        met = tried.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        pool = prints.join(met, "node", "left_semi").join(roots, "node", "left").select("node", "words", F.coalesce("root", "node").alias("root"))
+        k *= 4
+    named = docs.select(id_col, node(text_col).alias("node"))
+    if roots is None:
+        roots = docs.sparkSession.createDataFrame([], "node long, root long")
+    firsts = named.groupBy("node").agg(F.min(id_col).alias("first")).join(roots, "node", "left").select("node", "first", "root")
+    alone, linked = firsts.where("root is null").select("node", "first"), firsts.where("root is not null")
+    # the members of a large group look up its name in SALTS places
+    name = linked.groupBy("root").agg(F.min("first").alias("name")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = linked.withColumn("salt", F.pmod("node", F.lit(SALTS)).cast("int")).join(name, ["root", "salt"]).select("node", "name")
+    return named.join(alone.union(found).toDF("node", "component_id"), "node").select(id_col, "node", "component_id")

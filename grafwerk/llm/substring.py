@@ -1,16 +1,18 @@
 """Substring dedup by Rabin-Karp hashes of every fixed-length word window.
 
-Words and window hashes are computed from the Arrow buffers with array operations. A task
+Every word is hashed by XXH3, every window by two polynomials of its words' hashes. A task
 first settles the windows that repeat among its own documents: all but those of the
 smallest id are repeats whatever else exists, so a passage that a third of all documents
 hold leaves a task once. The rest is sent by hash, packed into one byte string per task and
 target (hash, document, position; about ten bytes a window), and there a window is a repeat
 if a smaller id has it too. Repeats return to their document, overlapping ones merge into
-maximal intervals, and the words outside stay.
+maximal intervals, and the words outside stay. A target is the windows of ``TARGET`` bytes
+of text; beyond ``MOST_PARTS`` targets a partition holds several and settles one at a time.
 
-Windows match by a 64-bit hash within the target that a second hash chose. With n windows
-and p targets about n^2 / (2^65 p) windows match by chance: 0.00001 in the check's larger
-table, five of 3e13 at 100 TB with four million targets.
+Windows match by a 64-bit hash within the target that the second hash chose, and words by
+64 bits. With n windows, p targets and m different words about n^2 / (2^65 p) windows match
+by chance and m^2 / 2^65 words: 0.00001 in the check's larger table, two windows of 3e13 at
+100 TB with twelve million targets.
 
 Defined results: null text has no words; fewer words than a window lose none; rows that
 repeat a doc_id are one document to each other (none is the smaller) and each gets its own
@@ -21,72 +23,47 @@ through, those that clash with added names are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grafwerk.llm.shared import lean
+
 #: Words of a window.
 WINDOW = 13
-#: Bytes hashed at once; windows settled at once; bytes of text whose windows go to a target.
-SLICE, SCOPE, TARGET = 1 << 21, 1 << 20, 24 << 20
-_BASE, _STEP, _STEP2 = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
+#: Bytes hashed at once; windows settled at once; bytes of text whose windows go to a target;
+#: partitions at most.
+SLICE, SCOPE, TARGET, MOST_PARTS = 1 << 21, 1 << 19, 8 << 20, 20_000
+_STEP, _STEP2 = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-@lru_cache(maxsize=1)
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        with np.errstate(over="ignore"):
-            out.append(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(SLICE, base, np.uint64)])))
-    return out[0], out[1]
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of a byte array."""
-    word = np.zeros(len(data) + 2, np.int8)
-    word[1:-1] = ~_SPACE[data]
-    turn = np.diff(word)
-    return np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
-
-
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A mixed 64-bit hash of each word, from prefix sums of byte times power."""
-    up, down = _powers()
-    out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        zero = int(starts[at])
-        to = max(int(np.searchsorted(ends, zero + SLICE, "right")), at + 1)
-        s, e = starts[at:to] - zero, ends[at:to] - zero
-        part = data[zero : zero + int(e[-1])]
-        if len(part) > SLICE:  # one word longer than a slice
-            h = np.uint64(0)
-            for k in range(0, len(part), SLICE):
-                piece = part[k : k + SLICE]
-                h = _mix(np.array([h ^ ((piece.astype(np.uint64) + np.uint64(1)) * up[: len(piece)]).sum(dtype=np.uint64)]))[0]
-            out[at] = h
-        else:
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], dtype=np.uint64)])
-            out[at:to] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)
-        at = to
-    return _mix(out)
+def word_starts(data: np.ndarray) -> np.ndarray:
+    """Where the words of a byte array begin."""
+    word = np.zeros(len(data) + 1, bool)
+    word[1:] = ~_SPACE[data]
+    return np.flatnonzero(word[1:] & ~word[:-1])
+
+
+def word_hashes(data: np.ndarray) -> np.ndarray:
+    """XXH3 of each word; bytes.split cuts at the same white space."""
+    words = data.tobytes().split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def window_hashes(words: np.ndarray, window: int, step: int = _STEP) -> np.ndarray:
-    """Rabin-Karp hash modulo 2^64 of every run of ``window`` words."""
+    """Rabin-Karp hash modulo 2^64 of every run of ``window`` hashed words."""
     n = len(words) - window + 1
     h = words[:n].copy()
     for k in range(1, window):
@@ -189,7 +166,14 @@ def removals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.hash(text).alias("sign"), text.alias("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_targets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // TARGET + 1)
+    parts = min(n_targets, MOST_PARTS)
+
+    def dealt(sent: DataFrame) -> DataFrame:
+        """Targets together; in turn, where a partition has several."""
+        sent = sent.repartitionById(parts, (F.col("target") % parts).cast("int"))
+        return sent if parts == n_targets else sent.sortWithinPartitions("target")
 
+    @lean
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         n_held = n_rows = 0
@@ -201,9 +185,9 @@ def removals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text
                 if a == b:
                     continue
                 data, begin = _spaced(whole[at[a] : at[b]], at[a : b + 1] - at[a])
-                starts, ends = word_spans(data)
+                starts = word_starts(data)
                 if len(starts) >= window:
-                    words = word_hashes(data, starts, ends)
+                    words = word_hashes(data)
                     row = np.searchsorted(begin, starts, "right") - 1
                     n = len(words) - window + 1
                     inside = row[:n] == row[window - 1 :]
@@ -218,19 +202,12 @@ def removals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text
         if n_held:
             yield from _settle(*map(np.concatenate, zip(*held)), n_targets)
 
-    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: list[tuple[np.ndarray, ...]] = []
-        for batch in batches:
-            settled = batch.filter(batch.column("settled"))
-            if len(settled):
-                yield settled.select(["target", "payload"])
-            sent += [_unpack(x.as_py()) for x in batch.filter(pa.compute.invert(batch.column("settled"))).column("payload")]
-        if not sent:
-            return
-        ids, signs, position, hashes = map(np.concatenate, zip(*sent))
-        sent.clear()
+    def repeats(packed: list[pa.Scalar]) -> Iterator[pa.RecordBatch]:
+        """Places of the windows of one target that a smaller id has too, by document."""
+        ids, signs, position, hashes = map(np.concatenate, zip(*[_unpack(x.as_py()) for x in packed]))
         order = np.argsort(hashes, kind="stable")
         h = hashes[order]
+        del hashes
         again = np.concatenate([[False], h[1:] == h[:-1]])
         again[:-1] |= again[1:]
         order, h = order[again], h[again]  # hashes that occur more than once
@@ -242,12 +219,26 @@ def removals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text
         for home, raw in _by_document(ids[order], signs[order], position[order], n_targets) if len(order) else ():
             yield pa.RecordBatch.from_arrays([pa.array([home], pa.int32()), pa.array([raw], pa.binary())], names=["target", "payload"])
 
-    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [_unpack(x.as_py(), False) for b in batches for x in b.column("payload")]
-        if not found:
-            return
-        i, s, p = map(np.concatenate, zip(*found))
-        found.clear()
+    @lean
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            settled = batch.filter(batch.column("settled"))
+            if len(settled):
+                yield settled.select(["target", "payload"])
+            open_ = batch.filter(pa.compute.invert(batch.column("settled")))
+            for target, payload in zip(open_.column("target").to_pylist(), open_.column("payload")):
+                if target != at and held:
+                    yield from repeats(held)
+                    held = []
+                at = target
+                held.append(payload)
+        if held:
+            yield from repeats(held)
+
+    def merged(packed: list[pa.Scalar]) -> Iterator[pa.RecordBatch]:
+        """One row per document of one target."""
+        i, s, p = map(np.concatenate, zip(*[_unpack(x.as_py(), False) for x in packed]))
         order = np.lexsort([p, s, i])
         i, s, p = i[order], s[order], p[order].astype("<i4")
         edge = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (s[1:] != s[:-1])]))
@@ -256,9 +247,21 @@ def removals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text
             part = slice(a, a + 1024)
             yield pa.RecordBatch.from_arrays([pa.array(i[edge[part]]), pa.array(s[edge[part]]), pa.array([p[x:y].tobytes() for x, y in zip(edge[part], to[part])], pa.binary())], names=["id", "sign", "starts"])
 
-    sent = rows.mapInArrow(send, _SCHEMA)
-    met = sent.repartitionById(n_targets, "target").mapInArrow(meet, "target int, payload binary")
-    return met.repartitionById(n_targets, "target").mapInArrow(gather, "id long, sign int, starts binary")
+    @lean
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            for target, payload in zip(batch.column("target").to_pylist(), batch.column("payload")):
+                if target != at and held:
+                    yield from merged(held)
+                    held = []
+                at = target
+                held.append(payload)
+        if held:
+            yield from merged(held)
+
+    met = dealt(rows.mapInArrow(send, _SCHEMA)).mapInArrow(meet, "target int, payload binary")
+    return dealt(met).mapInArrow(gather, "id long, sign int, starts binary")
 
 
 def dedup_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,6 +275,7 @@ def dedup_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     left = docs.select(*rest, text.alias("__text"), F.col(id_col).cast("long").alias("__id"), F.hash(text).alias("__sign"))
     joined = left.join(found, (F.col("__id") == F.col("id")) & (F.col("__sign") == F.col("sign")), "left").select(*rest, "__text", F.col("starts").alias("__starts"))
 
+    @lean
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, n_words, n_removed = [], [], []

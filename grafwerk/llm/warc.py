@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grafwerk.llm.shared import checkpoint, shared_dir
+from grafwerk.llm.shared import checkpoint, lean, remove, shared_dir
 
 #: Records and characters of each that the dictionary is trained on; its size; bytes of a file.
 SAMPLE, SAMPLE_CHARS, DICTIONARY, FILE_BYTES = 400, 16_384, 65_536, 64 << 20
@@ -85,6 +85,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
     fs, root = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
 
+    @lean
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = pyarrow.fs.FileSystem.from_uri(folder)
         kind = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_AUTO)
@@ -139,6 +140,7 @@ def read_archives(archives: DataFrame, folder: str, with_payload: bool = True) -
         found = (field or "").removeprefix("<urn:x-page:").removesuffix(">")
         return int(found) if found else None
 
+    @lean
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = pyarrow.fs.FileSystem.from_uri(folder)
         for batch in batches:

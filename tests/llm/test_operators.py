@@ -381,3 +381,28 @@ def test_plan_holds_everything_nearly_full(seed):
             used[n] = used.get(n, 0) + many
     assert used == hist
     assert sum(m for m, _ in runs) <= 1.01 * sum(m for m, _ in packing._best_fit([], dict(hist), 1024))
+
+
+def test_substring_words_of_equal_polynomial_hash(spark):
+    """Thue-Morse words of 2048 letters have one hash under every odd base modulo 2^64."""
+    one, other = ("".join("ab"[bin(i).count("1") % 2 ^ flip] for i in range(2048)) for flip in (0, 1))
+    rest = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{other} {rest}"), (3, f"{one} {rest}")], "doc_id long, text string")
+    assert collected(substring.dedup_windows(docs), "doc_id", "n_removed") == [(1, 0), (2, 0), (3, 13)]
+
+
+def test_substring_with_several_targets_a_partition(docs, rows, monkeypatch):
+    monkeypatch.setattr(substring, "MOST_PARTS", 3)
+    got = substring.dedup_windows(docs)
+    assert collected(got, "doc_id", "n_words", "n_removed", "text") == brute_windows(rows)
+
+
+@pytest.mark.parametrize("n", [1, 2])
+def test_simhash_with_more_partitions_than_rows(spark, n):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1000" if n == 1 else "8")
+    try:
+        got = simhash.near_duplicates(spark.createDataFrame([(i, f"text {i}") for i in range(n)], "doc_id long, text string"))
+        assert collected(got, "doc_id", "component_id") == [(i, i) for i in range(n)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
