@@ -11,7 +11,8 @@ agrees in at least one block, so in that rotation it meets in the node pair (cel
 below the block with no bit spent, and every cell is a task's work. A cell of more than
 ``CELL`` fingerprints is split into parts by hash, and each pair of parts is a task with its
 own two tries. A task returns a spanning forest of what it links, never all pairs.
-Components come from alternating large-star and small-star rounds, checkpointed each.
+Components come from alternating large-star and small-star rounds, checkpointed each, until
+so few edges are left that one task can unite them.
 
 ``near_duplicates`` links 64-bit fingerprints exactly by their bits. ``near_copies`` links
 texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more: its
@@ -37,17 +38,19 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from grafwerk.llm.shared import checkpoint, lean, text_of
 
 WORDS, SEED, BUDGET = 4, 42, 4
 #: Fingerprints of a cell above which it is split; pairs of leaves compared at once.
 CELL, LEAF, CHUNK = 32_768, 24, 1 << 20
-#: Rows of a task, which hold it in memory at about 100 bytes each.
-TASK_ROWS = 1_000_000
+#: Rows of a task, which hold it in memory at about 100 bytes each; edges that one task unites.
+TASK_ROWS, LOCAL = 1_000_000, 1 << 20
 #: Near copies: words of a shingle, least similarity, bits that may differ, of all and of the
 #: first 64 of a draw; chance that no cell has a pair at that similarity; texts of a cell.
 WIDE_WORDS, SIMILAR, WIDE_BUDGET, KEY_BUDGET, MISS, CROWD = 5, 0.8, 54, 21, 0.001, 64
@@ -235,20 +238,63 @@ def links(first: DataFrame, budget: int = BUDGET, cell: int = CELL) -> DataFrame
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (smallest node reachable) of all nodes with an edge (u, v) but the roots."""
+    """node, root (smallest node reachable) of all nodes with an edge (u, v) but the roots.
+
+    Star rounds shrink the graph until LOCAL edges are left, which one task unites.
+    """
     edges = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     while True:
+        now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
+        if now["n"] <= LOCAL:
+            return united(edges)
+        if now == seen:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        seen = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
         edges = checkpoint(small.distinct())
-        now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if now == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = now
+
+
+def united(edges: DataFrame) -> DataFrame:
+    """``components`` of at most LOCAL edges, in one task. Nodes are numbers, or structs that
+    order by their fields."""
+    kind = edges.schema["u"].dataType
+    fields = kind.names if isinstance(kind, T.StructType) else [""]
+    at = lambda end, f: F.col(f"{end}.{f}" if f else end)
+    types = [(kind[f].dataType if f else kind).simpleString() for f in fields]
+    schema = ", ".join(f"{end}{i} {t}" for end in ("node", "root") for i, t in enumerate(types))
+
+    @lean
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (table := _read(batches)) is None:
+            return
+        both = [pa.chunked_array([*table.column(f"u{i}").chunks, *table.column(f"v{i}").chunks]).combine_chunks() for i in range(len(fields))]
+        keys = []
+        for column in both:  # nulls sort as the least value; a field before tells them apart
+            plain = pa.compute.fill_null(column, "" if pa.types.is_string(column.type) else False if pa.types.is_boolean(column.type) else 0)
+            keys.append(plain.to_numpy(zero_copy_only=False))
+        order = np.lexsort(keys[::-1])
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for k in keys:
+            new[1:] |= k[order][1:] != k[order][:-1]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.cumsum(new) - 1
+        label = unite(np.arange(int(new.sum())), rank[: len(table)], rank[len(table) :])
+        place = order[new]  # a row of each node
+        nodes = np.flatnonzero(label != np.arange(len(label)))
+        columns = [c.take(pa.array(place[x])) for x in (nodes, label[nodes]) for c in both]
+        names = [f"{end}{i}" for end in ("node", "root") for i in range(len(fields))]
+        yield from pa.Table.from_arrays(columns, names=names).to_batches(1 << 16)
+
+    flat = edges.select(*(at(end, f).alias(f"{end}{i}") for end in ("u", "v") for i, f in enumerate(fields)))
+    found = flat.coalesce(1).mapInArrow(run, schema)
+    whole = lambda end: F.struct(*(F.col(f"{end}{i}").alias(f) for i, f in enumerate(fields))) if fields != [""] else F.col(f"{end}0")
+    return checkpoint(found.select(whole("node").alias("node"), whole("root").alias("root")))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, budget: int = BUDGET, cell: int = CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -426,8 +472,8 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, cell: int = CELL, id_
     """id_col, node (hash of the text) and component_id, the smallest id reachable through
     texts whose five-word shingle sets are similar.
 
-    The first round proposes each text's nearest of every cell, the next ones four times as
-    many, only between groups and only for texts that have a neighbour at all.
+    The first round proposes each text's nearest of every cell, the next ones its two nearest,
+    only between groups and only for texts that have a neighbour at all.
     """
     prints = checkpoint(wide_fingerprints(docs, text_col))
     bits, turns = rotations(prints.count(), similar)
@@ -445,10 +491,10 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, cell: int = CELL, id_
         tried = found if tried is None else tried.unionByName(found)
         edges = near if edges is None else edges.unionByName(near)
         roots = components(edges)
-        roots = roots.union(roots.select("root", "root").distinct())
+        roots = checkpoint(roots.union(roots.select("root", "root").distinct()))
         met = tried.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         pool = prints.join(met, "node", "left_semi").join(roots, "node", "left").select("node", "words", F.coalesce("root", "node").alias("root"))
-        k *= 4
+        k = 2
     named = docs.select(id_col, node(text_col).alias("node"))
     if roots is None:
         roots = docs.sparkSession.createDataFrame([], "node long, root long")
