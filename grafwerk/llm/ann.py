@@ -1,19 +1,25 @@
 """Approximate nearest neighbours by learned partitions.
 
-A bounded sample (``SAMPLE`` distinct vectors, smallest hashes) gives a neighbour graph; the
-graph is halved again and again into parts of equal size that cut few edges; a small network
-learns which part a vector's neighbours are in. Every row is then indexed in its most
-probable part and a query is routed to as many parts as the sample needs for ``AIM`` recall,
-where candidates are ranked by exact cosine in double precision. Fitting runs in one task;
-its input and the model are bounded by the sample, not by the table.
+A bounded sample (about ``SAMPLE`` vectors, chosen by a hash of the id) gives a neighbour
+graph; the graph is halved again and again into parts of equal size that cut few edges; a
+small network learns which parts a vector's neighbours are in. Every row is then indexed in
+its most probable part and a query is routed to as many parts as the sample needs for
+``AIM`` recall, where candidates are ranked by exact cosine in double precision.
+
+The number of parts grows with the rows: beyond ``MOST_PARTS`` parts each part is divided
+again in the same way, by a router fitted on a sample of its own, up to MOST_PARTS^2 parts.
+Fitting is one task for the first level and one for each divided part; its input and the
+models are bounded by the sample, not by the table. Lengths of vectors are indexes of their
+own; one with less than two parts' rows is searched whole.
 
 Rows of a part are split by hash into chunks of at most about ``CHUNK`` and its queries
 into blocks, so a part that holds a third of all rows is many tasks.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no
-part; only vectors of the commonest length in the sample are compared; rows with the query's
+part; vectors of another length than the query's are no candidates; rows with the query's
 own id are no candidates; null ids take no part; ties go to the smaller id; a query gets all
-candidates where there are fewer than k. Extra columns are ignored.
+candidates where there are fewer than k. Components of any size are scaled by a power of two
+before they are squared, which changes no score. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grafwerk.llm.shared import checkpoint
+from grafwerk.llm.shared import checkpoint, lean
 
-#: Vectors fitted on; rows for each part; most parts; recall aimed at on the sample.
-SAMPLE, PART_ROWS, MOST_PARTS, AIM = 4096, 1024, 64, 0.995
+#: Vectors fitted on; rows for each part; most parts of a level; recall aimed at on the sample.
+SAMPLE, PART_ROWS, MOST_PARTS, AIM = 4096, 1024, 64, 0.96
 NEIGHBOURS, HIDDEN, EPOCHS = 10, 96, 30
 CHUNK, BLOCK = 16_384, 1024
 
@@ -45,6 +51,18 @@ def vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     return found.where(F.col("id").isNotNull() & usable(F.col("v")) & F.exists("v", lambda x: x != 0))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row by the power of two that brings its largest component to between 1/2 and 1."""
+    _, power = np.frexp(np.abs(x).max(1, initial=0))
+    half = power // 2  # in two steps: 2 ** -power itself may not be a finite number
+    return np.ldexp(np.ldexp(x, -half[:, None]), (half - power)[:, None])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
 def neighbour_graph(x: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
     """Dense symmetric adjacency of the k nearest by cosine of unit vectors."""
     near = x @ x.T
@@ -108,8 +126,8 @@ def _forward(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fit_router(x: np.ndarray, parts: int) -> dict:
     """Graph, parts and a network with one hidden layer trained by Adam on the parts of each
-    vector's neighbours; and the probes that the sample's own queries need."""
-    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    vector's neighbours."""
+    x = np.unique(unit(x), axis=0)
     while parts > 1 and parts * 16 > len(x):
         parts //= 2
     graph = neighbour_graph(x)
@@ -132,53 +150,121 @@ def fit_router(x: np.ndarray, parts: int) -> dict:
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.99 * second[k] + 0.01 * g * g
                 model[k] = model[k] - 0.01 * (1 - epoch / EPOCHS) * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-8)
-    _, p = _forward(model, x)
-    own, order = p.argmax(1), np.argsort(-p, axis=1, kind="stable")
-    probes = parts
-    if len(x) > 6:
-        near = x @ x.T
-        np.fill_diagonal(near, -2)
-        best = np.argpartition(-near, 4, axis=1)[:, :5]
-        place = np.empty_like(order)
-        np.put_along_axis(place, order, np.arange(parts)[None, :].repeat(len(x), 0), axis=1)
-        needed = np.sort(place[np.arange(len(x))[:, None], own[best]].ravel())
-        probes = min(parts, int(needed[min(len(needed) - 1, int(AIM * len(needed)))]) + 2)
-    return model | {"parts": parts, "probes": probes, "dim": x.shape[1]}
-
-
-def _sample_model(found: DataFrame, parts: int, sample: int) -> dict | None:
-    """Fit in one task on the sample and bring the model, a few hundred kB, to the driver."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [v for b in batches for v in b.column(0).to_pylist()]
-        if rows:
-            lengths = [len(v) for v in rows]
-            dim = max(sorted(set(lengths)), key=lengths.count)
-            model = fit_router(np.array([v for v in rows if len(v) == dim]), parts)
-            yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
-
-    chosen = found.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(sample)
-    got = chosen.coalesce(1).mapInArrow(run, "model binary").collect()
-    return pickle.loads(bytes(got[0]["model"])) if got else None
-
-
-def _as_matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    return model | {"parts": parts}
+
+
+class Router:
+    """A router of one length of vectors: the first level, and those below it by part."""
+
+    def __init__(self, top: dict, below: dict[int, dict] | None = None) -> None:
+        self.top, self.below, self.probes, self.width = top, below or {}, 1, MOST_PARTS
+
+    @property
+    def parts(self) -> int:
+        return self.top["parts"] * self.width if self.below else self.top["parts"]
+
+    def chances(self, x: np.ndarray) -> np.ndarray:
+        """Chance of each part for unit vectors; a part of the second level has its own share
+        of its parent's."""
+        _, p = _forward(self.top, x)
+        if not self.below:
+            return p
+        out = np.zeros((len(x), self.parts), np.float32)
+        for part in range(p.shape[1]):
+            at = part * self.width
+            if part in self.below:
+                _, q = _forward(self.below[part], x)
+                out[:, at : at + q.shape[1]] = p[:, part, None] * q
+            else:
+                out[:, at] = p[:, part]
+        return out
+
+    def order(self, x: np.ndarray, many: int) -> np.ndarray:
+        """The most probable parts, best first."""
+        p = self.chances(x)
+        many = min(many, p.shape[1])
+        top = np.argpartition(-p, many - 1, axis=1)[:, :many]
+        return np.take_along_axis(top, np.argsort(-np.take_along_axis(p, top, axis=1), axis=1, kind="stable"), axis=1).astype(np.int32)
+
+    def fit_probes(self, x: np.ndarray, asked: np.ndarray) -> Router:
+        """As many parts as hold AIM of the five nearest that vectors which the routers have
+        not seen have among all of these."""
+        rows, asked = unit(np.concatenate([x, asked])), unit(asked)
+        if len(rows) > 6 and len(asked) and self.parts > 1:
+            near = asked @ rows.T
+            near[np.arange(len(asked)), len(x) + np.arange(len(asked))] = -2
+            best = np.argpartition(-near, 4, axis=1)[:, :5]
+            order = self.order(asked, self.parts)
+            place = np.empty_like(order)
+            np.put_along_axis(place, order, np.arange(order.shape[1], dtype=np.int32)[None, :].repeat(len(asked), 0), axis=1)
+            needed = np.sort(place[np.arange(len(asked))[:, None], self.order(rows, 1)[:, 0][best]].ravel())
+            self.probes = int(needed[min(len(needed) - 1, int(AIM * len(needed)))]) + 1
+        return self
+
+
+def _sampled(found: DataFrame, n: int, sample: int, name: str = "fit") -> DataFrame:
+    """About ``sample`` of n rows by a hash of the id: no task sends more than its share."""
+    share = min(1.0, sample / max(n, 1))
+    return found.where(F.shiftrightunsigned(F.xxhash64("id", F.lit(name)), 33) < F.lit(int(share * 2**31)))
+
+
+def _fit(rows: DataFrame, by: str, parts: int) -> dict[int, dict]:
+    """A router for each value of ``by``, each fitted in one task; models go to the driver."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x = _as_matrix(table.column("v"))
+        return pa.table({"at": pa.array([table.column("at")[0].as_py()], pa.int32()), "model": pa.array([pickle.dumps(fit_router(x, parts))], pa.binary())})
+
+    got = rows.select(F.col(by).cast("int").alias("at"), "v").groupBy("at").applyInArrow(run, "at int, model binary").collect()
+    return {r["at"]: pickle.loads(bytes(r["model"])) for r in got}
+
+
+def fit(found: DataFrame, sizes: dict[int, int], sample: int = SAMPLE, part_rows: int = PART_ROWS) -> dict[int, Router]:
+    """A router for each length of vectors that has two parts' rows at least."""
+    routers: dict[int, Router] = {}
+    for dim, n in sizes.items():
+        wanted = 1 << max(0, round(np.log2(n / part_rows)))
+        if wanted < 2:
+            continue
+        own = found.where(F.size("v") == dim)
+        chosen = checkpoint(_sampled(own, n, sample).select("id", "v", F.lit(dim).alias("dim")))
+        if not (top := _fit(chosen, "dim", min(wanted, MOST_PARTS)).get(dim)):
+            continue
+        router = Router(top)
+        if wanted > MOST_PARTS:  # a sample of each part, dealt by the first level
+            wider = _sampled(own, n, sample * router.parts)
+            dealt = route(wider, {dim: router}).withColumn("at", F.col("order")[0]).select("at", "v")
+            router.below = _fit(dealt, "at", min(wanted // MOST_PARTS, MOST_PARTS))
+        drawn = [np.array([r["v"] for r in x.select("v").collect()], float).reshape(-1, dim) for x in (chosen, _sampled(own, n, sample // 2, "probe"))]
+        routers[dim] = router.fit_probes(*drawn)
+    return routers
+
+
+def _as_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
-def route(found: DataFrame, model: dict, probes: int) -> DataFrame:
-    """id, v and ``order``: the most probable parts, best first."""
+def route(found: DataFrame, routers: dict[int, Router], sizes: dict[int, np.ndarray] | None = None, k: int = 0) -> DataFrame:
+    """id, v and ``order``: the most probable part; with ``sizes`` (rows of each part) the
+    router's probes, best first, and on until more than k rows have been met."""
 
+    @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                x = _as_matrix(batch.column(1), model["dim"])
-                _, p = _forward(model, (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32))
-                top = np.argsort(-p, axis=1, kind="stable")[:, :probes].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(top), pa.list_(pa.int32()))], names=["id", "v", "order"])
+            lengths = batch.column("v").value_lengths().to_numpy()
+            for dim in np.unique(lengths).tolist():
+                part = batch.filter(pa.array(lengths == dim))
+                order: list[np.ndarray] = [np.zeros(1, np.int32)] * len(part)
+                if router := routers.get(dim):
+                    x = unit(_as_matrix(part.column("v")))
+                    order = list(router.order(x, router.probes if sizes else 1))
+                    for i in [i for i, o in enumerate(order) if sizes[dim][o].sum() <= k] if sizes else ():
+                        every = router.order(x[i : i + 1], router.parts)[0]
+                        order[i] = every[: max(router.probes, int(np.searchsorted(np.cumsum(sizes[dim][every]), k, "right")) + 1)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), pa.array(order, pa.list_(pa.int32()))], names=["id", "v", "order"])
 
-    return found.mapInArrow(run, "id long, v array<double>, order array<int>")
+    return found.select("id", "v").mapInArrow(run, "id long, v array<double>, order array<int>")
 
 
 def top_by_cosine(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[list, list, list]:
@@ -187,11 +273,12 @@ def top_by_cosine(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, r
     A product of matrices finds who can be among them; the score itself is summed the same
     way for every pair, so that equal vectors have equal scores.
     """
+    rows, queries = scaled(rows), scaled(queries)
     norm, query_norm = np.sqrt((rows * rows).sum(1)), np.sqrt((queries * queries).sum(1))
-    unit = rows / norm[:, None]
+    each = rows / norm[:, None]
     out: tuple[list, list, list] = ([], [], [])
     for at in range(0, len(queries), 64):
-        near = (queries[at : at + 64] / query_norm[at : at + 64, None]) @ unit.T
+        near = (queries[at : at + 64] / query_norm[at : at + 64, None]) @ each.T
         near[query_ids[at : at + 64, None] == ids[None, :]] = -np.inf
         for i, line in enumerate(near):
             q = at + i
@@ -208,33 +295,30 @@ def top_by_cosine(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, r
 def search(rows: DataFrame, is_query: Column, k: int = 5, sample: int = SAMPLE, part_rows: int = PART_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row where is_query(id)."""
     found = vectors(rows, id_col, vector_col)
-    n = found.count()
-    parts = 1 << max(0, min(MOST_PARTS.bit_length() - 1, round(np.log2(max(n, 1) / part_rows))))
-    model = _sample_model(found, parts, sample)
-    if model is None:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    found = found.where(F.size("v") == model["dim"])
-    routed = checkpoint(route(found, model, model["parts"]).withColumn("is_query", is_query))
-    size = {r["p"]: r["n"] for r in routed.groupBy(F.col("order")[0].alias("p")).agg(F.count("*").alias("n")).collect()}
-    chunks = [max(1, -(-size.get(p, 0) // CHUNK)) for p in range(model["parts"])]
-    many = lambda values, p: F.element_at(F.array(*map(F.lit, values)), p + 1)
-    # probes: the learned number, and on until k + 1 rows have been met
-    sizes = F.array(*[F.lit(size.get(p, 0)) for p in range(model["parts"])])
-    met = F.aggregate("order", F.struct(F.lit(0).cast("long").alias("rows"), F.lit(0).alias("n")), lambda s, p: F.when((s["n"] < model["probes"]) | (s["rows"] <= k), F.struct((s["rows"] + F.element_at(sizes, p + 1)).alias("rows"), (s["n"] + 1).alias("n"))).otherwise(s), lambda s: s["n"])
-    asked = routed.where("is_query").select("id", "v", F.explode(F.slice("order", F.lit(1), met)).alias("part"))
-    load = {r["part"]: r["n"] for r in asked.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    blocks = [max(1, -(-load.get(p, 0) // BLOCK)) for p in range(model["parts"])]
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), many(blocks, F.col("part"))).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), many(chunks, F.col("part")) - 1)))
-    held = routed.select("id", "v", F.col("order")[0].alias("part"))
-    held = held.withColumn("chunk", F.pmod(F.xxhash64("id", "v"), many(chunks, F.col("part"))).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), many(blocks, F.col("part")) - 1)))
-    cols = ["part", "chunk", "block", "id", "v"]
-    both = asked.select(*cols, F.lit(True).alias("q")).unionByName(held.select(*cols, F.lit(False).alias("q")))
+    sizes = {r["dim"]: r["n"] for r in found.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()}
+    routers = fit(found, sizes, sample, part_rows)
+    placed = checkpoint(route(found, routers).select("id", "v", F.size("v").alias("dim"), F.col("order")[0].alias("part")))
+    # one row a part, with how many rows it holds and in how many chunks
+    held = checkpoint(placed.groupBy("dim", "part").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")))
+    rows_of = {dim: np.zeros(r.parts, np.int64) for dim, r in routers.items()}
+    for r in held.where(F.col("dim").isin(*(routers or [0]))).collect():  # at most MOST_PARTS^2 a router
+        rows_of[r["dim"]][r["part"]] = r["n"]
+    asked = route(found.where(is_query), routers, rows_of or None, k).select("id", "v", F.size("v").alias("dim"), F.explode("order").alias("part"))
+    asked = checkpoint(asked.join(held.select("dim", "part", "chunks"), ["dim", "part"]))
+    load = asked.groupBy("dim", "part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    spread = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    one = lambda m: F.pmod(F.xxhash64("id", "v"), F.col(m)).cast("int")
+    asked = asked.join(load, ["dim", "part"]).withColumn("block", one("blocks")).withColumn("chunk", spread("chunks"))
+    kept = placed.join(held.select("dim", "part", "chunks").join(load, ["dim", "part"]), ["dim", "part"]).withColumn("chunk", one("chunks")).withColumn("block", spread("blocks"))
+    cols = ["dim", "part", "chunk", "block", "id", "v"]
+    both = asked.select(*cols, F.lit(True).alias("q")).unionByName(kept.select(*cols, F.lit(False).alias("q")))
 
     def rank(table: pa.Table) -> pa.Table:
-        ids, q, x = table.column("id").to_numpy(), table.column("q").to_numpy(), _as_matrix(table.column("v"), model["dim"])
+        ids, q, x = table.column("id").to_numpy(), table.column("q").to_numpy(), _as_matrix(table.column("v"))
         got = top_by_cosine(ids[q], x[q], ids[~q], x[~q], k) if q.any() and not q.all() else ([], [], [])
         return pa.table([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()), pa.array(got[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
-    near = both.groupBy("part", "chunk", "block").applyInArrow(rank, "query_id long, vec_id long, score double")
+    near = both.groupBy("dim", "part", "chunk", "block").applyInArrow(rank, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
