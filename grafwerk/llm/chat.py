@@ -20,6 +20,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Code points of a piece of text that spans are read from.
+PIECE = 4096
+
 
 @dataclass(frozen=True)
 class Template:
@@ -47,7 +50,7 @@ class Template:
 
 def segments(conversations: DataFrame, template: Template = Template()) -> DataFrame:
     """One row per turn: conv_id, nth, ok (the machine has this step), segments: array of
-    (text, loss). One shuffle, by conversation."""
+    (text, loss), and at, the code points of the turns before it. One shuffle, by conversation."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"))
@@ -58,29 +61,47 @@ def segments(conversations: DataFrame, template: Template = Template()) -> DataF
     begin, middle = template.open.split("{role}")
     head = F.concat(F.lit(begin), template.escape(F.col("role")), F.lit(middle))
     part = lambda t, loss: F.struct(t.alias("text"), loss.alias("loss"))
-    return rows.select(
+    turns = rows.select(
         "conv_id",
-        F.row_number().over(order).alias("nth"),
+        "turn",
         "role",
+        "text",
+        F.row_number().over(order).alias("nth"),
         ok.alias("ok"),
         F.array(part(head, F.lit(False)), part(template.escape(F.col("text")), F.col("role").isin(*template.loss_roles)), part(F.lit(template.close), F.lit(False))).alias("segments"),
     )
+    size = F.aggregate("segments", F.lit(0).cast("long"), lambda n, s: n + F.char_length(s["text"]))
+    before_it = order.rowsBetween(Window.unboundedPreceding, -1)
+    return turns.withColumn("size", size).select("conv_id", "nth", "role", "ok", "segments", F.coalesce(F.sum("size").over(before_it), F.lit(0)).alias("at"))
 
 
 def format_conversations(conversations: DataFrame, template: Template = Template()) -> DataFrame:
     """conv_id, formatted text, loss_spans (start and length in code points), valid."""
-    turns = segments(conversations, template).groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("nth", "segments", "role"))).alias("turns"),
-        F.bool_and("ok").alias("ok"),
-    )
-    parts = turns.select("conv_id", "ok", F.element_at("turns", -1)["role"].alias("last"), F.flatten("turns.segments").alias("parts"))
-    spans = F.aggregate(
-        F.transform("parts", lambda p: F.struct(F.char_length(p["text"]).cast("long").alias("n"), p["loss"].alias("loss"))),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
-        lambda s, p: F.struct((s["at"] + p["n"]).alias("at"), F.when(p["loss"], F.concat(s["spans"], F.array(F.struct(s["at"].alias("start"), p["n"].alias("length"))))).otherwise(s["spans"]).alias("spans")),
-        lambda s: s["spans"],
+    # in a turn, the spans of its segments under the loss; few segments, so the sum is short
+    begin = lambda s, k: F.aggregate(F.slice(s, 1, k), F.lit(0).cast("long"), lambda n, x: n + F.char_length(x["text"]))
+    spans = F.filter(
+        F.transform("segments", lambda p, k: F.struct((F.col("at") + begin(F.col("segments"), k)).alias("start"), F.char_length(p["text"]).cast("long").alias("length"), p["loss"].alias("loss"))),
+        lambda p: p["loss"],
     )
-    return parts.select("conv_id", F.array_join("parts.text", "").alias("formatted"), spans.alias("loss_spans"), (F.col("ok") & F.col("last").isin(*template.last_roles)).alias("valid"))
+    own = F.transform(spans, lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length")))
+    rows = segments(conversations, template).select("conv_id", "ok", F.struct("nth", F.array_join("segments.text", "").alias("text"), own.alias("spans"), "role").alias("turn"))
+    turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"), F.bool_and("ok").alias("ok"))
+    last = F.element_at("turns", -1)["role"]
+    return turns.select("conv_id", F.array_join("turns.text", "").alias("formatted"), F.flatten("turns.spans").alias("loss_spans"), (F.col("ok") & last.isin(*template.last_roles)).alias("valid"))
+
+
+def slices(text: Column, spans: Column) -> Column:
+    """The code points of ``text`` in each span (start, length). The text is cut into pieces
+    once, so that a span costs its own length and a piece, not all the text before it."""
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def one(pieces: Column, s: Column) -> Column:
+        first, end = F.floor(s["start"] / PIECE), s["start"] + s["length"]
+        part = lambda i: F.substr(F.get(pieces, i.cast("int")), (F.greatest(s["start"] - i * PIECE, F.lit(0)) + 1).cast("int"), (F.least(end, (i + 1) * PIECE) - F.greatest(s["start"], i * PIECE)).cast("int"))
+        return F.when(s["length"] > 0, F.array_join(F.transform(F.sequence(first, F.floor((end - 1) / PIECE)), part), "")).otherwise("")
+
+    # the one-element array binds the pieces, so that they are made once for each text
+    return F.transform(F.array(cut), lambda pieces: F.transform(spans, lambda s: one(pieces, s)))[0]
 
 
 def read_back(formatted: DataFrame, template: Template = Template()) -> DataFrame:
@@ -93,5 +114,5 @@ def read_back(formatted: DataFrame, template: Template = Template()) -> DataFram
             template.unescape(F.substr(p, F.position(F.lit(middle), p, F.lit(len(begin) + 1)) + len(middle))).alias("text"),
         ),
     )
-    lost = F.transform("loss_spans", lambda s: template.unescape(F.substr("formatted", (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    lost = F.transform(slices(F.col("formatted"), F.col("loss_spans")), template.unescape)
     return formatted.select("conv_id", "valid", "formatted", pieces.alias("turns"), lost.alias("loss_texts"))
