@@ -233,6 +233,7 @@ class Cutter:
     _exact = regex.compile(PRE_TOKEN)
     _quick = re.compile(QUICK_TOKEN)
     _kinds = tuple(regex.compile(k) for k in (r"\p{L}+", r"\p{N}+", rf"[^{SPACE}\p{{L}}\p{{N}}]+"))
+    _blanks = regex.compile(rf"[{SPACE}]+")
 
     def __init__(self, vocab: Vocabulary) -> None:
         self.vocab, self.window = vocab, max(4 * vocab.lookahead, 1024)
@@ -263,6 +264,12 @@ class Cutter:
         if self._kind is not None:
             run = self._kind.match(text)
             more, text = (run[0], text[run.end() :]) if run else ("", text)
+            if self._kind is self._blanks and more and (text or not last):
+                more, text = more[:-1], more[-1] + text  # the last blank may belong to what follows
+                if len(text) == 1 and not last:
+                    out.append(self._grow(more.encode()))
+                    self._text = text
+                    return out
             out.append(self._grow(more.encode()))
             if not text and not last:
                 return out
@@ -279,6 +286,10 @@ class Cutter:
                 self._kind = kind
                 parts.append(self._grow(self._text.encode()))
                 self._text = ""
+            elif len(self._text) > self.window and self._blanks.fullmatch(self._text):
+                self._kind = self._blanks
+                parts.append(self._grow(self._text[:-1].encode()))
+                self._text = self._text[-1]
         return out + parts
 
     def _grow(self, more: bytes) -> bytes:
