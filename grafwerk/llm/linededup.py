@@ -4,8 +4,9 @@ Each text is split into lines and each line reduced, inside one expression, to t
 hash of its key (stripped, A-Z lower-cased); only hashes, ids and positions are exploded
 and shuffled. A key's smallest and largest document come from one aggregation that combines
 before the shuffle, so a line that a third of all documents hold is a few rows by then.
-Positions to drop come back by a join on the hash, and each text is put together from the
-positions that stay.
+Positions to drop come back by a join on the hash, in which the lines of a key that many
+documents hold are dealt over many tasks, and each text is put together from the positions
+that stay.
 
 Defined results: a null or empty text is one empty line and stays one; a document that loses
 all its lines has the empty text; rows that repeat a doc_id count as one document and each
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grafwerk.llm.shared import join_spread
+
 #: Least code points of a key, and least documents that hold it.
 MIN_CHARS, MIN_DOCS = 10, 2
 #: The white space that is stripped, and the letters that are lower-cased.
@@ -47,11 +50,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hashed = F.transform(line_keys(F.col("__lines")), lambda k: F.when(F.char_length(k) >= min_chars, _key_hash(k)))
     lines = keyed.select("__id", "__text", F.posexplode(hashed).alias("__pos", "h")).where(F.col("h").isNotNull()).select("__id", "__text", "__pos", "h.a", "h.b")
     if min_docs == 2:
-        common = lines.groupBy("a", "b").agg(F.min("__id").alias("__first"), F.max("__id").alias("__last")).where(F.col("__first") < F.col("__last"))
+        common = lines.groupBy("a", "b").agg(F.min("__id").alias("__first"), F.max("__id").alias("__last"), F.count("*").alias("n")).where(F.col("__first") < F.col("__last"))
     else:
-        common = lines.groupBy("a", "b", "__id").agg(F.lit(1).alias("one")).groupBy("a", "b").agg(F.min("__id").alias("__first"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
+        common = lines.groupBy("a", "b", "__id").agg(F.count("*").alias("lines")).groupBy("a", "b").agg(F.min("__id").alias("__first"), F.count("*").alias("docs"), F.sum("lines").alias("n")).where(F.col("docs") >= min_docs)
     dropped = (
-        lines.join(common.select("a", "b", "__first"), ["a", "b"])
+        join_spread(lines, common.select("a", "b", "__first", "n"), ["a", "b"], "__id")
         .where(F.col("__id") > F.col("__first"))
         .groupBy("__id", "__text")
         .agg(F.collect_set("__pos").alias("__dropped"))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch; the bytes keep a batch of very long texts small.
 ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
+#: A key with over a HEAVY-th of all rows is dealt over SALTS tasks.
+HEAVY, SALTS = 1000, 64
 BATCH_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(ARROW_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BYTES)}
 Batches = Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -74,6 +76,26 @@ def lean(run: Batches) -> Batches:
     return wrapped
 
 
+def join_spread(rows: DataFrame, facts: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``facts``, which has one row for a key and its number of
+    rows, n. The rows of a heavy key, one with over a HEAVY-th of all, are dealt by a hash of
+    ``by`` over SALTS tasks; fewer than HEAVY keys can be heavy, so those are broadcast."""
+    facts = checkpoint(facts)
+    heavy = facts.where(F.col("n") > F.lit(facts.agg(F.sum("n")).first()[0] or 0) / HEAVY).select(*keys, F.lit(True).alias("__heavy"))
+    if heavy.isEmpty():
+        return rows.join(facts.drop("n"), keys, how)
+    marked = rows.join(F.broadcast(heavy), keys, "left").withColumn("__salt", F.when(F.col("__heavy"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("__heavy")
+    every = F.when(F.col("__heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copies = facts.drop("n").join(F.broadcast(heavy), keys, "left").withColumn("__salt", F.explode(every)).drop("__heavy")
+    return marked.join(copies, [*keys, "__salt"], how).drop("__salt")
+
+
+def sampled(rows: DataFrame, n: int, sample: int, *by: str) -> DataFrame:
+    """About ``sample`` of n rows by a hash of columns; no task gives more than its share."""
+    share = min(1.0, sample / max(n, 1))
+    return rows.where(F.shiftrightunsigned(F.xxhash64(*by, F.lit("sample")), 33) < F.lit(int(share * 2**31)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
