@@ -1,7 +1,7 @@
 """WARC archives compressed record by record against an embedded Zstandard dictionary.
 
-The dictionary is trained on a bounded sample of the archived records and leads every file
-in a skippable frame; each record is a frame of its own behind it, so a reader needs nothing
+The dictionary is trained on the beginnings (SAMPLE_CHARS characters, for the dictionary
+alone) of about SAMPLE archived records and leads every file in a skippable frame; each record is a frame of its own behind it, so a reader needs nothing
 but the file. Of records with equal payloads the one with the largest page id is a response,
 the others are revisits that refer to it. Files go to the folder that all executors share
 and are named by task and attempt: only files of tasks that succeeded are listed and read.
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grafwerk.llm.shared import checkpoint, lean, remove, shared_dir
+from grafwerk.llm.shared import checkpoint, join_spread, lean, remove, sampled, shared_dir
 
 #: Records and characters of each that the dictionary is trained on; its size; bytes of a file.
 SAMPLE, SAMPLE_CHARS, DICTIONARY, FILE_BYTES = 400, 16_384, 65_536, 64 << 20
@@ -71,17 +71,19 @@ def leading_frame(dictionary: bytes) -> bytes:
 
 def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, refers_to, revisit. Groups are formed from digests, not pages;
-    only digests that several rows share are joined back."""
+    only digests that several rows share are joined back, and the pages of a digest that
+    very many share are dealt over many tasks."""
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    shared = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
+    shared = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1")
     revisit = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
-    return rows.join(shared, "digest", "left").select("page_id", "url", "payload", F.when(revisit, F.col("last")).alias("refers_to"), revisit.alias("revisit"))
+    return join_spread(rows, shared, ["digest"], "page_id", "left").select("page_id", "url", "payload", F.when(revisit, F.col("last")).alias("refers_to"), revisit.alias("revisit"))
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     """Write .warc.zst files under a folder URI; returns path, records, bytes of each."""
-    few = pages.select("page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_CHARS).alias("html")).orderBy(F.xxhash64("page_id"), "page_id", "html").limit(SAMPLE).collect()
-    dictionary = train([record(r["page_id"], r["url"], r["html"].encode(), None, False) for r in few])
+    begins = pages.select("page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_CHARS).alias("html"))
+    few = sampled(begins, pages.count(), SAMPLE, "page_id", "url", "html").distinct().collect()
+    dictionary = train([record(r["page_id"], r["url"], r["html"].encode(), None, False) for r in sorted(few, key=repr)])
     fs, root = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
 
@@ -172,7 +174,10 @@ def read_archives(archives: DataFrame, folder: str, with_payload: bool = True) -
 
 
 def archive_round_trip(pages: DataFrame, min_bytes: int = 0, with_payload: bool = False) -> DataFrame:
-    """Write all pages to a new folder beside the checkpoints and read the files back."""
+    """Write all pages to a new folder beside the checkpoints, read the files back and, when
+    what was read is kept in a checkpoint, delete them."""
     folder = f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
     folder = folder if ":" in folder else f"file://{folder}"
-    return read_archives(write_archives(pages, folder, min_bytes), folder, with_payload)
+    back = checkpoint(read_archives(write_archives(pages, folder, min_bytes), folder, with_payload))
+    remove(pages.sparkSession, folder)
+    return back
