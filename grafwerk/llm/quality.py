@@ -1,14 +1,15 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
 Statistics are counted over whole texts in the tasks; the trees are fitted on the driver from
-a bounded sample of labelled rows (``SAMPLE``, the smallest hashes of the id), with features
+a bounded sample of labelled rows (at most ``SAMPLE``, by a hash of the id), with features
 cut into ``BINS`` quantile bins and gradients summed by bin, then flattened into arrays that
 numpy walks for all documents of a batch and all trees at once. Only the text is looked at.
 
 Defined results: a null text is an empty one, which has all-zero statistics and a score like
 any other; without labels, or with one label only, every score is the labels' mean (0.5
 without any); null ids are scored, are not held out and never trained on; of rows that
-repeat an id in the labels the smaller label counts. Extra columns are ignored.
+repeat an id in the labels the smaller label counts, of documents that do so the smallest
+statistics. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grafwerk.llm.shared import lean
+from grafwerk.llm.shared import checkpoint, lean, sampled
 
 #: Labelled rows to fit on at most; bins of a feature; trees, their depth, step and penalty.
 SAMPLE, BINS, TREES, DEPTH, RATE, RIDGE, LEAST = 20_000, 64, 80, 4, 0.15, 1.0, 20
@@ -165,10 +166,13 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Trees:
     """Fit on at most ``sample`` labelled rows that are not held out; broadcasts only these."""
     known = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1) & ~held_out("k"))
-    chosen = known.groupBy("k").agg(F.min("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(sample)
+    known = known.groupBy("k").agg(F.min("y").alias("y"))
+    n = known.count()
+    chosen = checkpoint(known if n <= sample else sampled(known, n, int(0.97 * sample), "k"))  # a share that stays below
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "k")
     pairs = document_statistics(rows, "k", "t").join(F.broadcast(chosen.withColumnRenamed("k", "id")), "id")
-    found = pairs.select("id", "features", "y").toPandas().sort_values("id", kind="stable").drop_duplicates("id")[:sample]
+    once = pairs.groupBy("id").agg(F.min(F.struct("features", "y")).alias("row")).select("id", "row.*")
+    found = once.toPandas().sort_values("id", kind="stable")[:sample]
     return fit_trees(np.array(found["features"].tolist(), float).reshape(len(found), len(FEATURES)), found["y"].to_numpy(float))
 
 
