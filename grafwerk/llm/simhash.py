@@ -33,6 +33,7 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterable, Iterator
 
@@ -44,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grafwerk.llm.shared import checkpoint, lean, text_of
+from grafwerk.llm.shared import HEAVY, checkpoint, join_spread, lean, text_of
 
 WORDS, SEED, BUDGET = 4, 42, 4
 #: Fingerprints of a cell above which it is split; pairs of leaves compared at once.
@@ -54,7 +55,7 @@ TASK_ROWS, LOCAL = 1_000_000, 1 << 20
 #: Near copies: words of a shingle, least similarity, bits that may differ, of all and of the
 #: first 64 of a draw; chance that no cell has a pair at that similarity; texts of a cell.
 WIDE_WORDS, SIMILAR, WIDE_BUDGET, KEY_BUDGET, MISS, CROWD = 5, 0.8, 54, 21, 0.001, 64
-WIDE, SALTS = 256, 32
+WIDE, NEXT = 256, 4
 
 
 def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
@@ -304,11 +305,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, budge
     has to travel to its root's task.
     """
     prints = checkpoint(fingerprints(docs, words, seed, id_col, text_col))
-    first = checkpoint(prints.groupBy("fp").agg(F.min(id_col).alias("first")))
+    first = checkpoint(prints.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("n")))
     end = lambda x: F.struct(F.col(f"first_{x}").isNull().alias("unnamed"), F.col(f"first_{x}").alias("first"), F.col(x).alias("fp")).alias(x)
     linked = components(links(first, budget, cell).select(end("u"), end("v"))).select(F.col("node.fp").alias("fp"), F.col("root.first").alias("name"), F.lit(True).alias("linked"))
-    names = first.join(linked, "fp", "left").select("fp", F.when(F.col("linked"), F.col("name")).otherwise(F.col("first")).alias("component_id"))
-    return prints.join(names, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    names = first.join(linked, "fp", "left").select("fp", "n", F.when(F.col("linked"), F.col("name")).otherwise(F.col("first")).alias("component_id"))
+    return join_spread(prints, names, ["fp"], id_col).select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 # --- near copies: wide fingerprints, whole shingle sets decide ---------------------------
@@ -386,42 +387,44 @@ def wide_fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return made.groupBy("node").agg(F.first("words").alias("words"))
 
 
-def _wide_cells(prints: DataFrame, bits: int, turns: int) -> DataFrame:
-    """(node, root, words) once for each rotation, with its cell."""
-    lead = draws(turns)
+def _wide_cells(prints: DataFrame, bits: int, turns: list[int]) -> DataFrame:
+    """(node, root, size, words) once for each of these rotations, with its cell."""
+    lead = draws(max(turns) + 1)
 
     @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
                 plain = np.unpackbits(batch.column("words").flatten().to_numpy().view(np.uint8).reshape(len(batch), WIDE // 8), axis=1)
-                for turn in range(turns):
+                for turn in turns:
                     key = _lead(plain, lead[turn])
                     cell = (key >> np.uint64(64 - bits)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "root", "words")), pa.array(np.full(len(batch), turn, np.int32)), pa.array(cell)], names=["fp", "root", "words", "turn", "cell"])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "root", "size", "words")), pa.array(np.full(len(batch), turn, np.int32)), pa.array(cell)], names=["fp", "root", "size", "words", "turn", "cell"])
 
-    return prints.select("node", "root", "words").mapInArrow(run, "fp long, root long, words array<long>, turn int, cell long")
+    return prints.select("node", "root", "size", "words").mapInArrow(run, "fp long, root long, size long, words array<long>, turn int, cell long")
 
 
-def _nearest(i: np.ndarray, j: np.ndarray, far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the pairs (i, j) those that are among the k nearest of i or of j."""
-    who, pair = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
+def _nearest(i: np.ndarray, j: np.ndarray, far: np.ndarray, size: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs (i, j) those that are among the k nearest of an end whose group is not the
+    larger one: a large group is found by the small ones beside it."""
+    asks = np.concatenate([size[i] <= size[j], size[j] <= size[i]])
+    who, pair = np.concatenate([i, j])[asks], np.tile(np.arange(len(i)), 2)[asks]
     order = np.lexsort([pair, far[pair], who])
     place = np.arange(len(who)) - np.searchsorted(who[order], who[order])
     keep = np.unique(pair[order][place < k])
     return i[keep], j[keep], far[keep]
 
 
-def proposals(prints: DataFrame, bits: int, turns: int, k: int, cell: int = CELL) -> DataFrame:
+def proposals(prints: DataFrame, bits: int, turns: list[int], k: int, cell: int = CELL) -> DataFrame:
     """Distinct pairs (u, v), u < v, of texts of unlike groups: of each text the k nearest
-    of every cell, by fingerprint and within WIDE_BUDGET bits."""
-    lead = draws(turns)
+    of its cells in these rotations, by fingerprint and within WIDE_BUDGET bits."""
+    lead = draws(max(turns) + 1)
 
     @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (table := _read(batches)) is None:
             return
-        col = {c: table.column(c).to_numpy() for c in ("fp", "root", "turn", "cell", "i", "j", "is_i")}
+        col = {c: table.column(c).to_numpy() for c in ("fp", "root", "size", "turn", "cell", "i", "j", "is_i")}
         words = table.column("words").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(table), WIDE // 64)
         key = np.zeros(len(words), np.uint64)
         for turn in np.unique(col["turn"]).tolist():
@@ -437,13 +440,13 @@ def proposals(prints: DataFrame, bits: int, turns: int, k: int, cell: int = CELL
             near = far <= WIDE_BUDGET
             held = [np.concatenate(x) for x in zip(held, (i[near], j[near], far[near]))]
             if len(held[0]) > CHUNK:
-                held = list(_nearest(*held, k))
-        i, j, _ = _nearest(*held, k)
+                held = list(_nearest(*held, col["size"], k))
+        i, j, _ = _nearest(*held, col["size"], k)
         u, v = np.minimum(col["fp"][i], col["fp"][j]), np.maximum(col["fp"][i], col["fp"][j])
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     spread = _split_cells(_wide_cells(prints, bits, turns), cell)
-    parts = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), prints.count() * turns // TASK_ROWS + 1)
+    parts = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), prints.count() * len(turns) // TASK_ROWS + 1)
     return spread.repartition(parts, "turn", "cell", "i", "j").mapInArrow(run, "u long, v long").distinct()
 
 
@@ -472,16 +475,16 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, cell: int = CELL, id_
     """id_col, node (hash of the text) and component_id, the smallest id reachable through
     texts whose five-word shingle sets are similar.
 
-    The first round proposes each text's nearest of every cell, the next ones its two nearest,
-    only between groups and only for texts that have a neighbour at all.
+    The first round proposes each text's nearest of every cell, the next ones its NEXT nearest
+    in a third of the rotations in turn, only between groups and only for texts that have a
+    neighbour at all.
     """
     prints = checkpoint(wide_fingerprints(docs, text_col))
     bits, turns = rotations(prints.count(), similar)
-    pool = prints.withColumn("root", F.col("node"))
+    pool = prints.withColumn("root", F.col("node")).withColumn("size", F.lit(1).cast("long"))
     tried = edges = roots = None
-    k = 1
-    while True:
-        found = proposals(pool, bits, turns, k, cell)
+    for turn in itertools.count():
+        found = proposals(pool, bits, list(range(turns) if not turn else range(turn % 3, turns, 3)), NEXT if turn else 1, cell)
         found = checkpoint(found if tried is None else found.join(tried, ["u", "v"], "left_anti"))
         if found.isEmpty():
             break
@@ -494,13 +497,14 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, cell: int = CELL, id_
         roots = checkpoint(roots.union(roots.select("root", "root").distinct()))
         met = tried.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         pool = prints.join(met, "node", "left_semi").join(roots, "node", "left").select("node", "words", F.coalesce("root", "node").alias("root"))
-        k = 2
+        large = roots.groupBy("root").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "root").limit(HEAVY)
+        pool = pool.join(F.broadcast(large), "root", "left").withColumn("size", F.coalesce("size", F.lit(1)))
     named = docs.select(id_col, node(text_col).alias("node"))
     if roots is None:
         roots = docs.sparkSession.createDataFrame([], "node long, root long")
-    firsts = named.groupBy("node").agg(F.min(id_col).alias("first")).join(roots, "node", "left").select("node", "first", "root")
-    alone, linked = firsts.where("root is null").select("node", "first"), firsts.where("root is not null")
-    # the members of a large group look up its name in SALTS places
-    name = linked.groupBy("root").agg(F.min("first").alias("name")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    found = linked.withColumn("salt", F.pmod("node", F.lit(SALTS)).cast("int")).join(name, ["root", "salt"]).select("node", "name")
-    return named.join(alone.union(found).toDF("node", "component_id"), "node").select(id_col, "node", "component_id")
+    firsts = named.groupBy("node").agg(F.min(id_col).alias("first"), F.count("*").alias("n")).join(roots, "node", "left").select("node", "first", "n", "root")
+    alone, linked = firsts.where("root is null").select("node", "first", "n"), firsts.where("root is not null")
+    # the members of a large group look up its name, and copies that of their text, in many places
+    name = linked.groupBy("root").agg(F.min("first").alias("name"), F.count("*").alias("n"))
+    found = join_spread(linked.select("root", "node", F.col("n").alias("copies")), name, ["root"], "node").select("node", "name", "copies")
+    return join_spread(named, alone.union(found).toDF("node", "component_id", "n"), ["node"], id_col).select(id_col, "node", "component_id")
