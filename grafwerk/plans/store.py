@@ -2,32 +2,99 @@
 
 from __future__ import annotations
 
+import dataclasses
 import tempfile
+from collections.abc import Callable
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 from grafwerk.sources.views import Graph, from_tables
 
-_built: dict[tuple[str, str], Graph] = {}
+_built: dict[tuple[str, str], tuple[object, Graph]] = {}
+_cut: WeakKeyDictionary[DataFrame, dict[str, DataFrame]] = WeakKeyDictionary()
+SOURCES = ("nation", "supplier", "part", "lineitem")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in spark.checkpoint.dir, a local folder where the session has none."""
-    context = df.sparkSession.sparkContext
+    """Cut the lineage in spark.checkpoint.dir; where the session has none, in the warehouse,
+    or in a temporary folder if all runs in this process."""
+    spark = df.sparkSession
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named:
+            here = context.master.split("[")[0] == "local"
+            named = tempfile.mkdtemp(prefix="checkpoint") if here else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+        context.setCheckpointDir(named)
     return df.checkpoint()
 
 
+def cut_once(owner: DataFrame, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` derives from a DataFrame, checkpointed the first time it is asked for."""
+    held = _cut.setdefault(owner, {})
+    if name not in held:
+        held[name] = checkpoint(make())
+    return held[name]
+
+
+def _stamp(spark: SparkSession, sf_dir: str) -> object:
+    """Names, sizes and times of the files of the graph's tables."""
+    found = []
+    for name in SOURCES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def build(spark: SparkSession, sf_dir: str) -> Graph:
-    """Derive the graph and resolve its edges; later calls of a session reuse the result."""
+    """Derive the graph and resolve its edges; later calls of a session reuse the result
+    while the files of the tables are the same."""
     from grafwerk.operators.resolve import resolve_edges
 
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _built:
+    key, stamp = (spark.sparkContext.applicationId, sf_dir), _stamp(spark, sf_dir)
+    if key not in _built or _built[key][0] != stamp:
         graph = from_tables(spark, sf_dir)
-        _built[key] = graph.with_edges(checkpoint(resolve_edges(graph)))
-    return _built[key]
+        graph = dataclasses.replace(graph, raw_edges=checkpoint(graph.raw_edges))
+        _built[key] = (stamp, graph.with_edges(checkpoint(resolve_edges(graph))))
+    return _built[key][1]
+
+
+@contextmanager
+def build_lock(spark: SparkSession, path: str):
+    """One build of a stored graph at a time: a lock file that only one caller can create."""
+    lock = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.build.lock")
+    fs = lock.getFileSystem(spark._jsc.hadoopConfiguration())
+    if lock.getParent() is not None:
+        fs.mkdirs(lock.getParent())
+    if not fs.createNewFile(lock):
+        raise RuntimeError(f"another build is in progress; if it is not, remove {lock.toString()}")
+    try:
+        yield
+    finally:
+        fs.delete(lock, False)
+
+
+def replace(graph: Graph, path: str) -> None:
+    """Save the graph beside the stored one and put it in its place once it is whole, under
+    the lock; readers find the old one until then."""
+    spark = graph.symbols.sparkSession
+    where = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    path = path.rstrip("/")
+    with build_lock(spark, path):
+        fs = where(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        write(graph, f"{path}.new")
+        fs.delete(where(f"{path}.old"), True)
+        if fs.exists(where(path)) and not fs.rename(where(path), where(f"{path}.old")):
+            raise OSError(f"{path} can't be moved away")
+        if not fs.rename(where(f"{path}.new"), where(path)):
+            fs.rename(where(f"{path}.old"), where(path))
+            raise OSError(f"{path}.new can't be put in place")
+        fs.delete(where(f"{path}.old"), True)
 
 
 def write(graph: Graph, path: str) -> None:
