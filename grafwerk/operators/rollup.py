@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grafwerk.operators.lookup import located
+from grafwerk.plans.store import checkpoint
 from grafwerk.sources.views import Graph
 
 
@@ -33,10 +34,14 @@ def repo_dependencies(graph: Graph, namespaces: DataFrame, bounded: bool = False
     another repository, once for each namespace that fits; bounded wants whole segments."""
     place = graph.files.select(F.col("id").alias("file_id"), F.col("repo_id").alias("source"))
     paths = graph.imports.join(place, "file_id").groupBy("source", "imported_path").agg(F.count("*").alias("uses"))
-    hit = F.startswith("imported_path", F.concat("prefix", F.lit("."))) | (F.col("imported_path") == F.col("prefix")) if bounded else F.startswith("imported_path", "prefix")
-    # the first segment of both sides is an equi-key where prefixes have one whole segment
+    # an equi-join on the path's beginning, once for each length that a prefix has
     ns = namespaces.select(F.col("repo_id").alias("target"), "prefix")
-    return paths.join(ns, hit & (F.col("source") != F.col("target"))).groupBy("source", "target").agg(F.sum("uses").alias("n"), F.min("prefix").alias("evidence"))
+    lengths = [r["n"] for r in ns.select(F.char_length("prefix").alias("n")).distinct().collect()]
+    path = F.col("imported_path")
+    beginnings = [F.when((F.char_length(path) == n) | (F.substr(path, F.lit(n + 1), F.lit(1)) == "." if bounded else F.char_length(path) > n), F.left(path, F.lit(n))) for n in sorted(lengths)]
+    cut = paths.select("source", "uses", F.explode(F.array_compact(F.array(*(beginnings or [F.lit(None).cast("string")])))).alias("prefix"))
+    by_prefix = cut.groupBy("source", "prefix").agg(F.sum("uses").alias("uses"))
+    return by_prefix.join(ns, "prefix").where("source <> target").groupBy("source", "target").agg(F.sum("uses").alias("n"), F.min("prefix").alias("evidence"))
 
 
 def module_dependencies(graph: Graph, depth: int = 3) -> DataFrame:
@@ -72,8 +77,8 @@ def flow_gaps(graph: Graph, covered: DataFrame, least: int = 5) -> DataFrame:
     """Flow candidates by key (the name, with the file's base name where several files have
     it) and whether a guide (key) covers them."""
     found = flow_candidates(graph, least).join(graph.files.select(F.col("id").alias("file_id"), F.element_at(F.split("path", "/"), -1).alias("base")), "file_id")
-    several = F.size(F.collect_set("file_id").over(Window.partitionBy("name"))) > 1
-    keyed = found.withColumn("key", F.when(several, F.concat_ws("#", "name", "base")).otherwise(F.col("name"))).groupBy("key").agg(F.sum("outgoing").alias("outgoing"))
+    places = found.groupBy("name").agg((F.min("file_id") != F.max("file_id")).alias("several"))
+    keyed = found.join(places, "name").withColumn("key", F.when(F.col("several"), F.concat_ws("#", "name", "base")).otherwise(F.col("name"))).groupBy("key").agg(F.sum("outgoing").alias("outgoing"))
     return keyed.join(covered.select("key").distinct().withColumn("covered", F.lit(True)), "key", "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
 
 
@@ -94,8 +99,30 @@ def tool_metrics(events: DataFrame) -> DataFrame:
     return events.groupBy("tool").agg(F.count("*").alias("calls"), F.round(F.avg("duration_ms"), 6).alias("avg_ms"), F.count_if(error).alias("errors"), F.round(100 * F.avg(error.cast("double")), 6).alias("error_pct"))
 
 
-def percentiles(events: DataFrame) -> DataFrame:
-    return events.groupBy("tool").agg(*[F.round(F.percentile("duration_ms", p / 100), 6).alias(f"p{p}") for p in (50, 95, 99)])
+def percentiles(events: DataFrame, by: tuple[str, ...] = ("tool",), of: tuple[int, ...] = (50, 95, 99), bins: int = 1000) -> DataFrame:
+    """Exact percentiles, interpolated between the two values beside each.
+
+    Values are counted first. Equal steps between a group's least and greatest value say in
+    which step a wanted rank lies, and only those steps are put in order, so that no task
+    holds all values of a group.
+    """
+    keys = list(by)
+    held = checkpoint(events.where(F.col("duration_ms").isNotNull()).groupBy(*keys, F.col("duration_ms").cast("double").alias("x")).agg(F.count("*").alias("c")))
+    ends = held.groupBy(*keys).agg(F.min("x").alias("least"), F.max("x").alias("greatest"), F.sum("c").alias("n"))
+    step = F.when(F.col("greatest") > F.col("least"), F.least(F.floor((F.col("x") - F.col("least")) / (F.col("greatest") - F.col("least")) * bins), F.lit(bins - 1))).otherwise(0).cast("int")
+    placed = held.join(ends, keys).withColumn("step", step)
+    upto = Window.partitionBy(*keys).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = placed.groupBy(*keys, "step").agg(F.sum("c").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(upto), F.lit(0)))
+    place = lambda p: F.lit(p / 100) * (F.col("n") - 1)
+    wanted = ends.select(*keys, F.explode(F.array(*[F.struct(F.lit(p).alias("p"), side(place(p)).cast("long").alias("rank")) for p in of for side in (F.floor, F.ceil)])).alias("w")).select(*keys, "w.p", "w.rank").distinct()
+    hit = wanted.join(steps, keys).where("rank >= before and rank < before + c").select(*keys, "step", "p", "rank", "before")
+    inside = Window.partitionBy(*keys, "step").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    near = placed.join(hit.select(*keys, "step").distinct(), [*keys, "step"], "left_semi").withColumn("earlier", F.coalesce(F.sum("c").over(inside), F.lit(0)))
+    at = near.select(*keys, "step", "x", "earlier", "c").join(hit, [*keys, "step"]).where("rank >= before + earlier and rank < before + earlier + c")
+    pairs = at.groupBy(*keys, "p").agg(F.min("x").alias("low"), F.max("x").alias("high")).join(ends.select(*keys, "n"), keys)
+    part = F.col("p") / 100 * (F.col("n") - 1)
+    value = F.round(F.col("low") + (part - F.floor(part)) * (F.col("high") - F.col("low")), 6)
+    return pairs.groupBy(*keys).agg(*[F.max(F.when(F.col("p") == p, value)).alias(f"p{p}") for p in of])
 
 
 def regressions(now: DataFrame, before: DataFrame, limit: float = 15.0) -> DataFrame:

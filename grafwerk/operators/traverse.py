@@ -1,34 +1,51 @@
 """Breadth-first traversals, set at a time: a frontier joins the edges, what has been met
-before is removed by an anti join, and each level is checkpointed so that plans stay flat."""
+before is removed by an anti join, and each level is checkpointed so that plans stay flat.
+
+The distinct edges of a graph are made once, laid out by the end they are followed from. A
+frontier that was counted and found small is broadcast, so that a level reads the edges
+where they lie; a larger one is joined by its nodes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grafwerk.operators.lookup import STRUCTURAL, located, test_method
-from grafwerk.plans.store import checkpoint
+from grafwerk.plans.store import checkpoint, cut_once
 from grafwerk.sources.views import Graph
 
+#: Rows up to which a counted frontier is broadcast.
+SMALL = 50_000
+
 
-def reach(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, max_depth: int, limit: int | None = None) -> DataFrame:
     """seed, node, parent, depth of everything reachable from seeds (node) over edges
-    (from_id, to_id), each node once per seed at its least depth; seeds have depth 0."""
+    (from_id, to_id), each node once per seed at its least depth; seeds have depth 0. A seed
+    that has reached more than ``limit`` nodes goes no further than that level."""
     seen = frontier = seeds.select(F.col("node").alias("seed"), "node", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("depth")).distinct()
+    n = SMALL + 1
     for depth in range(1, max_depth + 1):
-        step = frontier.select("seed", F.col("node").alias("from_id")).join(edges, "from_id").groupBy("seed", F.col("to_id").alias("node")).agg(F.min("from_id").alias("parent"))
+        ahead = frontier.select("seed", F.col("node").alias("from_id"))
+        step = edges.join(F.broadcast(ahead) if n <= SMALL else ahead, "from_id").groupBy("seed", F.col("to_id").alias("node")).agg(F.min("from_id").alias("parent"))
         frontier = checkpoint(step.join(seen, ["seed", "node"], "left_anti").select("seed", "node", "parent", F.lit(depth).alias("depth")))
-        if frontier.isEmpty():
+        if not (n := frontier.count()):
             break
         seen = seen.unionByName(frontier)
+        if limit is not None and depth < max_depth:
+            over = seen.where("depth > 0").groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("seed")
+            frontier = frontier.join(over, "seed", "left_anti")
     return seen
 
 
 def _calls(graph: Graph, service: bool, backward: bool) -> DataFrame:
     kinds = STRUCTURAL + (("http_call", "service_call") if service else ())
-    e = graph.edges.where(F.col("target_id").isNotNull() & F.col("kind").isin(*kinds))
     a, b = ("target_id", "source_id") if backward else ("source_id", "target_id")
-    return e.select(F.col(a).alias("from_id"), F.col(b).alias("to_id")).distinct()
+
+    def made() -> DataFrame:
+        known = graph.edges.where(F.col("target_id").isNotNull() & F.col("kind").isin(*kinds))
+        return known.select(F.col(a).alias("from_id"), F.col(b).alias("to_id")).distinct().repartition("from_id")
+
+    return cut_once(graph.edges, f"calls {service} {backward}", made)
 
 
 def impacted(graph: Graph, name: str, max_depth: int = 10, service: bool = False) -> DataFrame:
@@ -95,20 +112,30 @@ def closure(graph: Graph, max_depth: int = 3) -> DataFrame:
     return found
 
 
-def dataflow_index(graph: Graph, kinds: tuple[str, ...] = ("function", "method", "class", "interface", "enum"), max_depth: int = 5) -> DataFrame:
-    """For every symbol of these kinds: how many symbols and repositories a change reaches.
-    One traversal for all seeds at once."""
+def dataflow_index(graph: Graph, kinds: tuple[str, ...] = ("function", "method", "class", "interface", "enum"), max_depth: int = 5, limit: int = 500) -> DataFrame:
+    """For every symbol of these kinds: how many symbols a change reaches, at most ``limit``,
+    and repositories up to the level that passed the limit. One traversal for all seeds."""
     seeds = graph.symbols.where(F.col("kind").isin(*kinds)).select(F.col("id").alias("node"))
-    met = reach(_calls(graph, False, True), seeds, max_depth).where("depth > 0 and seed <> node")
+    met = reach(_calls(graph, False, True), seeds, max_depth, limit).where("depth > 0 and seed <> node")
     repo = located(graph).select(F.col("id").alias("node"), "repo_id")
-    return met.join(repo, "node").groupBy(F.col("seed").alias("symbol_id")).agg(F.count("*").alias("within"), F.count_distinct("repo_id").alias("repos"))
+    n = F.count("*")
+    return met.join(repo, "node").groupBy(F.col("seed").alias("symbol_id")).agg(F.least(n, F.lit(limit)).alias("within"), F.count_distinct("repo_id").alias("repos"), (n > limit).alias("truncated"))
+
+
+def dataflow_lookup(graph: Graph, name: str) -> DataFrame:
+    """The rows of the graph's dataflow index, made at the first look-up, for a name."""
+    index = cut_once(graph.edges, "dataflow", lambda: dataflow_index(graph))
+    return index.join(graph.symbols.where(F.col("name") == name).select(F.col("id").alias("symbol_id")), "symbol_id", "left_semi")
 
 
-def ambiguous_dispatch(graph: Graph) -> DataFrame:
-    """Names that edges could not decide between, with who uses them."""
+def ambiguous_dispatch(graph: Graph, most: int = 50) -> DataFrame:
+    """Names that edges could not decide between: how many names of callers use them, and the
+    first ``most`` of those."""
     who = graph.symbols.select(F.col("id").alias("source_id"), F.col("name").alias("caller"))
-    hits = graph.edges.where("resolution = 'ambiguous'").join(who, "source_id").select("target_name", "caller").distinct()
-    return hits.groupBy("target_name").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("caller")), ",").alias("callers"))
+    hits = checkpoint(graph.edges.where("resolution = 'ambiguous'").join(who, "source_id").select("target_name", "caller").distinct())
+    order = Window.partitionBy("target_name").orderBy("caller")
+    first = hits.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).groupBy("target_name").agg(F.array_join(F.array_sort(F.collect_list("caller")), ",").alias("callers"))
+    return hits.groupBy("target_name").agg(F.count("*").alias("n")).join(first, "target_name")
 
 
 def symbol_subgraph(graph: Graph, symbol_id: int, fan: int = 30) -> DataFrame:
