@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from grafwerk.functions.text import tokens
+from grafwerk.functions.text import intent, tokens
 from grafwerk.operators import lexical, lookup, memory, rollup, traverse, vector
 from grafwerk.plans.store import checkpoint
 from grafwerk.sources.views import Graph
@@ -46,7 +46,8 @@ class HashRetriever(Retriever):
     def retrieve(self, question: str, k: int) -> DataFrame:
         spark = self.embedded.sparkSession
         asked = vector.hash_embed(spark.createDataFrame([(0, question)], "q long, t string"), "q", F.col("t"))
-        return vector.sparse_cosine(self.embedded, asked).where(F.col("score") >= self.threshold).orderBy(F.desc("score"), "id").limit(k)
+        near = vector.sparse_cosine(self.embedded, asked).withColumn("score", F.round("score", 9))
+        return near.where(F.col("score") >= self.threshold).orderBy(F.desc("score"), "id").limit(k)
 
 
 def rerank(hits: DataFrame, question: str, text: Column, reranker: Reranker, limit: int) -> DataFrame:
@@ -145,17 +146,24 @@ def moved(records: DataFrame, new_tier: str) -> DataFrame:
     return records.withColumn("tier", F.when(rank[F.col("tier")] > order[new_tier], new_tier).otherwise(F.col("tier")))
 
 
-def route(question: str, intent_layer: str, layers: dict[str, Callable[[str], DataFrame]]) -> DataFrame:
-    """The layer's answer (id, score); where it is empty, those of all layers."""
-    if intent_layer in layers:
-        own = layers[intent_layer](question)
-        if not own.isEmpty():
-            return own.withColumn("layer", F.lit(intent_layer))
-    answers = [f(question).withColumn("layer", F.lit(k)) for k, f in layers.items()]
-    out = answers[0]
-    for a in answers[1:]:
-        out = out.unionByName(a)
-    return out
+#: Layers that answer where the one that was asked has nothing: the graph, memory, knowledge.
+FALLBACK = ("L1", "L4", "L5")
+
+
+def routed(spark: SparkSession, question: str, layers: dict[str, Callable[[str], DataFrame]]) -> DataFrame:
+    """layer, id, score: the classifier says which layer answers a question, or all of them;
+    where the answer is empty, the layers of FALLBACK answer."""
+    wanted = spark.range(1).select(intent(F.lit(question))["layer"].alias("layer")).first()["layer"]
+
+    def ask(names: Iterable[str]) -> DataFrame | None:
+        out = None
+        for name in names:
+            own = layers[name](question).select(F.lit(name).alias("layer"), "id", "score")
+            out = own if out is None else out.unionByName(own)
+        return out
+
+    answer = ask([n for n in layers if wanted in (n, "ALL")])
+    return ask([n for n in FALLBACK if n in layers]) if answer is None or answer.isEmpty() else answer
 
 
 def module_guide(graph: Graph, depth: int = 3) -> DataFrame:

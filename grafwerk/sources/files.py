@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +64,140 @@ def scan(spark: SparkSession, root: str, **filters) -> DataFrame:
     return rows.withColumn("hash", F.sha2("content", 256)).drop("content")
 
 
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """path (below the root), size, mtime of all files, without reading any."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreHidden", "false").load(root)
+    base = F.lit(root.rstrip("/") + "/")
+    return raw.select(F.element_at(F.split("path", base), -1).alias("path"), F.col("length").alias("size"), F.col("modificationTime").cast("double").alias("mtime"))
+
+
+def discover_repos(paths: DataFrame) -> DataFrame:
+    """repo: the folders directly below a root whose listing (path) has a .git in them, skipped
+    folders aside; the root itself (``.``) where there is none but the root has one."""
+    parts = F.split("path", "/")
+    own = paths.where((F.size(parts) >= 2) & (parts[1] == ".git") & ~F.lower(parts[0]).isin(*SKIPPED)).select(parts[0].alias("repo")).distinct()
+    root = paths.where(parts[0] == ".git").select(F.lit(".").alias("repo")).distinct()
+    none = own.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(True).alias("alone"))
+    return own.unionByName(root.crossJoin(F.broadcast(none)).select("repo"))
+
+
+def located_path(path: Column, repo: Column, root: str, single: Column) -> Column:
+    """Where a stored path lies: below the root and its repository, or below the root if that
+    is the only repository; absolute paths stay."""
+    below = F.when(single, F.concat(F.lit(root.rstrip("/") + "/"), path)).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), repo, F.lit("/"), path))
+    return F.when(F.startswith(path, F.lit("/")), path).otherwise(below)
+
+
+def repo_of(path: Column, root: str, single: str | None = None) -> Column:
+    """The repository of an absolute path: the first folder below the root, or the single one;
+    null outside the root."""
+    base = root.rstrip("/") + "/"
+    first = F.split(F.substr(path, F.lit(len(base) + 1)), "/")[0]
+    return F.when(F.startswith(path, F.lit(base)) & (F.char_length(path) > len(base)), F.lit(single) if single else first)
+
+
+#: Settings and their kinds; others are ignored.
+SETTINGS = {"exclude": list, "include": list, "repo_namespaces": dict, "scip": dict}
+
+
+def settings(spark: SparkSession, path: str) -> dict:
+    """exclude, include, repo_namespaces and scip of a JSON file; what is missing, of the wrong
+    kind or no text is left out, and a file that is not there or broken gives the defaults."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found: object = {}
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        text = "".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+        try:
+            found = json.loads(text)
+        except ValueError:
+            found = {}
+    found = found if isinstance(found, dict) else {}
+    out: dict = {}
+    for name, kind in SETTINGS.items():
+        value = found.get(name)
+        if kind is list:
+            out[name] = [x for x in value if isinstance(x, str)] if isinstance(value, list) else []
+        else:
+            out[name] = {k: v for k, v in value.items() if isinstance(v, str)} if isinstance(value, dict) else {}
+    return out
+
+
+def query_set(spark: SparkSession, path: str) -> DataFrame:
+    """query, corpus, expect of an evaluation file: a list of entries with these keys, as JSON
+    or as the block form of YAML (scalars and lists of scalars)."""
+    text = "".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+    try:
+        entries = json.loads(text)
+    except ValueError:
+        entries = _block_list(text)
+    rows = [(str(e["query"]), e.get("corpus"), [str(x) for x in e.get("expect") or []]) for e in entries if isinstance(e, dict) and e.get("query")]
+    return spark.createDataFrame(rows, "query string, corpus string, expect array<string>")
+
+
+def _block_list(text: str) -> list[dict]:
+    out: list[dict] = []
+    key = None
+    bare = lambda x: x.strip().strip("\"'")
+    for line in text.split("\n"):
+        body = line.split(" #")[0].rstrip()
+        if not body.strip() or body.lstrip().startswith("#"):
+            continue
+        indent, item = len(body) - len(body.lstrip()), body.strip()
+        if item.startswith("- ") and (indent == 0 or key is None):
+            out.append({})
+            item = item[2:].strip()
+        elif item.startswith("- ") and out and key:
+            out[-1].setdefault(key, []).append(bare(item[2:]))
+            continue
+        name, colon, value = item.partition(":")
+        if colon and out:
+            key = name.strip()
+            value = value.strip()
+            if value.startswith("["):
+                out[-1][key] = [bare(x) for x in value.strip("[]").split(",") if x.strip()]
+            elif value:
+                out[-1][key] = bare(value)
+    return out
+
+
+def index_pages(records: DataFrame) -> DataFrame:
+    """folder, text: a table of each folder's records (path, type, title, description)."""
+    folder = F.regexp_replace("path", "/?[^/]*$", "")
+    base = F.element_at(F.split("path", "/"), -1)
+    told = F.replace(F.left(F.coalesce("description", F.lit("")), F.lit(60)), F.lit("|"), F.lit("\\|"))
+    line = F.concat(F.lit("| "), base, F.lit(" | "), "type", F.lit(" | "), F.coalesce("title", base), F.lit(" | "), told, F.lit(" |"))
+    rows = records.where(~base.isin("index.md", "log.md")).groupBy(folder.alias("folder")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
+    return rows.select("folder", F.concat(F.lit("# Index\n\n| File | Type | Title | Description |\n|------|------|-------|-------------|\n"), "lines", F.lit("\n")).alias("text"))
+
+
+def log_lines(actions: DataFrame) -> DataFrame:
+    """line of each action (at, action, id), oldest first."""
+    stamp = F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return actions.orderBy("at", "id").select(F.concat(F.lit("- "), stamp, F.lit(" | "), "action", F.lit(" | "), "id").alias("line"))
+
+
+def export_records(spark: SparkSession, source: str, target: str) -> int:
+    """Copy a bundle's files to another folder, a file by whatever task has it; returns how many."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source)
+    base = F.lit(source.rstrip("/") + "/")
+    rows = files.select(F.element_at(F.split("path", base), -1).alias("path"), "content")
+
+    def copy(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(target if ":" in target else f"file://{target}")
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                where = f"{root}/{path}"
+                store.create_dir(where.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(where + ".part", compression=None) as out:
+                    out.write(content)
+                store.move(where + ".part", where)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return rows.mapInPandas(copy, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def markdown(spark: SparkSession, path: str) -> DataFrame:
     """path, fields (map of the front matter's scalar lines), body of markdown records."""
     raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("path", F.input_file_name())
