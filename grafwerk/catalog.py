@@ -77,7 +77,7 @@ def _brands(g: Graph) -> DataFrame:
     return g.symbols.select(F.split("qualified_name", "\\.")[0].alias("type_name")).distinct()
 
 
-@on_graph("r3_members_index", " SELECT string_split(qualified_name, '.')[1] AS type_name, name, count(*)::BIGINT AS members FROM symbols GROUP BY ALL", False)
+@on_graph("r3_members_index", " SELECT string_split(qualified_name, '.')[1] AS type_name, name, count(*)::BIGINT AS members FROM symbols WHERE kind IN ('method', 'function', 'property', 'variable', 'field', 'constant') GROUP BY ALL", False)
 def _(g):
     return resolve.members(g, _brands(g)).groupBy("type_name", "name").agg(F.count("*").alias("members"))
 
@@ -94,7 +94,7 @@ def _(g):
     return g.edges.select("id", "source_id", "target_name", "target_id", "resolution", "tier")
 
 
-@add("r6_resolve_receiver", RESOLVED + """, mem AS (SELECT e.id, count(*) AS n, min(c.id) AS c0 FROM raw_edges e JOIN symbols c ON c.name = e.target_name AND c.brand = e.receiver_type GROUP BY e.id)
+@add("r6_resolve_receiver", RESOLVED + """, mem AS (SELECT e.id, count(*) AS n, min(c.id) AS c0 FROM raw_edges e JOIN symbols c ON c.name = e.target_name AND c.brand = e.receiver_type AND c.kind IN ('method', 'function', 'property', 'variable', 'field', 'constant') GROUP BY e.id)
 SELECT CASE WHEN m.n = 1 THEN 'exact' WHEN m.n > 1 THEN 'ambiguous' ELSE r.resolution END AS resolution, CASE WHEN m.n > 0 THEN 'receiver' ELSE r.tier END AS tier, count(*)::BIGINT AS edges,
 sum(CASE WHEN m.n = 1 THEN m.c0 WHEN m.n IS NULL THEN r.target_id END)::BIGINT AS targets FROM redges r LEFT JOIN mem m ON m.id = r.id GROUP BY ALL""")
 def _(spark, sf_dir):
@@ -102,6 +102,19 @@ def _(spark, sf_dir):
     return resolve.resolve_edges(g, _brands(g)).groupBy("resolution", "tier").agg(F.count("*").alias("edges"), F.sum("target_id").alias("targets"))
 
 
+@add("r6_resolve_inherited", RESOLVED + """, br AS (SELECT DISTINCT brand FROM symbols), up AS (SELECT brand AS t, left(brand, 7) || (right(brand, 1)::INT % 5 + 1) AS a FROM br),
+w AS (SELECT brand AS t, brand AS a, 0 AS d FROM br UNION ALL SELECT w.t, up.a, d + 1 FROM w JOIN up ON up.t = w.a WHERE d < 8),
+h AS (SELECT e.id, w.d, count(*) AS n, min(c.id) AS c0 FROM raw_edges e JOIN w ON w.t = e.receiver_type JOIN symbols c ON c.name = e.target_name AND c.brand = w.a AND c.kind IN ('method', 'function', 'property', 'variable', 'field', 'constant') GROUP BY ALL),
+m AS (SELECT id, arg_min(n, d) AS n, arg_min(c0, d) AS c0 FROM h GROUP BY id)
+SELECT r.id, CASE WHEN m.n = 1 THEN 'exact' WHEN m.n > 1 THEN 'ambiguous' ELSE r.resolution END AS resolution, CASE WHEN m.n > 0 THEN 'receiver' ELSE r.tier END AS tier, CASE WHEN m.n = 1 THEN m.c0 WHEN m.n IS NULL THEN r.target_id END AS target_id FROM redges r LEFT JOIN m ON m.id = r.id""")
+def _(spark, sf_dir):
+    """Each brand inherits from the next one of its maker, so members are found through ancestors."""
+    g = build(spark, sf_dir)
+    brands = _brands(g)
+    up = brands.select("type_name", F.concat(F.left("type_name", F.lit(7)), (F.right("type_name", F.lit(1)).cast("int") % 5 + 1).cast("string")).alias("ancestor"))
+    return resolve.resolve_edges(g, brands, up).select("id", "resolution", "tier", "target_id")
+
+
 @on_graph("r7_import_scores", " SELECT sf AS file_id, cand AS candidate, score::INT AS score FROM sc")
 def _(g):
     return resolve.import_scores(resolve.candidates(g), g.imports)
@@ -238,19 +251,19 @@ def _(g):
     return lookup.callers_or_fuzzy(g, name_of(g))
 
 
-STEPS = ", ce AS (SELECT DISTINCT source_id, target_id FROM redges WHERE target_id IS NOT NULL AND kind IN ('calls', 'extends', 'implements')), seed AS (SELECT id FROM symbols WHERE name = " + NAME + "), "
-IMPACT = STEPS + """b AS (SELECT id AS node, 0 AS depth FROM seed UNION SELECT ce.source_id, b.depth + 1 FROM b JOIN ce ON ce.target_id = b.node WHERE b.depth < 3),
-m AS (SELECT node, min(depth) - 1 AS depth FROM b WHERE depth > 0 AND node NOT IN (SELECT id FROM seed) GROUP BY node) """
+STEPS = ", ce AS MATERIALIZED (SELECT DISTINCT source_id, target_id FROM redges WHERE target_id IS NOT NULL AND kind IN ('calls', 'extends', 'implements')), seed AS (SELECT id FROM symbols WHERE name = " + NAME + "), "
+IMPACT = STEPS + """b AS (SELECT id AS node, 0 AS depth FROM seed UNION SELECT ce.source_id, b.depth + 1 FROM b JOIN ce ON ce.target_id = b.node WHERE b.depth < 10),
+m AS MATERIALIZED (SELECT node, min(depth) - 1 AS depth FROM b WHERE depth > 0 AND node NOT IN (SELECT id FROM seed) GROUP BY node) """
 
 
 @on_graph("t3_impact", IMPACT + "SELECT m.node, s.name, f.path, m.depth::INT AS depth, CASE WHEN f.path LIKE '%/test/%' THEN 'path' ELSE '' END AS test, (SELECT count(*) FROM m) > 500 AS truncated FROM m JOIN symbols s ON s.id = m.node JOIN files f ON f.id = s.file_id ORDER BY m.depth, m.node LIMIT 500")
 def _(g):
-    return traverse.impact(g, name_of(g), max_depth=3)
+    return traverse.impact(g, name_of(g))
 
 
 @on_graph("t8_impact_histogram", IMPACT + "SELECT m.depth::INT AS depth, count(*)::BIGINT AS symbols, count(*) FILTER (f.path LIKE '%/test/%')::BIGINT AS tests FROM m JOIN symbols s ON s.id = m.node JOIN files f ON f.id = s.file_id GROUP BY 1")
 def _(g):
-    return traverse.impact_histogram(g, name_of(g), max_depth=3)
+    return traverse.impact_histogram(g, name_of(g))
 
 
 @on_graph("t4_cycles", """, ce AS (SELECT DISTINCT source_id AS a, target_id AS b FROM redges WHERE target_id IS NOT NULL AND kind IN ('calls', 'extends', 'implements') AND source_id <> target_id)
@@ -260,72 +273,45 @@ def _(g):
     return traverse.cycles(g, 3)
 
 
-@on_graph("t6_flow", STEPS + """b AS (SELECT id AS node, 0 AS depth, NULL::BIGINT AS parent FROM seed UNION SELECT ce.target_id, b.depth + 1, b.node FROM b JOIN ce ON ce.source_id = b.node WHERE b.depth < 3),
+@on_graph("t6_flow", STEPS + """b AS (SELECT id AS node, 0 AS depth, NULL::BIGINT AS parent FROM seed UNION SELECT ce.target_id, b.depth + 1, b.node FROM b JOIN ce ON ce.source_id = b.node WHERE b.depth < 8),
 m AS (SELECT node, min(depth) AS depth FROM b GROUP BY node), p AS (SELECT m.node, m.depth, min(b.parent) AS parent FROM m JOIN b ON b.node = m.node AND b.depth = m.depth GROUP BY ALL), o AS (SELECT source_id, count(*) AS n FROM ce GROUP BY 1)
 SELECT p.node, s.name, p.depth::INT AS depth, p.parent, coalesce(o.n, 0)::BIGINT AS callees, array_to_string(string_split(f.path, '/')[-3:-2], '/') AS module
 FROM p LEFT JOIN o ON o.source_id = p.node JOIN symbols s ON s.id = p.node JOIN files f ON f.id = s.file_id""")
 def _(g):
-    return traverse.flow(g, name_of(g), max_depth=3)
+    return traverse.flow(g, name_of(g))
 
 
 @on_graph("t10_closure", """, uq AS (SELECT name, min(id) AS only FROM symbols GROUP BY name HAVING count(*) = 1),
 h AS (SELECT e.source_id, coalesce(t.name, e.target_name) AS target_name, min(e.target_id) AS target_id FROM redges e LEFT JOIN symbols t ON t.id = e.target_id GROUP BY ALL),
-x AS (SELECT h.*, coalesce(h.target_id, uq.only) AS nxt FROM h LEFT JOIN uq ON uq.name = h.target_name),
-l2 AS (SELECT a.source_id, b.target_name, min(b.target_id) AS target_id FROM (SELECT DISTINCT source_id, nxt FROM x WHERE nxt IS NOT NULL) a JOIN x b ON b.source_id = a.nxt GROUP BY ALL),
-n AS (SELECT source_id, target_name, target_id, 1 AS distance FROM x UNION ALL SELECT source_id, target_name, target_id, 2 FROM l2)
+x AS MATERIALIZED (SELECT h.*, coalesce(h.target_id, uq.only) AS nxt FROM h LEFT JOIN uq ON uq.name = h.target_name),
+l2 AS MATERIALIZED (SELECT a.source_id, b.target_name, min(b.target_id) AS target_id, min(b.nxt) AS nxt FROM (SELECT DISTINCT source_id, nxt FROM x WHERE nxt IS NOT NULL) a JOIN x b ON b.source_id = a.nxt GROUP BY ALL),
+l3 AS (SELECT a.source_id, b.target_name, min(b.target_id) AS target_id FROM (SELECT DISTINCT source_id, nxt FROM l2 WHERE nxt IS NOT NULL) a JOIN x b ON b.source_id = a.nxt GROUP BY ALL),
+n AS (SELECT source_id, target_name, target_id, 1 AS distance FROM x UNION ALL SELECT source_id, target_name, target_id, 2 FROM l2 UNION ALL SELECT source_id, target_name, target_id, 3 FROM l3)
 SELECT distance, count(*)::BIGINT AS n, sum(source_id)::BIGINT AS sources, sum(target_id)::BIGINT AS targets, count(DISTINCT target_name)::BIGINT AS names FROM n GROUP BY 1""")
 def _(g):
-    return traverse.closure(g, 2).groupBy("distance").agg(F.count("*").alias("n"), F.sum("source_id").alias("sources"), F.sum("target_id").alias("targets"), F.count_distinct("target_name").alias("names"))
-
-
-@on_graph("t11_dataflow_index", """, ce AS (SELECT DISTINCT source_id, target_id FROM redges WHERE target_id IS NOT NULL AND kind IN ('calls', 'extends', 'implements')),
-b AS (SELECT id AS seed, id AS node, 0 AS depth FROM symbols WHERE kind IN ('class', 'function', 'method', 'interface') UNION SELECT b.seed, ce.source_id, b.depth + 1 FROM b JOIN ce ON ce.target_id = b.node WHERE b.depth < 2)
-SELECT b.seed AS symbol_id, count(DISTINCT b.node)::BIGINT AS within, count(DISTINCT f.repo_id)::BIGINT AS repos FROM b JOIN symbols s ON s.id = b.node JOIN files f ON f.id = s.file_id WHERE b.node <> b.seed GROUP BY 1""")
-def _(g):
-    return traverse.dataflow_index(g, max_depth=2)
-
-
-@on_graph("t12_dataflow_lookup", """, ce AS (SELECT DISTINCT source_id, target_id FROM redges WHERE target_id IS NOT NULL AND kind IN ('calls', 'extends', 'implements')),
-b AS (SELECT 7 AS node, 0 AS depth UNION SELECT ce.source_id, b.depth + 1 FROM b JOIN ce ON ce.target_id = b.node WHERE b.depth < 2)
-SELECT 7::BIGINT AS symbol_id, count(DISTINCT b.node)::BIGINT AS within FROM b WHERE b.node <> 7 HAVING count(*) > 0""")
-def _(g):
-    kinds = ("class", "function", "method", "interface", "property", "variable")
-    return traverse.dataflow_index(Graph(g.repos, g.files, g.symbols, g.imports, g.raw_edges, g.edges), kinds, 2).where("symbol_id = 7").select("symbol_id", "within")
-
-
-@on_graph("t3_impact_all")
-def _(g):
-    """To the operators' own depths, as the five below; the SQL of their namesakes goes less deep."""
-    return traverse.impact(g, name_of(g))
-
-
-@on_graph("t8_impact_histogram_all")
-def _(g):
-    return traverse.impact_histogram(g, name_of(g))
+    return traverse.closure(g).groupBy("distance").agg(F.count("*").alias("n"), F.sum("source_id").alias("sources"), F.sum("target_id").alias("targets"), F.count_distinct("target_name").alias("names"))
 
 
-@on_graph("t6_flow_all")
-def _(g):
-    return traverse.flow(g, name_of(g))
+DATAFLOW = """, ce AS (SELECT DISTINCT source_id, target_id FROM redges WHERE target_id IS NOT NULL AND kind IN ('calls', 'extends', 'implements')),
+b AS (SELECT id AS seed, id AS node, 0 AS depth FROM symbols WHERE kind IN ('class', 'function', 'method', 'interface', 'enum') UNION SELECT b.seed, ce.source_id, b.depth + 1 FROM b JOIN ce ON ce.target_id = b.node WHERE b.depth < 5),
+m AS (SELECT seed, node, min(depth) AS depth FROM b GROUP BY ALL), lv AS (SELECT seed, depth, sum(count(*)) OVER (PARTITION BY seed ORDER BY depth) AS n FROM m WHERE depth > 0 GROUP BY seed, depth),
+stop AS (SELECT seed, coalesce(min(depth) FILTER (n > 500), 99) AS depth FROM lv GROUP BY 1),
+df AS (SELECT m.seed AS symbol_id, least(count(*), 500)::BIGINT AS within, count(DISTINCT f.repo_id)::BIGINT AS repos, count(*) > 500 AS truncated FROM m JOIN stop ON stop.seed = m.seed AND m.depth <= stop.depth JOIN symbols s ON s.id = m.node JOIN files f ON f.id = s.file_id WHERE m.node <> m.seed GROUP BY 1) """
 
 
-@on_graph("t10_closure_all")
-def _(g):
-    return traverse.closure(g).groupBy("distance").agg(F.count("*").alias("n"), F.sum("source_id").alias("sources"), F.sum("target_id").alias("targets"), F.count_distinct("target_name").alias("names"))
-
-
-@on_graph("t11_dataflow_index_all")
+@on_graph("t11_dataflow_index", DATAFLOW + "SELECT * FROM df")
 def _(g):
     return traverse.dataflow_index(g)
 
 
-@on_graph("t12_dataflow_lookup_all")
+@on_graph("t12_dataflow_lookup", DATAFLOW + "SELECT df.* FROM df JOIN symbols s ON s.id = df.symbol_id WHERE s.name = (SELECT name FROM symbols WHERE kind = 'function' ORDER BY id LIMIT 1)")
 def _(g):
-    kinds = ("class", "function", "method", "interface", "property", "variable")
-    return traverse.dataflow_index(g, kinds).where("symbol_id = 7").select("symbol_id", "within")
+    """From the index that is kept with the graph."""
+    name = g.symbols.where("kind = 'function'").orderBy("id").first()["name"]
+    return traverse.dataflow_lookup(g, name)
 
 
-@on_graph("t13_ambiguous_dispatch", " SELECT target_name, count(DISTINCT s.name)::BIGINT AS n, string_agg(DISTINCT s.name, ',' ORDER BY s.name) AS callers FROM redges e JOIN symbols s ON s.id = e.source_id WHERE resolution = 'ambiguous' GROUP BY 1")
+@on_graph("t13_ambiguous_dispatch", ", u AS (SELECT DISTINCT target_name, s.name FROM redges e JOIN symbols s ON s.id = e.source_id WHERE resolution = 'ambiguous'), r AS (SELECT *, row_number() OVER (PARTITION BY target_name ORDER BY name) AS k FROM u) SELECT target_name, count(*)::BIGINT AS n, string_agg(name, ',' ORDER BY name) FILTER (k <= 50) AS callers FROM r GROUP BY 1")
 def _(g):
     return traverse.ambiguous_dispatch(g)
 
@@ -352,7 +338,7 @@ def _(g):
     return viz.dot(_drawn(g))
 
 
-@on_graph("k8_json")
+@on_graph("k8_json", f""", d AS ({EDGES_OF_7}) SELECT '[' || string_agg('{{"source":' || source_id || ',"target":' || target_id || ',"kind":"' || kind || '"}}', ',' ORDER BY source_id, target_id, kind) || ']' AS text FROM d""")
 def _(g):
     return viz.as_json(_drawn(g))
 
@@ -370,10 +356,10 @@ def _(g):
     return rollup.tree(g)
 
 
-@on_graph("a4_repo_dependencies", """, ns AS (SELECT DISTINCT f.repo_id, string_split(s.qualified_name, '.')[1] || '.' || left(s.name, 3) AS prefix FROM symbols s JOIN files f ON f.id = s.file_id WHERE s.id % 50 = 0)
+@on_graph("a4_repo_dependencies", """, ns AS (SELECT DISTINCT f.repo_id, string_split(s.qualified_name, '.')[1] || '.' || left(s.name, 3) AS prefix FROM symbols s JOIN files f ON f.id = s.file_id)
 SELECT f.repo_id AS source, ns.repo_id AS target, count(*)::BIGINT AS n, min(prefix) AS evidence FROM imports i JOIN files f ON f.id = i.file_id JOIN ns ON starts_with(i.imported_path, prefix) AND ns.repo_id <> f.repo_id GROUP BY ALL""", False)
 def _(g):
-    ns = lookup.located(g).where("id % 50 = 0").select("repo_id", F.concat(F.split("qualified_name", "\\.")[0], F.lit("."), F.left("name", F.lit(3))).alias("prefix")).distinct()
+    ns = lookup.located(g).select("repo_id", F.concat(F.split("qualified_name", "\\.")[0], F.lit("."), F.left("name", F.lit(3))).alias("prefix")).distinct()
     return rollup.repo_dependencies(g, ns)
 
 
@@ -479,15 +465,10 @@ def _(g):
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
 
 
-@on_tables("l5_tokens", "documents", f"SELECT doc_id, len(x)::INT AS n, array_to_string(x[1:5], ' ') AS first FROM (SELECT doc_id, list_filter(u, lambda w, i: list_position(u, w) = i) AS x FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) >= 3 AND NOT list_contains({STOP_SQL}, w)) AS u FROM documents WHERE n_chars < 4000))")
+@on_tables("l5_tokens", "documents", f"""WITH w AS (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_split_to_array(lower(text), '[^a-z0-9]+') AS l FROM documents)),
+d AS (SELECT doc_id, w, min(i) AS i FROM w WHERE length(w) >= 3 AND NOT list_contains({STOP_SQL}, w) GROUP BY ALL), t AS (SELECT doc_id, count(*) AS n, array_to_string(list(w ORDER BY i)[1:5], ' ') AS first FROM d GROUP BY 1)
+SELECT documents.doc_id, coalesce(n, 0)::INT AS n, coalesce(first, '') AS first FROM documents LEFT JOIN t ON t.doc_id = documents.doc_id""")
 def _(docs):
-    t = T.tokens(F.col("text"))
-    return docs.where("n_chars < 4000").select("doc_id", F.size(t).alias("n"), F.array_join(F.slice(t, 1, 5), " ").alias("first"))
-
-
-@on_tables("l5_tokens_all", "documents")
-def _(docs):
-    """Of texts of any length; the SQL of l5_tokens reaches those under 4000 characters."""
     t = T.tokens(F.col("text"))
     return docs.select("doc_id", F.size(t).alias("n"), F.array_join(F.slice(t, 1, 5), " ").alias("first"))
 
@@ -504,9 +485,12 @@ def _(docs):
     return words.groupBy(T.stem(F.col("w")).alias("stem")).agg(F.count("*").alias("n"))
 
 
-@on_tables("l7_query_tokens", "benchmark")
+@on_tables("l7_query_tokens", "benchmark", f"""WITH b AS (SELECT item_id, text || ' getUserName and parseURL' AS text FROM benchmark), c AS (SELECT item_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT item_id, regexp_extract_all(text, '([A-Za-z0-9]*[a-z0-9][A-Z][A-Za-z0-9]*)', 1) AS l FROM b)),
+cd AS (SELECT item_id, w, min(i) AS i FROM c GROUP BY ALL), t AS (SELECT item_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT item_id, regexp_split_to_array(lower(text), '[^a-z0-9]+') AS l FROM b)),
+td AS (SELECT item_id, w, 1000000 + min(i) AS i FROM t WHERE length(w) >= 3 AND NOT list_contains({STOP_SQL}, w) GROUP BY ALL), u AS (SELECT * FROM cd UNION ALL SELECT * FROM td ANTI JOIN cd ON cd.item_id = td.item_id AND lower(cd.w) = td.w)
+SELECT item_id, string_agg(w, ' ' ORDER BY i) AS tokens FROM u GROUP BY 1""")
 def _(questions):
-    return questions.select("item_id", F.array_join(lexical.query_tokens(F.col("text")), " ").alias("tokens"))
+    return questions.select("item_id", F.array_join(lexical.query_tokens(F.concat("text", F.lit(" getUserName and parseURL"))), " ").alias("tokens"))
 
 
 @on_graph("l8_per_term_top", """, t AS (SELECT unnest(['ol', 'br']) AS term), r AS (SELECT s.id, s.name, t.term, row_number() OVER (PARTITION BY t.term ORDER BY s.name, s.id)::INT AS rank FROM symbols s JOIN t ON contains(lower(s.name), t.term)) SELECT * FROM r WHERE rank <= 5""", False)
@@ -630,29 +614,17 @@ def _(embeddings):
     return vector.rrf([rank("label", "vec_id").where("rank <= 30"), rank(F.desc("vec_id")).where("rank <= 400")], [1.0, 0.5])
 
 
-HASHED = """WITH w AS (SELECT DISTINCT doc_id AS id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS w FROM documents WHERE doc_id % 20 = 0),
+HASHED = """WITH w AS (SELECT DISTINCT doc_id AS id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS w FROM documents),
 h AS (SELECT id, sha256(w) AS h FROM w), b AS (SELECT id, ('0x' || substr(h, 1, 2))::BIGINT AS i, ('0x' || substr(h, 9, 2))::BIGINT % 2 AS sg, (('0x' || substr(h, 11, 2))::BIGINT + ('0x' || substr(h, 13, 2))::BIGINT * 256 + ('0x' || substr(h, 15, 2))::BIGINT * 65536 + ('0x' || substr(h, 17, 2))::BIGINT * 16777216) % 1000 AS m FROM h),
 s AS (SELECT id, i, sum(CASE sg WHEN 1 THEN 1.0 ELSE -1.0 END * (0.5 + m / 1000)) AS x FROM b GROUP BY ALL), n AS (SELECT id, sqrt(sum(x * x)) AS n FROM s GROUP BY 1) """
 
 
 @on_tables("v8_hash_embed", "documents", HASHED + "SELECT s.id, s.i::INT AS i, round(x / n, 6) AS x FROM s JOIN n ON n.id = s.id WHERE n > 0")
 def _(documents):
-    return vector.hash_embed(documents.where("doc_id % 20 = 0"), "doc_id", F.col("text")).withColumn("x", F.round("x", 6))
-
-
-@on_tables("v15_hash_search", "documents", HASHED + ", e AS (SELECT s.id, s.i, x / n AS x FROM s JOIN n ON n.id = s.id WHERE n > 0) SELECT a.id, round(sum(a.x * b.x), 6) AS score FROM e a JOIN e b ON b.i = a.i AND b.id = 0 GROUP BY 1")
-def _(documents):
-    e = vector.hash_embed(documents.where("doc_id % 20 = 0"), "doc_id", F.col("text"))
-    return vector.sparse_cosine(e, e.where("id = 0")).withColumn("score", F.round("score", 6))
-
-
-@on_tables("v8_hash_embed_all", "documents")
-def _(documents):
-    """Of every document; the SQL of v8_hash_embed reaches each twentieth."""
     return vector.hash_embed(documents, "doc_id", F.col("text")).withColumn("x", F.round("x", 6))
 
 
-@on_tables("v15_hash_search_all", "documents")
+@on_tables("v15_hash_search", "documents", HASHED + ", e AS (SELECT s.id, s.i, x / n AS x FROM s JOIN n ON n.id = s.id WHERE n > 0) SELECT a.id, round(sum(a.x * b.x), 6) AS score FROM e a JOIN e b ON b.i = a.i AND b.id = 0 GROUP BY 1")
 def _(documents):
     e = vector.hash_embed(documents, "doc_id", F.col("text"))
     return vector.sparse_cosine(e, e.where("id = 0")).withColumn("score", F.round("score", 6))
@@ -675,17 +647,6 @@ def _(g):
     return vector.orphans(g.symbols.select((F.col("id") + 1).alias("id")), g.symbols)
 
 
-@on_graph("v5_hybrid_search")
-def _(g):
-    """Word ranks and hashed-vector ranks of the symbols for one question, fused."""
-    text = F.concat_ws(" ", "name", "qualified_name", "docstring")
-    split = g.symbols.select("id", F.translate(text, "_.#", "   ").alias("t"))
-    embedded = vector.hash_embed(split, "id", F.col("t"))
-    words = lexical.bm25(lexical.postings(g.symbols, "id", ["name", "qualified_name", "docstring"]), ["brand"], prefix=True)
-    near = vector.sparse_cosine(embedded, embedded.where("id = 7")).where("score >= 0.3")
-    return vector.rrf([vector.ranked(words, 30), vector.ranked(near, 30)])
-
-
 # --- memory ---------------------------------------------------------------------------
 def _records(documents: DataFrame, labels: DataFrame) -> DataFrame:
     as_of = F.lit(AS_OF).cast("timestamp")
@@ -817,25 +778,14 @@ def _(documents):
     return documents.select("doc_id", knowledge.may_become(at(6), at(5)).alias("allowed"))
 
 
-@on_tables("c11_workflow_steps", "documents", """WITH s AS (SELECT doc_id AS id, string_split(left(text, 400), ' ') AS steps FROM documents), e AS (SELECT id, steps, unnest(generate_series(0, least(len(steps) - 1, 20))) AS nth FROM s)
+@on_tables("c11_workflow_steps", "documents", """WITH s AS (SELECT doc_id AS id, string_split(text, ' ') AS steps FROM documents), e AS (SELECT id, steps, unnest(generate_series(0, least(len(steps) - 1, 20))) AS nth FROM s)
 SELECT id, nth::INT AS nth, CASE WHEN nth = 20 THEN '... ' || (len(steps) - 20) || ' more' ELSE steps[nth + 1] END AS step FROM e""")
 def _(documents):
-    return knowledge.workflow_steps(documents.select(F.col("doc_id").alias("id"), F.split(F.left("text", F.lit(400)), " ").alias("steps")))
-
-
-@on_tables("c13_sync_steps", "documents", "WITH s AS (SELECT doc_id AS id, list_distinct(string_split(left(text, 200), ' ')) AS a, list_distinct(string_split(substr(text, 101, 200), ' ')) AS b FROM documents) SELECT id, len(list_filter(b, lambda x: NOT list_contains(a, x)))::INT AS added, len(list_filter(a, lambda x: NOT list_contains(b, x)))::INT AS removed FROM s")
-def _(documents):
-    words = lambda a: F.split(F.substr("text", F.lit(a), F.lit(200)), " ")
-    return documents.select(F.col("doc_id").alias("id"), knowledge.sync_steps(words(1), words(101)).alias("s")).select("id", F.size("s.added").alias("added"), F.size("s.removed").alias("removed"))
-
-
-@on_tables("c11_workflow_steps_all", "documents")
-def _(documents):
-    """Of whole texts, as the one below; the SQL of their namesakes reads the first characters."""
     return knowledge.workflow_steps(documents.select(F.col("doc_id").alias("id"), F.split("text", " ").alias("steps")))
 
 
-@on_tables("c13_sync_steps_all", "documents")
+@on_tables("c13_sync_steps", "documents", """WITH s AS (SELECT doc_id AS id, string_split(text, chr(10)) AS l FROM documents), a AS (SELECT DISTINCT id, unnest(l) AS x FROM s), b AS (SELECT DISTINCT id, unnest(l[2:]) AS x FROM s),
+r AS (SELECT a.id, count(*) AS n FROM a ANTI JOIN b ON b.id = a.id AND b.x = a.x GROUP BY 1) SELECT s.id, 0::INT AS added, coalesce(n, 0)::INT AS removed FROM s LEFT JOIN r ON r.id = s.id""")
 def _(documents):
     """The lines of each document against all but its first."""
     lines = F.split("text", "\n", -1)
@@ -877,12 +827,14 @@ def _(events):
 
 
 def queries() -> dict[str, Query]:
-    import grafwerk.plans.more  # noqa: F401  adds its own
+    import grafwerk.plans.further  # noqa: F401  adds its own
+    import grafwerk.plans.more  # noqa: F401
 
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    import grafwerk.plans.further  # noqa: F401
     import grafwerk.plans.more  # noqa: F401
 
     return dict(_oracles)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from grafwerk.catalog import AS_OF, PLACED, RECORDS, _metrics, _records, _refs, _scored, add, name_of, on_graph, on_tables
+from grafwerk.catalog import AS_OF, BM25, HASHED, PLACED, RECORDS, STOP_SQL, VIEWS, _metrics, _records, _refs, _scored, add, name_of, on_graph, on_tables
 from grafwerk.functions import text as T
 from grafwerk.operators import compose, incremental, lexical, lookup, memory, rollup, traverse, vector
 from grafwerk.plans.store import build
@@ -16,45 +18,47 @@ from grafwerk.sources.views import table
 CE = ", ce AS (SELECT DISTINCT source_id, target_id FROM redges WHERE target_id IS NOT NULL AND kind IN ('calls', 'extends', 'implements')) "
 
 
-@on_graph("t14_neighbours", """, kn AS (SELECT DISTINCT source_id, target_id FROM redges WHERE target_id IS NOT NULL), u AS (SELECT target_id AS id, source_id AS other, 'caller' AS side FROM kn WHERE target_id < 20 UNION ALL SELECT source_id, target_id, 'callee' FROM kn WHERE source_id < 20)
+@on_graph("t14_neighbours", """, kn AS (SELECT DISTINCT source_id, target_id FROM redges WHERE target_id IS NOT NULL), u AS (SELECT target_id AS id, source_id AS other, 'caller' AS side FROM kn UNION ALL SELECT source_id, target_id, 'callee' FROM kn)
 SELECT id, other, side FROM (SELECT *, row_number() OVER (PARTITION BY id, side ORDER BY other) AS n FROM u) WHERE n <= 20""")
 def _(g):
-    return compose.neighbours(g, g.symbols.where("id < 20"))
+    return compose.neighbours(g, g.symbols)
 
 
-@on_graph("t14_blast_radius", CE + """, b AS (SELECT id AS seed, id AS node, 0 AS depth FROM symbols WHERE id < 20 UNION SELECT b.seed, ce.source_id, b.depth + 1 FROM b JOIN ce ON ce.target_id = b.node WHERE b.depth < 2)
+@on_graph("t14_blast_radius", CE + """, b AS (SELECT id AS seed, id AS node, 0 AS depth FROM symbols UNION SELECT b.seed, ce.source_id, b.depth + 1 FROM b JOIN ce ON ce.target_id = b.node WHERE b.depth < 2)
 SELECT b.seed AS id, count(DISTINCT b.node)::BIGINT AS reached, count(DISTINCT f.repo_id)::BIGINT AS repos FROM b JOIN symbols s ON s.id = b.node JOIN files f ON f.id = s.file_id WHERE b.node <> b.seed GROUP BY 1""")
 def _(g):
-    return compose.blast_radius(g, g.symbols.where("id < 20"))
+    return compose.blast_radius(g, g.symbols)
 
 
-@on_graph("t14_neighbours_all")
-def _(g):
-    """Of every symbol, as the four below: their namesakes' SQL reaches only some rows."""
-    return compose.neighbours(g, g.symbols)
+#: Hashed words of symbols and of a question (id -1), as unit vectors e (id, i, x).
+HASHED_SYMBOLS = ", w0 AS (SELECT DISTINCT id, unnest(list_filter(regexp_split_to_array(lower($text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS w FROM symbols UNION SELECT -1, unnest(string_split('$question', ' ')))," + HASHED[HASHED.index("h AS (SELECT id, sha256(w)"):].replace("FROM w)", "FROM w0)").replace("h AS (", "hw AS (", 1).replace("FROM h)", "FROM hw)") + ", e AS (SELECT s.id, s.i, x / n AS x FROM s JOIN n ON n.id = s.id WHERE n > 0), cs AS (SELECT a.id, round(sum(a.x * b.x), 9) AS score FROM e a JOIN e b ON b.i = a.i AND b.id = -1 WHERE a.id <> -1 GROUP BY 1) "
 
 
-@on_graph("t14_blast_radius_all")
+@on_graph("t14_explore", BM25.replace("['$1', '$2']", "['plate']").replace("\nsc AS", "\nbsc AS") + HASHED_SYMBOLS.replace("$text", "kind || ' ' || qualified_name || chr(10) || docstring").replace("$question", "plate") + """, wd AS (SELECT id, score, source FROM (SELECT id, score, 0 AS source FROM bsc UNION ALL SELECT id, 0.0, 1 FROM symbols WHERE (name ILIKE '%plate%' OR qualified_name ILIKE '%plate%') AND id NOT IN (SELECT id FROM bsc)) ORDER BY source, score DESC, id LIMIT 20),
+nr AS (SELECT id, score, 2 AS source FROM (SELECT id, score FROM cs WHERE score >= 0.3 ORDER BY score DESC, id LIMIT 20) WHERE id NOT IN (SELECT id FROM wd)), fd AS (SELECT f.*, y.name FROM (SELECT * FROM wd UNION ALL SELECT * FROM nr) f JOIN symbols y ON y.id = f.id),
+kn AS (SELECT DISTINCT source_id, target_id FROM redges WHERE target_id IS NOT NULL), u AS (SELECT target_id AS id, source_id AS other, 'caller' AS side FROM kn UNION ALL SELECT source_id, target_id, 'callee' FROM kn), nb AS (SELECT other FROM (SELECT *, row_number() OVER (PARTITION BY id, side ORDER BY other) AS k FROM u WHERE id IN (SELECT id FROM fd)) WHERE k <= 20),
+ce AS (SELECT DISTINCT source_id, target_id FROM redges WHERE target_id IS NOT NULL AND kind IN ('calls', 'extends', 'implements')), rb AS (SELECT id AS seed, id AS node, 0 AS depth FROM fd UNION SELECT rb.seed, ce.source_id, rb.depth + 1 FROM rb JOIN ce ON ce.target_id = rb.node WHERE rb.depth < 2)
+SELECT 'seed' AS section, id, name, row_number() OVER (ORDER BY source, score DESC, id)::BIGINT AS n FROM fd UNION ALL SELECT 'neighbour', nb.other, y.name, count(*) FROM nb JOIN symbols y ON y.id = nb.other GROUP BY ALL
+UNION ALL SELECT 'reach', rb.seed, y.name, count(DISTINCT rb.node) FROM rb JOIN symbols y ON y.id = rb.seed WHERE rb.node <> rb.seed GROUP BY ALL UNION ALL SELECT 'dispatch', fd.id, fd.name, count(*) FROM fd JOIN redges e ON e.target_name = fd.name AND e.resolution = 'ambiguous' GROUP BY ALL""")
 def _(g):
-    return compose.blast_radius(g, g.symbols)
+    return compose.explore(g, "plate")
 
 
-@on_graph("t14_explore")
+@on_graph("v5_hybrid_search", BM25.replace("$1", "medium").replace("$2", "plate") + HASHED_SYMBOLS.replace("$text", "translate(name || ' ' || qualified_name || ' ' || docstring, '_.#', '   ')").replace("$question", "medium plate") + """, a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sc WHERE k = 2), c AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM cs WHERE score >= 0.3),
+z AS (SELECT id, 1.0 / (60 + rank) AS s, 'l0' AS l FROM a WHERE rank <= 30 UNION ALL SELECT id, 1.0 / (60 + rank), 'l1' FROM c WHERE rank <= 30) SELECT id, round(sum(s)::DOUBLE, 9) AS score, string_agg(DISTINCT l, '+' ORDER BY l) AS provenance FROM z GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""", False)
 def _(g):
-    return compose.explore(g, name_of(g))
+    """Word ranks and hashed-vector ranks of the symbols for one question, which goes through the
+    same embedder, fused."""
+    text = F.translate(F.concat_ws(" ", "name", "qualified_name", "docstring"), "_.#", "   ")
+    words = compose.WordRetriever(g.symbols, ["name", "qualified_name", "docstring"])
+    near = compose.HashRetriever(g.symbols.select("id", text.alias("t")), F.col("t"), 0.3)
+    return compose.hybrid([words, near], "medium plate")
 
 
-@add("t15_source_spans", """WITH s AS (SELECT doc_id AS id, 1 + doc_id % 3 AS a, 3 + doc_id % 5 AS b, 'd' || lpad((doc_id)::VARCHAR, 6, '0') AS path, string_split(text, chr(10)) AS l FROM documents WHERE doc_id % 4 = 0),
+@add("t15_source_spans", """WITH s AS (SELECT doc_id AS id, 1 + doc_id % 3 AS a, 3 + doc_id % 5 AS b, 'd' || lpad((doc_id)::VARCHAR, 20, '0') AS path, string_split(text, chr(10)) AS l FROM documents),
 r AS (SELECT *, coalesce(sum(greatest(b - a + 1, 0)) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s) SELECT id, path, array_to_string(l[a:b], chr(10)) AS lines FROM r WHERE before < 100""")
 def _(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("doc_id % 4 = 0").withColumn("path", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 6, "0")))
-    spans = docs.select(F.col("doc_id").alias("id"), "path", (1 + F.col("doc_id") % 3).cast("int").alias("line_start"), (3 + F.col("doc_id") % 5).cast("int").alias("line_end"))
-    return compose.source_spans(spans, docs.select("path", "text"), 100)
-
-
-@on_tables("t15_source_spans_all", "documents")
-def _(documents):
-    docs = documents.withColumn("path", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 20, "0")))
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 20, "0")))
     spans = docs.select(F.col("doc_id").alias("id"), "path", (1 + F.col("doc_id") % 3).cast("int").alias("line_start"), (3 + F.col("doc_id") % 5).cast("int").alias("line_end"))
     return compose.source_spans(spans, docs.select("path", "text"), 100)
 
@@ -107,13 +111,7 @@ class _Longest(compose.Reranker):
         return texts.str.len().astype("float64")
 
 
-@on_graph("v7_reranked", " SELECT id, length(name)::DOUBLE AS rerank FROM symbols WHERE id < 40 ORDER BY length(name) DESC, id LIMIT 5", False)
-def _(g):
-    hits = g.symbols.where("id < 40").withColumn("score", F.lit(1.0))
-    return compose.rerank(hits, "q", F.col("name"), _Longest(), 5).select("id", "rerank")
-
-
-@on_graph("v7_reranked_all")
+@on_graph("v7_reranked", BM25.replace(" || ' ' || docstring", "").replace("$1", "brand").replace("['brand', '$2']", "['brand']") + ", pool AS (SELECT id FROM sc ORDER BY score DESC, id LIMIT 50) SELECT id, length(name)::DOUBLE AS rerank FROM pool JOIN symbols USING (id) ORDER BY 2 DESC, 1 LIMIT 5", False)
 def _(g):
     """The pool is what a search over all symbols returns."""
     hits = lexical.bm25(lexical.postings(g.symbols, "id", ["name", "qualified_name"]), ["brand"], True).join(g.symbols.select("id", "name"), "id")
@@ -125,14 +123,7 @@ def _(documents):
     return documents.select("doc_id", compose.signature(F.col("text"), (F.col("doc_id") % 3 + 1).cast("int")).alias("line"))
 
 
-@on_tables("v14_embed_missing", "documents", "SELECT count(DISTINCT doc_id)::BIGINT AS docs FROM documents WHERE doc_id % 20 = 0 AND doc_id % 40 <> 0 AND length(text) > 0")
-def _(documents):
-    docs = documents.where("doc_id % 20 = 0")
-    todo = docs.join(docs.where("doc_id % 40 = 0").select("doc_id"), "doc_id", "left_anti")
-    return vector.hash_embed(todo, "doc_id", F.col("text")).agg(F.count_distinct("id").alias("docs"))
-
-
-@on_tables("v14_embed_missing_all", "documents")
+@on_tables("v14_embed_missing", "documents", HASHED + "SELECT count(DISTINCT id)::BIGINT AS docs FROM s WHERE id % 40 <> 0")
 def _(documents):
     """Every document that has no vector yet; each fortieth stands for the stored ones."""
     todo = documents.join(documents.where("doc_id % 40 = 0").select("doc_id"), "doc_id", "left_anti")
@@ -147,10 +138,10 @@ def _(documents, labels, events):
     return rows.select("id", zero("refs"), zero("reinforcement"), F.round(memory.freshness(F.col("type"), F.col("created"), F.col("origin"), as_of), 6).alias("freshness"), F.when(F.col("origin") == "manual", 1.0).otherwise(0.5).alias("authority"))
 
 
-@on_tables("m8_capture", "documents labels events", RECORDS + ", o AS (SELECT id, lag(id) OVER (PARTITION BY type, lower(trim(title)) ORDER BY id) AS old_id FROM r) SELECT t.id, t.score, t.tier, CASE WHEN o.old_id IS NOT NULL THEN o.old_id END AS old_id FROM t JOIN o ON o.id = t.id WHERE t.id % 5 = 0")
+@on_tables("m8_capture", "documents labels events", RECORDS + ", o AS (SELECT id, lag(id) OVER (PARTITION BY type, lower(trim(title)) ORDER BY id) AS old_id FROM r) SELECT t.id, t.score, t.tier, CASE WHEN o.old_id IS NOT NULL THEN o.old_id END AS old_id FROM t JOIN o ON o.id = t.id")
 def _(documents, labels, events):
     held = _records(documents, labels)
-    return compose.capture(held.where("id % 5 = 0"), held, _refs(events), F.lit(AS_OF).cast("timestamp"))
+    return compose.capture(held, held, _refs(events), F.lit(AS_OF).cast("timestamp"))
 
 
 @on_tables("m11_recall", "documents labels", "SELECT doc_id AS id, 'phrase' AS via FROM (SELECT doc_id, (length(lower(left(text, 12))) - length(replace(lower(left(text, 12)), 'ththe', ''))) // 5 + (length(lower(text)) - length(replace(lower(text), 'ththe', ''))) // 5 AS score FROM documents) WHERE score > 0 ORDER BY score DESC, id LIMIT 20")
@@ -234,17 +225,10 @@ def _(documents):
     return documents.agg(F.count("*").alias("files"), F.sum(F.size(F.split("text", "\n", -1))).alias("lines"), F.sum(F.octet_length("text")).alias("bytes"))
 
 
-OCC = ", occ AS (SELECT e.id, s.file_id, e.target_name AS symbol, e.line * 9 AS line, e.line % 2 = 1 AS is_definition FROM raw_edges e JOIN symbols s ON s.id = e.source_id WHERE s.id < 300) "
+OCC = ", occ AS (SELECT e.id, s.file_id, e.target_name AS symbol, e.line * 9 AS line, e.line % 2 = 1 AS is_definition FROM raw_edges e JOIN symbols s ON s.id = e.source_id) "
 
 
 @on_graph("s14_index_import", OCC + ", d AS (SELECT symbol, min((file_id, line)) AS d FROM occ WHERE is_definition GROUP BY 1) SELECT count(*)::BIGINT AS edges, sum(o.line)::BIGINT AS lines, sum(d.d[2])::BIGINT AS target_lines FROM occ o JOIN d ON d.symbol = o.symbol WHERE NOT is_definition", False)
-def _(g):
-    src = g.symbols.where("id < 300").select(F.col("id").alias("source_id"), "file_id")
-    rows = g.raw_edges.join(src, "source_id").select(F.col("file_id").alias("path"), F.col("target_name").alias("symbol"), (F.col("line") * 9).alias("line"), (F.col("line").bitwiseAND(1) != 0).alias("is_definition"))
-    return files_source.scip_edges(rows).agg(F.count("*").alias("edges"), F.sum("line").alias("lines"), F.sum("target_line").alias("target_lines"))
-
-
-@on_graph("s14_index_import_all")
 def _(g):
     src = g.symbols.select(F.col("id").alias("source_id"), "file_id")
     rows = g.raw_edges.join(src, "source_id").select(F.col("file_id").alias("path"), F.col("target_name").alias("symbol"), (F.col("line") * 9).alias("line"), (F.col("line").bitwiseAND(1) != 0).alias("is_definition"))
@@ -272,7 +256,7 @@ def _(spark, sf_dir):
 
 @on_tables("i5_tool_percentiles_by_day", "events", "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type AS tool, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY ALL")
 def _(events):
-    return _metrics(events).groupBy(F.date_trunc("day", "at").cast("timestamp_ntz").alias("day"), "tool").agg(F.round(F.percentile("duration_ms", 0.95), 6).alias("p95"))
+    return rollup.percentiles(_metrics(events).withColumn("day", F.date_trunc("day", "at").cast("timestamp_ntz")), ("day", "tool"), (95,))
 
 
 @on_graph("i1_deleted_files", """, del AS (SELECT s.id, s.name FROM symbols s WHERE s.file_id % 10 = 3), ks AS (SELECT * FROM symbols WHERE file_id % 10 <> 3) SELECT count(*)::BIGINT AS edges FROM raw_edges WHERE source_id NOT IN (SELECT id FROM del)""", False)
@@ -281,9 +265,39 @@ def _(g):
     return incremental.reindex(g, changed, g.symbols.limit(0), g.raw_edges.limit(0)).edges.agg(F.count("*").alias("edges"))
 
 
-@add("l15_routed")
+#: Questions for the graph, the pages, a layer without an answer, and the memory.
+ASKED = ("where is gizmo defined", "architecture of the shth", "any gotcha about tion", "common mistake with ouedti")
+
+
+def _routed_sql() -> str:
+    pick = "CASE " + " ".join(f"WHEN regexp_matches(q, '{r[0]}') THEN '{r[2]}'" for r in T.INTENTS) + " ELSE 'ALL' END"
+    values = ", ".join(f"('{q}')" for q in ASKED)
+    weight = "10 * contains(lower(left(text, 40)), w)::INT + 5 * contains(source, w)::INT + contains(lower(text), w)::INT"
+    return f""", qs AS (SELECT q, {pick} AS layer FROM (VALUES {values}) v(q)), tk AS (SELECT DISTINCT q, unnest(list_filter(regexp_split_to_array(q, '[^a-z0-9]+'), lambda w: length(w) >= 3 AND NOT list_contains({STOP_SQL}, w))) AS w FROM qs),
+nt AS (SELECT q, greatest(3, 10 // count(*)) AS k FROM tk GROUP BY 1), g AS (SELECT tk.q, s.id, tk.w, row_number() OVER (PARTITION BY tk.q, tk.w ORDER BY s.name, s.id) AS rank FROM tk JOIN symbols s ON contains(lower(s.name), tk.w)),
+d AS (SELECT tk.q, doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'L2' WHEN 2 THEN 'L4' WHEN 3 THEN 'L5' ELSE '' END AS layer, sum({weight}) AS score FROM documents, tk WHERE doc_id % 4 <> 1 GROUP BY ALL HAVING sum({weight}) > 0),
+dr AS (SELECT *, row_number() OVER (PARTITION BY q, layer ORDER BY score DESC, id) AS k FROM d), ans AS (SELECT g.q, 'L1' AS layer, id, rank::DOUBLE AS score FROM g JOIN nt ON nt.q = g.q WHERE rank <= nt.k UNION ALL SELECT q, layer, id, score::DOUBLE FROM dr WHERE k <= 5),
+own AS (SELECT ans.* FROM ans JOIN qs ON qs.q = ans.q AND (qs.layer = ans.layer OR qs.layer = 'ALL'))
+SELECT q AS question, layer, id, score FROM own UNION ALL SELECT q, layer, id, score FROM ans WHERE layer IN ('L1', 'L4', 'L5') AND q NOT IN (SELECT q FROM own)"""
+
+
+@add("l15_routed", VIEWS + _routed_sql())
 def _(spark, sf_dir):
-    """The graph layer's answer to a question that the router sends there."""
-    g = build(spark, sf_dir)
-    find = lambda q: lexical.bm25(lexical.postings(g.symbols, "id", ["name", "qualified_name"]), ["brand"], True)
-    return compose.route("where is brand", "L1", {"L1": find})
+    """Each question classified and answered by its layer, or by graph, memory and knowledge
+    where that has nothing to say (no guides are stored, so the third question's layer is empty)."""
+    g, documents = build(spark, sf_dir), table(spark, sf_dir, "documents")
+    fields = documents.select(F.col("doc_id").alias("id"), F.left("text", F.lit(40)).alias("title"), F.col("source").alias("description"), F.col("text").alias("body"))
+    words = lambda q: [w for w in dict.fromkeys(re.split("[^a-z0-9]+", q)) if len(w) >= 3 and w not in T.STOP_WORDS]
+    held = lambda k: lambda q: lexical.weighted_search(fields.where(F.col("id") % 4 == k), words(q), {"title": 10, "description": 5, "body": 1}, 5).select("id", F.col("score").cast("double").alias("score"))
+    layers = {
+        "L1": lambda q: lexical.per_term_top(g.symbols, words(q)).select("id", F.col("rank").cast("double").alias("score")),
+        "L2": held(0),
+        "L3": lambda q: fields.select("id", F.lit(0.0).alias("score")).limit(0),
+        "L4": held(2),
+        "L5": held(3),
+    }
+    out = None
+    for q in ASKED:
+        answer = compose.routed(spark, q, layers).withColumn("question", F.lit(q))
+        out = answer if out is None else out.unionByName(answer)
+    return out.select("question", "layer", "id", "score")
