@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grafwerk.catalog import BM25, CALLERS, HASHED, PLACED, add, name_of, on_graph, on_tables  # noqa: F401
-from grafwerk.functions import text as T
-from grafwerk.operators import compose, guides, incremental, knowledge, lexical, lookup, rollup, traverse, vector
-from grafwerk.plans.store import build, checkpoint
+from grafwerk.catalog import PLACED, name_of, on_graph, on_tables
+from grafwerk.operators import guides, incremental, lookup, vector
+from grafwerk.plans.store import checkpoint
 from grafwerk.sources import files as files_source
-from grafwerk.sources.views import Graph, table
+from grafwerk.sources.views import Graph
 
 
 # --- files and repositories -----------------------------------------------------------

@@ -64,11 +64,17 @@ def scan(spark: SparkSession, root: str, **filters) -> DataFrame:
     return rows.withColumn("hash", F.sha2("content", 256)).drop("content")
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """path (below the root), size, mtime of all files, without reading any."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreHidden", "false").load(root)
-    base = F.lit(root.rstrip("/") + "/")
-    return raw.select(F.element_at(F.split("path", base), -1).alias("path"), F.col("length").alias("size"), F.col("modificationTime").cast("double").alias("mtime"))
+def repo_marks(spark: SparkSession, root: str) -> DataFrame:
+    """path of every .git in a folder or directly below one of its folders. File sources skip
+    hidden names, so the driver asks the file system, one question a folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path
+    fs = where(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    rows = [(".git",)] if fs.exists(where(f"{root}/.git")) else []
+    for child in fs.listStatus(where(root)) if fs.exists(where(root)) else []:
+        name = child.getPath().getName()
+        if child.isDirectory() and fs.exists(where(f"{root}/{name}/.git")):
+            rows.append((f"{name}/.git",))
+    return spark.createDataFrame(rows, "path string")
 
 
 def discover_repos(paths: DataFrame) -> DataFrame:
@@ -177,7 +183,7 @@ def log_lines(actions: DataFrame) -> DataFrame:
 
 
 def export_records(spark: SparkSession, source: str, target: str) -> int:
-    """Copy a bundle's files to another folder, a file by whatever task has it; returns how many."""
+    """Copy a bundle's files, hidden ones aside, to another folder, a file by whatever task has it; returns how many."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source)
     base = F.lit(source.rstrip("/") + "/")
     rows = files.select(F.element_at(F.split("path", base), -1).alias("path"), "content")
