@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grafwerk.catalog import PLACED, name_of, on_graph, on_tables
+from grafwerk.catalog import PLACED, add, name_of, on_graph, on_tables
 from grafwerk.operators import guides, incremental, lookup, vector
+from grafwerk.plans.samples import SAMPLES
 from grafwerk.plans.store import checkpoint
 from grafwerk.sources import files as files_source
+from grafwerk.sources import parsers
 from grafwerk.sources.views import Graph
 
 
@@ -147,3 +149,24 @@ def _(g):
         return own, g.raw_edges.join(own.select(F.col("id").alias("source_id")), "source_id", "left_semi").select(*g.raw_edges.columns)
 
     return incremental.catch_up(g, shot, now, parse)[1]
+
+
+# --- parsers --------------------------------------------------------------------------
+def _parsed_rows(language: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        text, _ = SAMPLES[language]
+        parsed = parsers.parse(spark.createDataFrame([("src/sample.x", language, text)], "path string, language string, text string"))
+        word = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+        row = lambda *parts: F.rtrim(F.concat_ws(" ", *parts)).alias("found")
+        symbols = parsed.select(F.explode("symbols").alias("x")).select(row(F.lit("S"), "x.kind", "x.qualified_name", word("x.line_start"), word("x.line_end"), F.array_join("x.modifiers", " ")))
+        edges = parsed.select(F.explode("edges").alias("x")).select(row(F.lit("E"), word("x.owner"), "x.kind", "x.target_name", word("x.line"), word("x.receiver_type")))
+        imports = parsed.select(F.explode("imports").alias("x")).select(row(F.lit("I"), "x.imported_path", word("x.line")))
+        errors = parsed.where("error is not null").select(F.col("error").alias("found"))
+        return symbols.unionByName(edges).unionByName(imports).unionByName(errors)
+
+    return run
+
+
+for _language, (_, _rows) in SAMPLES.items():
+    _values = ", ".join("('" + r.replace("'", "''") + "')" for r in _rows.strip().split("\n"))
+    add(f"s9_{_language}", f"SELECT found FROM (VALUES {_values}) v(found)")(_parsed_rows(_language))

@@ -1,10 +1,9 @@
 """Source text to symbols, edges and imports, in the tasks, and what routes and service
-calls add. Python is parsed with its own grammar, other languages by line patterns."""
+calls add. Python is parsed with its own grammar, other languages by ``braces``."""
 
 from __future__ import annotations
 
 import ast
-import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grafwerk.schemas import PARSED
+from grafwerk.sources import braces
 
 Parsed = tuple[list[dict], list[dict], list[dict]]
 
@@ -69,65 +69,16 @@ def parse_python(text: str) -> Parsed:
     return seen.symbols, seen.edges, seen.imports
 
 
-#: Line patterns of languages with braces: kind -> pattern whose group is the name.
-_DECLARES: dict[str, tuple[tuple[str, str], ...]] = {
-    "java": (("class", r"\b(?:class|record)\s+(\w+)"), ("interface", r"\binterface\s+(\w+)"), ("enum", r"\benum\s+(\w+)"), ("method", r"^\s*(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)+[\w<>\[\], ?]+\s+(\w+)\s*\(")),
-    "kotlin": (("class", r"\bclass\s+(\w+)"), ("class", r"\bobject\s+(\w+)"), ("interface", r"\binterface\s+(\w+)"), ("function", r"\bfun\s+(?:<[^>]*>\s*)?(?:[\w.]+\.)?(\w+)\s*\("), ("property", r"^\s+(?:private |public |internal |override |lateinit )*va[lr]\s+(\w+)")),
-    "typescript": (("class", r"\bclass\s+(\w+)"), ("interface", r"\binterface\s+(\w+)"), ("enum", r"\benum\s+(\w+)"), ("type", r"^\s*(?:export\s+)?type\s+(\w+)"), ("function", r"\bfunction\s*\*?\s+(\w+)"), ("function", r"^\s*(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*(?::[^=]+)?=>"), ("method", r"^\s+(?:public |private |protected |static |async )*(?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b)(\w+)\s*\([^)]*\)\s*(?::\s*[\w<>\[\]| ]+)?\s*\{")),
-    "go": (("class", r"^type\s+(\w+)\s+struct"), ("interface", r"^type\s+(\w+)\s+interface"), ("method", r"^func\s+\([^)]*\)\s*(\w+)\s*\("), ("function", r"^func\s+(\w+)\s*[\[(]")),
-    "swift": (("class", r"\b(?:class|struct|actor)\s+(?!func\b)(\w+)"), ("interface", r"\bprotocol\s+(\w+)"), ("enum", r"\benum\s+(\w+)"), ("function", r"\bfunc\s+(\w+)")),
-    "dart": (("class", r"\bclass\s+(\w+)"), ("mixin", r"^\s*mixin\s+(\w+)"), ("enum", r"\benum\s+(\w+)"), ("method", r"^\s+(?:static |final )*[\w<>?]+\s+(\w+)\s*\([^;]*\)\s*(?:async\s*)?[{=]")),
-    "objc": (("class", r"@interface\s+(\w+)\s*[:{]"), ("protocol", r"@protocol\s+(\w+)"), ("category", r"@interface\s+\w+\s*\((\w+)\)"), ("class", r"@implementation\s+(\w+)"), ("method", r"^[-+]\s*\([^)]*\)\s*(\w+)")),
-}
-_DECLARES["javascript"] = _DECLARES["typescript"]
-_PARENTS = re.compile(r"\b(extends|implements|with)\s+([\w.,<> ]+?)(?=\s*(?:\{|extends|implements|with|$))|\b(?:class|interface|object|struct|protocol)\s+\w+(?:\([^)]*\))?\s*:\s*([\w.,<>() ]+?)\s*(?:\{|$)")
-_CALL = re.compile(r"(?:(\w+)\.)?\b(\w+)\s*\(")
-_IMPORT = re.compile(r"""^\s*(?:import|from|#import|@import)\b(?:.*?from)?\s*[<"'(]*([\w./@-]+)""")
-_WORDS = frozenset("if for while switch catch return function fun func class new super this when else do try sizeof typeof await".split())
-_MODIFIERS = frozenset("public private protected internal static final abstract open override export async suspend".split())
-
-
-def parse_by_lines(text: str, language: str) -> Parsed:
-    """Declarations, calls, parents and imports, line by line; scopes follow braces."""
-    patterns = [(kind, re.compile(p)) for kind, p in _DECLARES.get(language, ())]
-    symbols: list[dict] = []
-    edges: list[dict] = []
-    imports: list[dict] = []
-    scope: list[tuple[str, int, dict]] = []
-    depth, comment = 0, False
-    for number, line in enumerate(text.split("\n"), 1):
-        bare = re.sub(r'"(?:\\.|[^"\\])*"|//.*$', '""', line)
-        if comment or bare.lstrip().startswith(("/*", "*")):
-            comment = "*/" not in line and (comment or "/*" in bare)
-            continue
-        if found := _IMPORT.match(line):
-            imports.append({"imported_path": found[1].strip("./"), "line": number})
-            continue
-        declared = next(((kind, m) for kind, p in patterns if (m := p.search(bare))), None)
-        if declared and declared[1][1] not in _WORDS:
-            kind, m = declared
-            if scope and scope[-1][2]["kind"] in ("class", "interface", "enum") and kind == "function":
-                kind = "method"
-            new = _symbol(m[1], ".".join([*(s[0] for s in scope), m[1]]), kind, number, number, None, [w for w in re.findall(r"\w+", bare[: m.start(1)]) if w in _MODIFIERS])
-            symbols.append(new)
-            for p in _PARENTS.finditer(bare):
-                for parent in re.split(r"[,\s]+", re.sub(r"<[^>]*>|\([^)]*\)", "", p[2] or p[3] or "")):
-                    if parent:
-                        edges.append({"owner": new["qualified_name"], "target_name": parent.split(".")[-1], "kind": "extends" if p[1] == "extends" else "implements", "line": number, "receiver_type": None})
-            if "{" in bare or language == "objc":
-                scope.append((m[1], depth, new))
-        else:
-            for receiver, called in _CALL.findall(bare):
-                if called not in _WORDS:
-                    edges.append({"owner": scope[-1][2]["qualified_name"] if scope else None, "target_name": called, "kind": "calls", "line": number, "receiver_type": receiver if receiver[:1].isupper() else None})
-        depth += bare.count("{") - bare.count("}")
-        while scope and (depth <= scope[-1][1] and "}" in bare or "@end" in bare):
-            scope.pop()[2]["line_end"] = number
-    return symbols, edges, imports
+def _with_braces(language: str) -> Callable[..., Parsed]:
+    def parser(text: str, stem: str = "") -> Parsed:
+        return braces.parse(text, language, stem)
+
+    parser.takes_stem = True
+    return parser
 
 
 #: language -> parser; ``register`` adds to it.
-PARSERS: dict[str, Callable[[str], Parsed]] = {"python": parse_python} | {k: (lambda text, k=k: parse_by_lines(text, k)) for k in _DECLARES}
+PARSERS: dict[str, Callable[..., Parsed]] = {"python": parse_python} | {k: _with_braces(k) for k in (*braces.TYPES, "javascript")}
 
 
 def register(language: str, parser: Callable[[str], Parsed]) -> None:
@@ -145,7 +96,9 @@ def parse(files: DataFrame) -> DataFrame:
                 try:
                     if language not in PARSERS:
                         raise ValueError(f"no parser for {language}")
-                    symbols, edges, imports = PARSERS[language](text or "")
+                    parser = PARSERS[language]
+                    stem = {"stem": path.rsplit("/", 1)[-1].rsplit(".", 1)[0]} if getattr(parser, "takes_stem", False) else {}
+                    symbols, edges, imports = parser(text or "", **stem)
                 except (ValueError, SyntaxError, RecursionError) as e:
                     error = f"{type(e).__name__}: {e}"
                 rows.append((path, language, symbols, edges, imports, error))

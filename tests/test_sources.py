@@ -31,7 +31,7 @@ def _hidden():
 '''
 SOURCES = {
     "java": ("package a;\nimport b.Other;\npublic class Foo extends Bar implements Baz {\n  public int run(int x) {\n    Other.call(x);\n    return help();\n  }\n}\n", {("class", "Foo"), ("method", "Foo.run")}, {("extends", "Bar"), ("implements", "Baz"), ("calls", "call"), ("calls", "help")}),
-    "kotlin": ("import a.b\nclass Foo : Bar() {\n  val x = 1\n  fun run() {\n    go()\n  }\n}\nfun top() {\n}\n", {("class", "Foo"), ("property", "Foo.x"), ("method", "Foo.run"), ("function", "top")}, {("implements", "Bar"), ("calls", "go")}),
+    "kotlin": ("import a.b\nclass Foo : Bar() {\n  val x = 1\n  fun run() {\n    go()\n  }\n}\nfun top() {\n}\n", {("class", "Foo"), ("method", "Foo.run"), ("function", "top")}, {("extends", "Bar"), ("calls", "go")}),
     "typescript": ("import { a } from './a'\nexport class Foo extends Bar {\n  run(x: number): void {\n    a(x)\n  }\n}\nexport const top = (x) => {\n  b(x)\n}\ninterface I {\n}\n", {("class", "Foo"), ("method", "Foo.run"), ("function", "top"), ("interface", "I")}, {("extends", "Bar"), ("calls", "a"), ("calls", "b")}),
     "go": ("package m\nimport \"fmt\"\ntype Foo struct {\n}\nfunc (f *Foo) Run() {\n  fmt.Println(1)\n}\nfunc Top() {\n}\n", {("class", "Foo"), ("method", "Run"), ("function", "Top")}, {("calls", "Println")}),
     "swift": ("import UIKit\nclass Foo: Bar {\n  func run() {\n    go()\n  }\n}\nprotocol P {\n}\n", {("class", "Foo"), ("method", "Foo.run"), ("interface", "P")}, {("implements", "Bar"), ("calls", "go")}),
@@ -58,7 +58,7 @@ def test_scan_and_parse(spark, tmp_path):
     assert got == {"x.py": ("python", None), "bad.py": ("python", None), "y.py": ("python", "default_skip"), "h.h": ("objc", None), "c.h": ("c", None), "big.py": ("python", "size_cap"), "skip_me.py": ("python", "gitignored")}
     tables = parsers.parsed_tables(parsers.parse(found.where("reason is null")))
     symbols = {r["qualified_name"]: r for r in tables["symbols"].collect()}
-    assert set(symbols) == {"Base", "Child", "Child.run", "Child.stop", "_hidden"}
+    assert set(symbols) == {"Base", "Child", "Child.run", "Child.stop", "_hidden", "h.A"}
     assert symbols["Child.run"]["kind"] == "method" and symbols["Child.run"]["parent_scope"] == "Child" and symbols["Base"]["docstring"] == "Doc."
     edges = {(r["source_id"].split(":")[-2], r["kind"], r["target_name"], r["receiver_type"]) for r in tables["edges"].collect()}
     assert {("Child", "implements", "Base", None), ("Child.run", "calls", "stop", "Child"), ("Child.run", "calls", "helper", None), ("_hidden", "calls", "Child", None)} <= edges
