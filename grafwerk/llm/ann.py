@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from grafwerk.llm.shared import checkpoint, lean
 
 #: Vectors fitted on; rows for each part; most parts of a level; recall aimed at on the sample.
-SAMPLE, PART_ROWS, MOST_PARTS, AIM = 4096, 1024, 64, 0.96
+SAMPLE, PART_ROWS, MOST_PARTS, AIM = 4096, 256, 64, 0.94
 NEIGHBOURS, HIDDEN, EPOCHS = 10, 96, 30
 CHUNK, BLOCK = 16_384, 1024
 
