@@ -464,7 +464,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, similar: float = SIMILAR, text_
             near = [similarity(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)) >= similar for a, b in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
 
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    asked = pairs.select(F.col("u").alias("node")).distinct().union(pairs.select("v").distinct()).distinct()
     texts = docs.select(node(text_col).alias("node"), text_of(text_col).alias("text")).join(asked, "node", "left_semi").dropDuplicates(["node"])
     held = checkpoint(texts.mapInArrow(sets, "node long, held binary"))
     left, right = held.select(F.col("node").alias("u"), F.col("held").alias("a")), held.select(F.col("node").alias("v"), F.col("held").alias("b"))
@@ -482,7 +482,7 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, cell: int = CELL, id_
     prints = checkpoint(wide_fingerprints(docs, text_col))
     bits, turns = rotations(prints.count(), similar)
     pool = prints.withColumn("root", F.col("node")).withColumn("size", F.lit(1).cast("long"))
-    tried = edges = roots = None
+    tried = edges = roots = met = None
     for turn in itertools.count():
         found = proposals(pool, bits, list(range(turns) if not turn else range(turn % 3, turns, 3)), NEXT if turn else 1, cell)
         found = checkpoint(found if tried is None else found.join(tried, ["u", "v"], "left_anti"))
@@ -495,8 +495,9 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, cell: int = CELL, id_
         edges = near if edges is None else edges.unionByName(near)
         roots = components(edges)
         roots = checkpoint(roots.union(roots.select("root", "root").distinct()))
-        met = tried.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        pool = prints.join(met, "node", "left_semi").join(roots, "node", "left").select("node", "words", F.coalesce("root", "node").alias("root"))
+        if not turn:  # texts without a neighbour in any cell have none later
+            met = checkpoint(prints.join(found.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi"))
+        pool = met.join(roots, "node", "left").select("node", "words", F.coalesce("root", "node").alias("root"))
         large = roots.groupBy("root").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "root").limit(HEAVY)
         pool = pool.join(F.broadcast(large), "root", "left").withColumn("size", F.coalesce("size", F.lit(1)))
     named = docs.select(id_col, node(text_col).alias("node"))
