@@ -133,6 +133,10 @@ def _runs(q: Column) -> Column:
     return F.concat(first_place, endings, F.array(row(q[0], "first", F.lit(1))))
 
 
+#: Symbols of one name up to which each file that wants it meets all their runs.
+BUSY = 64
+
+
 def import_hits(wanted: DataFrame, graph: Graph) -> DataFrame:
     """file_id, target_name, low, high: of the wanted (file_id, target_name) the candidates
     with the best import score of that file's imports."""
@@ -144,9 +148,12 @@ def import_hits(wanted: DataFrame, graph: Graph) -> DataFrame:
     endings = F.transform(F.sequence(F.lit(1), F.size(i)), lambda n: part(F.array_join(F.slice(i, F.size(i) - n + 1, n), "."), "ending"))
     keys = F.concat(F.array(part(F.array_join(i, "."), "inside"), part(F.element_at(i, -1), "first")), endings)
     asked = graph.imports.select("file_id", F.explode(keys).alias("k")).select("file_id", "k.run", "k.how").distinct()
-    # most imports name nothing of this graph; the rest meets the few names its file wants
-    asked = asked.join(runs.select("run", "how").distinct(), ["run", "how"], "left_semi")
-    scored = wanted.join(asked, "file_id").join(runs, ["target_name", "run", "how"])
+    # names of few symbols bring their runs, a busy name looks its file's imports up
+    busy = held.groupBy("target_name").agg(F.count("*").alias("n")).where(F.col("n") > BUSY).select("target_name")
+    few = wanted.join(busy, "target_name", "left_anti").join(runs, "target_name").join(asked, ["file_id", "run", "how"])
+    many = wanted.join(busy, "target_name", "left_semi").join(asked, "file_id").join(runs, ["target_name", "run", "how"])
+    columns = ["file_id", "target_name", "score", "low", "high"]
+    scored = few.select(*columns).unionByName(many.select(*columns))
     best = scored.groupBy("file_id", "target_name", "score").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     return best.groupBy("file_id", "target_name").agg(F.max_by(F.struct("low", "high"), "score").alias("ends")).select("file_id", "target_name", "ends.*")
 

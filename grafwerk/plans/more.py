@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from grafwerk.catalog import AS_OF, BM25, HASHED, PLACED, RECORDS, STOP_SQL, VIEWS, _metrics, _records, _refs, _scored, add, name_of, on_graph, on_tables
+from grafwerk.catalog import AS_OF, BM25, HASHED, PLACED, RECORDS, STOP_SQL, VIEWS, _metrics, _records, _refs, _scored, add, on_graph, on_tables
 from grafwerk.functions import text as T
 from grafwerk.operators import compose, incremental, lexical, lookup, memory, rollup, traverse, vector
 from grafwerk.plans.store import build
