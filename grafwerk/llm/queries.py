@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grafwerk.llm import ann, bpe, chat, linededup, packing, quality, simhash, substring, topk, warc
+from grafwerk.llm import ann, bpe, chat, leaderboard, linededup, packing, quality, simhash, substring, topk, warc, whitening
 from grafwerk.llm.shared import prepare, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -89,8 +89,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op12_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    lines = leaderboard.staged(*(table(spark, sf_dir, t) for t in ("sale_lines", "vendors", "items")))
+    return leaderboard.change_feed(lines)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe, op2_ann, op3_chat, op4_quality, op5_lines, op6_simhash, op7_substring, op8_warc, op9_topk, op10_packing]
+    found = [op1_bpe, op2_ann, op3_chat, op4_quality, op5_lines, op6_simhash, op7_substring, op8_warc, op9_topk, op10_packing, op12_leaderboard, op13_whitening]
     return {f.__name__: f for f in found}
 
 
