@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grafwerk.llm import ann, bpe, chat, leaderboard, linededup, packing, quality, simhash, substring, topk, warc, whitening
+from grafwerk.llm import ann, bpe, chat, leaderboard, linededup, minhash, packing, quality, simhash, substring, topk, warc, whitening
 from grafwerk.llm.shared import prepare, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -89,6 +89,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     lines = leaderboard.staged(*(table(spark, sf_dir, t) for t in ("sale_lines", "vendors", "items")))
@@ -101,7 +106,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe, op2_ann, op3_chat, op4_quality, op5_lines, op6_simhash, op7_substring, op8_warc, op9_topk, op10_packing, op12_leaderboard, op13_whitening]
+    found = [op1_bpe, op2_ann, op3_chat, op4_quality, op5_lines, op6_simhash, op7_substring, op8_warc, op9_topk, op10_packing, op11_minhash, op12_leaderboard, op13_whitening]
     return {f.__name__: f for f in found}
 
 
@@ -163,5 +168,46 @@ SELECT * FROM r WHERE rank <= 5
 """
 
 
+OP11_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+             ELSE list_transform(generate_series(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS other FROM w UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other),
+c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
+FROM w JOIN c ON c.doc_id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+"""
+
+#: CRC-32 by a table that the first step derives from its polynomial.
+OP12_SQL = """
+WITH t AS (SELECT list_transform(generate_series(0, 255), lambda b: list_reduce(generate_series(1, 8), lambda c, _: xor(c >> 1, 3988292384 * (c & 1)), b::BIGINT)) AS t),
+x AS (SELECT *, concat_ws(',', coalesce(sale_id::VARCHAR, ''), coalesce(item_id::VARCHAR, ''), coalesce(vendor_id::VARCHAR, ''), coalesce(line_no::VARCHAR, '')) AS k FROM sale_lines),
+h AS (SELECT x.*, xor(list_reduce(list_transform(string_split(k, ''), lambda c: ascii(c)::BIGINT), lambda c, b: xor(c >> 8, t.t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM x, t),
+d AS (SELECT *, coalesce(datediff('day', DATE '1970-01-01', shipped_at::DATE), 19723 + h % 150)::BIGINT AS s FROM h),
+a AS (SELECT *, s + h % 7 + CASE WHEN h % 5 = 0 THEN 20 ELSE 0 END AS a FROM d),
+b AS (SELECT *, least(12, greatest(1, 1 + floor((a - 19723) * 12 / 180)))::INTEGER AS batch FROM a),
+m AS (SELECT batch, max(max(s)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM b GROUP BY batch),
+l AS (SELECT v.nation_id, b.item_id, b.a, b.batch, CASE WHEN flag = 'returned' THEN -1 ELSE 1 END *
+             coalesce(floor(100 * amount + 0.5), quantity * floor(100 * i.price + 0.5), 0) AS cents
+      FROM b JOIN m ON m.batch = b.batch JOIN vendors v ON v.vendor_id = b.vendor_id JOIN items i ON i.item_id = b.item_id
+      WHERE v.nation_id IS NOT NULL AND (m.before IS NULL OR b.s + 8 >= m.before)),
+g AS (SELECT nation_id, item_id, a, min(batch) AS batch, sum(cents) AS cents FROM l GROUP BY ALL),
+r AS (SELECT nation_id, item_id, a AS since, lead(a) OVER w AS until, sum(cents) OVER w AS revenue FROM g WINDOW w AS (PARTITION BY nation_id, item_id ORDER BY a)),
+y AS (SELECT nation_id, a, min(batch) AS batch, lag(a) OVER (PARTITION BY nation_id ORDER BY a) AS prior FROM g GROUP BY nation_id, a),
+f AS (SELECT y.nation_id, y.a, r.item_id, r.revenue FROM y JOIN r ON r.nation_id = y.nation_id AND r.since <= y.a AND (r.until IS NULL OR r.until > y.a)),
+k AS (SELECT *, row_number() OVER (PARTITION BY nation_id, a ORDER BY revenue DESC, item_id)::INTEGER AS rank FROM f WHERE revenue > 0 QUALIFY rank <= 10),
+o AS (SELECT y.nation_id, y.a, k.item_id, k.rank FROM y JOIN k ON k.nation_id = y.nation_id AND k.a = y.prior),
+c AS (SELECT coalesce(k.nation_id, o.nation_id) AS nation_id, coalesce(k.a, o.a) AS a, coalesce(k.item_id, o.item_id) AS item_id, o.rank AS old_rank, k.rank AS new_rank
+      FROM k FULL JOIN o ON o.nation_id = k.nation_id AND o.a = k.a AND o.item_id = k.item_id WHERE o.rank IS DISTINCT FROM k.rank)
+SELECT c.nation_id, c.a::BIGINT AS arrival_day, c.item_id, y.batch, CASE WHEN old_rank IS NULL THEN 'enter' WHEN new_rank IS NULL THEN 'exit' ELSE 'move' END AS change,
+       old_rank, new_rank, f.revenue::BIGINT AS revenue
+FROM c JOIN y ON y.nation_id = c.nation_id AND y.a = c.a JOIN f ON f.nation_id = c.nation_id AND f.a = c.a AND f.item_id = c.item_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": OP3_SQL, "op5_lines": OP5_SQL, "op7_substring": OP7_SQL, "op8_warc": OP8_SQL, "op9_topk": OP9_SQL}
+    return {"op3_chat": OP3_SQL, "op5_lines": OP5_SQL, "op7_substring": OP7_SQL, "op8_warc": OP8_SQL, "op9_topk": OP9_SQL, "op11_minhash": OP11_SQL, "op12_leaderboard": OP12_SQL}
