@@ -56,6 +56,9 @@ FEED = "nation_id int, arrival_day long, item_id long, change string, old_rank i
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # stores of a start that has ended would stay open on the executors, with room set aside on disk
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 POWERS = np.left_shift(np.int64(1), np.arange(63, dtype=np.int64))
 
