@@ -710,20 +710,6 @@ def _(documents, labels, events):
     return memory.digest(_scored(documents, labels, events)).select("id", "score")
 
 
-CHAIN = "SELECT id, lag(id) OVER w AS old_id, lead(id) OVER w IS NULL AS is_latest, row_number() OVER w - 1 AS n FROM (SELECT doc_id AS id, doc_id % 2 AS type, lower(trim(left(text, 12))) AS k FROM documents) WINDOW w AS (PARTITION BY type, k ORDER BY id)"
-
-
-@on_tables("m9_superseded", "documents labels", f"SELECT id AS new_id, old_id FROM ({CHAIN}) WHERE old_id IS NOT NULL")
-def _(documents, labels):
-    r = _records(documents, labels)
-    return memory.superseded(r, r)
-
-
-@on_tables("m10_version_chain", "documents labels", f"SELECT id, is_latest, n::INT AS versions, old_id FROM ({CHAIN})")
-def _(documents, labels):
-    return memory.version_chain(_records(documents, labels)).select("id", "is_latest", F.size("supersedes").alias("versions"), F.get("supersedes", F.lit(0)).alias("old_id"))
-
-
 @on_tables("m19_by_tag", "documents labels", "SELECT doc_id AS id FROM documents WHERE lang = 'fr'")
 def _(documents, labels):
     return _records(documents, labels).where(F.array_contains("tags", "fr")).select("id")
@@ -736,21 +722,36 @@ def _(conversations):
 
 # --- knowledge ------------------------------------------------------------------------
 def _guides(g: Graph) -> DataFrame:
-    """A guide for each folder: refers to its files, one that is missing, and symbols."""
+    """A guide for each folder of two to six headings, with a file of it, one that is missing
+    twice, symbols, and prose of any length."""
     rows = lookup.located(g).groupBy(F.element_at(F.split("path", "/"), 3).alias("id")).agg(F.min("path").alias("p"), F.min("name").alias("n"))
-    body = F.concat(F.lit("## A\n## B\n## C\nsee `"), "p", F.lit("` and `"), "n", F.lit("()`"), F.when(F.col("id") == "mod1", "\n`src/gone.py`").when(F.col("id") == "mod2", "\n`Unknown.thing`").otherwise(""))
+    k = F.regexp_extract("id", "([0-9]+)", 1).cast("int")
+    heads = F.slice(F.array(*map(F.lit, (*knowledge.MODULE_HEADINGS, knowledge.SHARED_HEADING, knowledge.FLOW_HEADINGS[0]))), F.lit(1), k % 5 + 2)
+    body = F.concat(F.array_join(heads, "\n- x\n"), F.lit("\n  # aside "), F.repeat(F.lit("y"), F.lit(500)), F.lit("\n"), F.when(k == 4, F.repeat(F.lit("prose "), F.lit(80))).otherwise(F.concat(F.lit("see `"), F.col("p"), F.lit("` and `"), F.col("n"), F.lit("()`"))), F.when(k == 1, "\n`src/gone.py` `src/gone.py`").when(k == 2, "\n`Unknown.thing`").otherwise(""))
     return rows.select("id", F.col("id").alias("title"), body.alias("body"), F.array("n", F.lit("never_there")).alias("steps"))
 
 
 MODS = ", m AS (SELECT DISTINCT string_split(path, '/')[3] AS id FROM files WHERE id IN (SELECT file_id FROM symbols)) "
-
-
-@on_graph("c3_critic", MODS + "SELECT id, (id = 'mod1')::BIGINT AS errors, (id = 'mod2')::BIGINT AS warnings, 0.6::DOUBLE AS quality, id NOT IN ('mod1', 'mod2') AS passed FROM m", False)
+_HEADS = "[" + ", ".join(f"'{h}'" for h in (*knowledge.MODULE_HEADINGS, knowledge.SHARED_HEADING, knowledge.FLOW_HEADINGS[0])) + "]"
+GUIDES = f""", pl AS (SELECT string_split(f.path, '/')[3] AS id, min(f.path) AS p, min(s.name) AS n FROM symbols s JOIN files f ON f.id = s.file_id GROUP BY 1),
+gd AS (SELECT id, array_to_string({_HEADS}[1:k % 5 + 2], chr(10) || '- x' || chr(10)) || chr(10) || '  # aside ' || repeat('y', 500) || chr(10) || CASE WHEN k = 4 THEN repeat('prose ', 80) ELSE 'see `' || p || '` and `' || n || '()`' END
+  || CASE k WHEN 1 THEN chr(10) || '`src/gone.py` `src/gone.py`' WHEN 2 THEN chr(10) || '`Unknown.thing`' ELSE '' END AS body FROM (SELECT *, regexp_extract(id, '([0-9]+)', 1)::INT AS k FROM pl))"""
+#: The critic's rule: references that stand in the text, known headings, prose without headings.
+CRITIC = f""", rf AS (SELECT id, unnest(regexp_extract_all(body, '`([^`]+)`', 1)) AS ref FROM gd),
+ki AS (SELECT *, contains(ref, '/') OR regexp_matches(ref, '({"|".join(e.replace(".", "[.]") for e in T.FILE_EXTENSIONS)})$') AS path, starts_with(ref, './') OR starts_with(ref, 'grafwerk ') AS command, regexp_matches(ref, '^[A-Za-z_][A-Za-z0-9_]*([.][A-Za-z_][A-Za-z0-9_]*)*([(][)])?$') AS sym FROM rf),
+ck AS (SELECT id, CASE WHEN path AND NOT command THEN 'file' WHEN NOT path AND sym THEN 'symbol' END AS kind,
+  CASE WHEN path THEN EXISTS (SELECT 1 FROM files f WHERE f.path = ref OR ends_with(f.path, '/' || ref)) ELSE EXISTS (SELECT 1 FROM symbols s WHERE s.name = replace(ref, '()', '') OR s.qualified_name = replace(ref, '()', '') OR ends_with(s.qualified_name, '.' || replace(ref, '()', '')) OR (contains(ref, '.') AND s.name = string_split(replace(ref, '()', ''), '.')[-1])) END AS found FROM ki),
+ct AS (SELECT id, count(*) FILTER (kind = 'file' AND NOT found) AS errors, count(*) FILTER (kind = 'symbol' AND NOT found) AS unknown, count(*) FILTER (kind IS NOT NULL) AS refs FROM ck GROUP BY 1),
+pr AS (SELECT gd.id, body, coalesce(errors, 0)::BIGINT AS errors, coalesce(unknown, 0) + (coalesce(refs, 0) < 2 AND length(regexp_replace(array_to_string(list_filter(string_split(regexp_replace(body, '\n$', ''), chr(10)), lambda x: NOT starts_with(ltrim(x), '#')), chr(10)), '`[^`]+`', '', 'g')) > 400)::INT AS warnings,
+  least(len(list_filter([{", ".join(f"'{h}'" for h in (*knowledge.MODULE_HEADINGS, *knowledge.FLOW_HEADINGS, knowledge.SHARED_HEADING))}], lambda h: contains(body, h))) / 5, 1.0)::DOUBLE AS quality FROM gd LEFT JOIN ct ON ct.id = gd.id) """
+
+
+@on_graph("c3_critic", GUIDES + CRITIC + "SELECT id, errors, warnings::BIGINT AS warnings, quality, errors = 0 AND quality >= CASE WHEN warnings > 0 THEN 0.7 ELSE 0.5 END AS passed FROM pr", False)
 def _(g):
     return knowledge.critic(_guides(g), g.files, g.symbols)
 
 
-@on_graph("m3_verified_share", MODS + "SELECT id, CASE WHEN id IN ('mod1', 'mod2') THEN round(2 / 3, 6) ELSE 1.0 END::DOUBLE AS graph FROM m", False)
+@on_graph("m3_verified_share", GUIDES + CRITIC + "SELECT gd.id, coalesce(round(avg(found::INT) FILTER (kind IS NOT NULL), 6), 1.0)::DOUBLE AS graph FROM gd LEFT JOIN ck ON ck.id = gd.id GROUP BY 1", False)
 def _(g):
     return knowledge.verified_share(_guides(g), g.files, g.symbols).withColumn("graph", F.round("graph", 6))
 
@@ -760,9 +761,12 @@ def _(g):
     return knowledge.stale_workflows(_guides(g), g.symbols)
 
 
-@on_tables("c4_prose_heavy", "documents", "SELECT doc_id, length(regexp_replace(text, '(?m)^#.*$', '', 'g')) > 400 AS heavy FROM documents")
+@on_tables("c4_prose_heavy", "documents", """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '  # head' || chr(10) || '`A.b` `c_d()` `not one`' || chr(10) ELSE '`x` ' END || coalesce(text, '') AS body FROM documents),
+r AS (SELECT doc_id, body, len(list_filter(regexp_extract_all(body, '`([^`]+)`', 1), lambda r: contains(r, '/') OR regexp_matches(r, '^[A-Za-z_][A-Za-z0-9_]*([.][A-Za-z_][A-Za-z0-9_]*)*([(][)])?$'))) AS refs FROM d)
+SELECT doc_id, refs < 2 AND length(regexp_replace(array_to_string(list_filter(string_split(regexp_replace(body, '\n$', ''), chr(10)), lambda x: NOT starts_with(ltrim(x), '#')), chr(10)), '`[^`]+`', '', 'g')) > 400 AS heavy FROM r""")
 def _(documents):
-    return documents.select("doc_id", knowledge.prose_heavy(F.col("text")).alias("heavy"))
+    head = F.when(F.col("doc_id") % 2 == 0, "  # head\n`A.b` `c_d()` `not one`\n").otherwise("`x` ")
+    return documents.select("doc_id", knowledge.prose_heavy(F.concat(head, F.coalesce("text", F.lit("")))).alias("heavy"))
 
 
 @on_tables("c5_references", "documents", "SELECT doc_id % 3 AS k, CASE doc_id % 3 WHEN 0 THEN 'file' WHEN 1 THEN 'symbol' END AS kind, count(*)::BIGINT AS n FROM documents WHERE doc_id % 3 < 2 GROUP BY ALL")
@@ -827,13 +831,15 @@ def _(events):
 
 
 def queries() -> dict[str, Query]:
-    import grafwerk.plans.further  # noqa: F401  adds its own
+    import grafwerk.plans.deeper  # noqa: F401  adds its own
+    import grafwerk.plans.further  # noqa: F401
     import grafwerk.plans.more  # noqa: F401
 
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    import grafwerk.plans.deeper  # noqa: F401
     import grafwerk.plans.further  # noqa: F401
     import grafwerk.plans.more  # noqa: F401
 

@@ -122,19 +122,31 @@ def intent(question: Column) -> Column:
     return out.otherwise(F.struct(F.lit("complex").alias("intent"), F.lit("ALL").alias("layer")))
 
 
+#: How a command, not a file, begins.
+COMMANDS = ("./", "grafwerk ")
+
+
 def backtick_refs(body: Column) -> Column:
-    return F.regexp_extract_all(body, F.lit("`([^`\\n]+)`"), F.lit(1))
+    """Every span in back ticks, over lines too, as often as it stands there."""
+    return F.regexp_extract_all(body, F.lit("`([^`]+)`"), F.lit(1))
 
 
-def is_file_ref(ref: Column) -> Column:
-    ending = F.lit(False)
+def _pathlike(ref: Column) -> Column:
+    ending = F.contains(ref, F.lit("/"))
     for e in FILE_EXTENSIONS:
         ending = ending | F.endswith(ref, F.lit(e))
-    return (F.contains(ref, F.lit("/")) | ending) & ~F.startswith(ref, F.lit("./"))
+    return ending
+
+
+def is_file_ref(ref: Column) -> Column:
+    command = F.lit(False)
+    for c in COMMANDS:
+        command = command | F.startswith(ref, F.lit(c))
+    return _pathlike(ref) & ~command
 
 
 def is_symbol_ref(ref: Column) -> Column:
-    return ref.rlike(r"^[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*(?:\(\))?$") & ~is_file_ref(ref)
+    return ref.rlike(r"^[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*(?:\(\))?$") & ~_pathlike(ref)
 
 
 def truncate_result(text: Column, limit: int = 60_000) -> Column:

@@ -136,7 +136,7 @@ def recall(records: DataFrame, question: str, limit: int = 20, threshold: float
 def capture(new: DataFrame, held: DataFrame, refs: DataFrame, as_of: Column) -> DataFrame:
     """New records scored and tiered, with the record each supersedes."""
     old = memory.superseded(new, held).withColumnRenamed("new_id", "id")
-    return memory.scored(new, refs, as_of).join(old, "id", "left").select("id", "score", "tier", "old_id")
+    return memory.scored(new, refs, as_of).join(old, "id", "left").select("id", "score", "tier", "old_id", "via")
 
 
 def moved(records: DataFrame, new_tier: str) -> DataFrame:

@@ -8,15 +8,19 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grafwerk.operators import sequences, similar, vector
+
 #: Weights of the signals, days until freshness halves, tier and archive limits.
 WEIGHTS = {"graph": 0.25, "refs": 0.20, "confidence": 0.15, "critic": 0.20, "freshness": 0.05, "reinforcement": 0.05, "authority": 0.10}
 HALF_LIFE = {"decision": 90.0}
 HALF_LIFE_ELSE = 270.0
 RAW_BELOW, DRAFT_BELOW = 0.3, 0.5
 RAW_DAYS, TRIBAL_DAYS, PURGE_DAYS = 7, 90, 90
+#: Cosine from which a new text replaces an old one.
+SIMILAR = 0.85
 
 
 def age_days(created: Column, as_of: Column) -> Column:
@@ -86,18 +90,40 @@ def consolidated(records: DataFrame) -> DataFrame:
     return groups.where("n >= 2").select("id", "title_key", "n", F.array_join("bodies", "\n---\n").alias("body"), F.array_join("tags", ",").alias("tags"))
 
 
-def superseded(new: DataFrame, held: DataFrame) -> DataFrame:
-    """new_id, old_id: the latest record of the same type and title that a new one replaces."""
-    old = held.where("is_latest").select(F.col("id").alias("old_id"), "type", F.lower(F.trim("title")).alias("k"))
-    pairs = new.select(F.col("id").alias("new_id"), "type", F.lower(F.trim("title")).alias("k")).join(old, ["type", "k"]).where("old_id < new_id")
-    return pairs.groupBy("new_id").agg(F.max("old_id").alias("old_id"))
-
-
-def version_chain(records: DataFrame) -> DataFrame:
-    """Records with the ids they replace, newest first, and whether they are the latest."""
-    order = Window.partitionBy("type", F.lower(F.trim("title"))).orderBy("id")
-    older = F.reverse(F.collect_list("id").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    return records.withColumn("supersedes", older).withColumn("is_latest", F.lead("id").over(order).isNull())
+def superseded(new: DataFrame, held: DataFrame, threshold: float = SIMILAR, range_rows: int = sequences.RANGE_ROWS) -> DataFrame:
+    """new_id, old_id, via: the latest record of the same type with a smaller id that a new one
+    replaces: the newest of the same title (whatever its case; titles that are blank match
+    none), else the nearest text of cosine ``threshold`` or more by hashed words.
+
+    The newest of a title is a running maximum, so a title that all records have is no pairs."""
+    titled = lambda df, ask: df.select("type", F.lower(F.trim("title")).alias("k"), "id", F.lit(ask).alias("ask"))
+    latest = held.where("is_latest")
+    events = titled(latest, 1).unionByName(titled(new, 0)).where("k <> ''")
+    before = sequences.running(events, ["type", "k"], ["id", "ask"], F.when(F.col("ask") == 1, F.col("id")), "old_id", F.max, range_rows=range_rows)
+    by_title = before.where("ask = 0 and old_id is not null").groupBy(F.col("id").alias("new_id")).agg(F.max("old_id").alias("old_id"))
+    rest = new.join(by_title.select(F.col("new_id").alias("id")), "id", "left_anti")
+    text = lambda df, *cols: F.concat_ws(" ", *(F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit("")) for c in cols if c in df.columns))
+    embed = lambda df, t: vector.hash_embed(df.select("id", t.alias("t")), "id", F.col("t")).join(df.select("id", F.col("type").alias("block")), "id")
+    near = similar.best_match(embed(rest, text(rest, "title", "body")), embed(latest, text(latest, "title", "description", "body")), threshold)
+    by_text = near.select(F.col("id").alias("new_id"), F.col("other").alias("old_id"))
+    return by_title.withColumn("via", F.lit("title")).unionByName(by_text.withColumn("via", F.lit("text")))
+
+
+def version_chain(records: DataFrame, links: DataFrame) -> DataFrame:
+    """records with old_id (the record that each replaces: links new_id, old_id), first (the
+    oldest of its chain), versions (how many are older) and is_latest (none replaces it).
+
+    One row a record: a chain is its links, and ``lineage`` lists it for one record."""
+    own = records.drop("is_latest", "old_id").join(links.select(F.col("new_id").alias("id"), "old_id"), "id", "left")
+    ranks = sequences.chain_ranks(own.select("id", "old_id")).withColumnRenamed("rank", "versions")
+    newer = links.select(F.col("old_id").alias("id"), F.lit(True).alias("__newer")).distinct()
+    return own.join(ranks, "id").join(newer, "id", "left").withColumn("is_latest", F.col("__newer").isNull()).drop("__newer")
+
+
+def lineage(chains: DataFrame, record_id: int) -> DataFrame:
+    """The versions that led to one record, newest first."""
+    first = F.broadcast(chains.where(F.col("id") == record_id).select("first", F.col("versions").alias("upto")))
+    return chains.join(first, "first").where((F.col("versions") < F.col("upto")) | (F.col("id") == record_id)).orderBy(F.desc("versions"), "id").select("id", "versions")
 
 
 def digest(records: DataFrame, top: int = 10) -> DataFrame:

@@ -56,10 +56,11 @@ def hash_embed(rows: DataFrame, id_col: str, text: Column, dim: int = 256) -> Da
     Each distinct word's SHA-256 gives the component, the sign and the size it adds.
     """
     words = F.array_distinct(F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != ""))
-    byte = lambda i: F.conv(F.substr("h", F.lit(2 * i + 1), F.lit(2)), 16, 10).cast("long")
-    word32 = lambda i: byte(i) + byte(i + 1) * 256 + byte(i + 2) * 65536 + byte(i + 3) * 16777216
-    hashed = rows.select(F.col(id_col).alias("id"), F.explode(words).alias("w")).withColumn("h", F.sha2("w", 256))
-    parts = hashed.select("id", (word32(0) % dim).cast("int").alias("i"), (F.when(byte(4) % 2 == 1, 1.0).otherwise(-1.0) * (0.5 + (word32(5) % 1000) / 1000)).alias("x"))
+    pair = lambda i: F.substr("h", F.lit(2 * i + 1), F.lit(2))
+    word32 = lambda i: F.conv(F.concat(pair(i + 3), pair(i + 2), pair(i + 1), pair(i)), 16, 10).cast("long")
+    hashed = rows.select(F.col(id_col).alias("id"), F.explode(words).alias("w")).select("id", F.sha2("w", 256).alias("h"))
+    odd = F.substr("h", F.lit(10), F.lit(1)).isin(*"13579bdf")  # the fifth byte
+    parts = hashed.select("id", (word32(0) % dim).cast("int").alias("i"), (F.when(odd, 1.0).otherwise(-1.0) * (0.5 + (word32(5) % 1000) / 1000)).alias("x"))
     sums = parts.groupBy("id", "i").agg(F.sum("x").alias("x"))
     size = sums.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
     return sums.join(size, "id").where("n > 0").select("id", "i", (F.col("x") / F.col("n")).alias("x"))

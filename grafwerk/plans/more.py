@@ -138,12 +138,6 @@ def _(documents, labels, events):
     return rows.select("id", zero("refs"), zero("reinforcement"), F.round(memory.freshness(F.col("type"), F.col("created"), F.col("origin"), as_of), 6).alias("freshness"), F.when(F.col("origin") == "manual", 1.0).otherwise(0.5).alias("authority"))
 
 
-@on_tables("m8_capture", "documents labels events", RECORDS + ", o AS (SELECT id, lag(id) OVER (PARTITION BY type, lower(trim(title)) ORDER BY id) AS old_id FROM r) SELECT t.id, t.score, t.tier, CASE WHEN o.old_id IS NOT NULL THEN o.old_id END AS old_id FROM t JOIN o ON o.id = t.id")
-def _(documents, labels, events):
-    held = _records(documents, labels)
-    return compose.capture(held, held, _refs(events), F.lit(AS_OF).cast("timestamp"))
-
-
 @on_tables("m11_recall", "documents labels", "SELECT doc_id AS id, 'phrase' AS via FROM (SELECT doc_id, (length(lower(left(text, 12))) - length(replace(lower(left(text, 12)), 'ththe', ''))) // 5 + (length(lower(text)) - length(replace(lower(text), 'ththe', ''))) // 5 AS score FROM documents) WHERE score > 0 ORDER BY score DESC, id LIMIT 20")
 def _(documents, labels):
     return compose.recall(_records(documents, labels), "Ththe")
