@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grafwerk.functions.text import intent, tokens
-from grafwerk.operators import lexical, lookup, memory, rollup, traverse, vector
+from grafwerk.operators import lexical, lookup, memory, sequences, traverse, vector
 from grafwerk.plans.store import checkpoint
 from grafwerk.sources.views import Graph
 
@@ -99,16 +99,16 @@ def explore(graph: Graph, pattern: str, seeds: int = 20) -> DataFrame:
     return ranked.unionByName(near).unionByName(reach).unionByName(open_)
 
 
-def source_spans(symbols: DataFrame, texts: DataFrame, budget: int = 400) -> DataFrame:
+def source_spans(symbols: DataFrame, texts: DataFrame, budget: int = 400, range_rows: int = sequences.RANGE_ROWS) -> DataFrame:
     """id, path, lines: the text of each symbol while the lines before it are under budget.
 
-    The running sum is over the few symbols asked for, so one ordered window is bounded.
+    The lines before a symbol are a running sum over ranges of symbols, so any number of them
+    may be asked for.
     """
-    order = Window.orderBy("path", "line_start", "id")
-    span = F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(0))
-    rows = symbols.withColumn("before", F.coalesce(F.sum(span).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    span = F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(0)).cast("long")
+    rows = sequences.running(symbols, [], ["path", "line_start", "id"], span, "before", range_rows=range_rows)
     part = F.slice(F.split("text", "\n", -1), F.greatest("line_start", F.lit(1)), F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(0)))
-    return rows.where(F.col("before") < budget).join(texts, "path").select("id", "path", F.array_join(part, "\n").alias("lines"))
+    return rows.where(F.coalesce("before", F.lit(0)) < budget).join(texts, "path").select("id", "path", F.array_join(part, "\n").alias("lines"))
 
 
 def signature(text: Column, line: Column) -> Column:
@@ -166,17 +166,6 @@ def routed(spark: SparkSession, question: str, layers: dict[str, Callable[[str],
     return ask([n for n in FALLBACK if n in layers]) if answer is None or answer.isEmpty() else answer
 
 
-def module_guide(graph: Graph, depth: int = 3) -> DataFrame:
-    """module, body: a five-section guide of every module from its symbols and links."""
-    place = lookup.located(graph).withColumn("module", F.array_join(F.slice(F.split("path", "/"), 1, depth), "/"))
-    kinds = place.groupBy("module", "kind").agg(F.count("*").alias("n")).groupBy("module").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "kind", "n"))), "\n").alias("kinds"))
-    keyed = place.join(rollup.incoming(graph), "id", "left").groupBy("module", "path").agg(F.coalesce(F.sum("incoming"), F.lit(0)).alias("n"))
-    best = keyed.withColumn("r", F.row_number().over(Window.partitionBy("module").orderBy(F.desc("n"), "path"))).where("r <= 5").groupBy("module").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "path"))), lambda x: F.concat(F.lit("- `"), x["path"], F.lit("`"))), "\n").alias("files"))
-    links = rollup.module_dependencies(graph, depth).withColumn("r", F.row_number().over(Window.partitionBy("module").orderBy(F.desc("edges"), "other"))).where("r <= 8").groupBy("module").agg(F.array_join(F.array_sort(F.collect_list("other")), ", ").alias("links"))
-    body = F.concat(F.lit("## Purpose\n"), "module", F.lit("\n## Symbols\n"), "kinds", F.lit("\n## Key files\n"), "files", F.lit("\n## Depends on\n"), F.coalesce("links", F.lit("-")), F.lit("\n## Notes\n"))
-    return kinds.join(best, "module").join(links, "module", "left").select("module", body.alias("body"))
-
-
 def parent_scope(qualified: Column) -> Column:
     return F.when(F.contains(qualified, F.lit(".")), F.regexp_replace(qualified, r"\.[^.]*$", ""))
 

@@ -128,7 +128,9 @@ def _runs(q: Column) -> Column:
     join = lambda at, n: F.array_join(F.slice(q, at, n), ".")
     row = lambda run, how, score: F.struct(run.alias("run"), F.lit(how).alias("how"), score.cast("int").alias("score"))
     inside = F.flatten(F.transform(many, lambda at: F.transform(F.sequence(F.lit(1), F.size(q) - at + 1), lambda n: row(join(at, n), "inside", at - 1 + n))))
-    first_place = F.filter(inside, lambda x, i: F.array_position(F.transform(inside, lambda y: y["run"]), x["run"]) == i + 1)
+    # one-element arrays bind the runs and their names, which would be made again for each run
+    bound = F.transform(F.array(inside), lambda rows: F.struct(rows.alias("rows"), F.transform(rows, lambda y: y["run"]).alias("names")))
+    first_place = F.transform(bound, lambda b: F.filter(b["rows"], lambda x, i: F.array_position(b["names"], x["run"]) == i + 1))[0]
     endings = F.transform(many, lambda n: row(join(F.size(q) - n + 1, n), "ending", n))
     return F.concat(first_place, endings, F.array(row(q[0], "first", F.lit(1))))
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grafwerk.catalog import PLACED, add, name_of, on_graph, on_tables
-from grafwerk.operators import guides, incremental, lookup, vector
-from grafwerk.plans.samples import SAMPLES
+from grafwerk.catalog import CRITIC, PLACED, name_of, on_graph, on_tables
+from grafwerk.operators import guides, incremental, knowledge, lookup, vector
 from grafwerk.plans.store import checkpoint
 from grafwerk.sources import files as files_source
-from grafwerk.sources import parsers
 from grafwerk.sources.views import Graph
 
 
@@ -99,22 +97,64 @@ def _(g):
     return guides.stale_records(g.files.select("id", body.alias("body")), g.files, g.symbols)
 
 
-@on_graph("c2_flow_guide", """, ce AS (SELECT DISTINCT source_id, target_id FROM redges WHERE target_id IS NOT NULL AND kind IN ('calls', 'extends', 'implements')), seed AS (SELECT id FROM symbols WHERE name = (SELECT name FROM symbols WHERE id = 7)),
-b AS (SELECT id AS node, 0 AS depth FROM seed UNION SELECT ce.target_id, b.depth + 1 FROM b JOIN ce ON ce.source_id = b.node WHERE b.depth < 2), m AS (SELECT node, min(depth) AS depth FROM b GROUP BY node),
-st AS (SELECT m.node, m.depth, s.name, s.kind, f.path, row_number() OVER (ORDER BY m.depth, s.name, m.node) AS nth FROM m JOIN symbols s ON s.id = m.node JOIN files f ON f.id = s.file_id)
-SELECT 'Flow: ' || (SELECT name FROM symbols WHERE id = 7) AS title, string_agg(repeat('  ', depth) || '- `' || name || '` (' || kind || ', ' || string_split(path, '/')[-1] || ')', chr(10) ORDER BY nth) AS chain FROM st WHERE nth <= 200""")
+FLOW = """, ce AS (SELECT DISTINCT source_id, target_id FROM redges WHERE target_id IS NOT NULL AND kind IN ('calls', 'extends', 'implements')), seed AS (SELECT id FROM symbols WHERE name = (SELECT name FROM symbols WHERE id = 7)),
+b AS (SELECT id AS node, 0 AS depth FROM seed UNION SELECT ce.target_id, b.depth + 1 FROM b JOIN ce ON ce.source_id = b.node WHERE b.depth < 8), m AS (SELECT node, min(depth) AS depth FROM b GROUP BY node),
+oc AS (SELECT source_id AS node, count(DISTINCT target_id) AS callees FROM ce GROUP BY 1),
+st AS (SELECT * FROM (SELECT m.node, m.depth, s.name, s.kind, f.path, r.name AS repo, coalesce(callees, 0) AS callees, row_number() OVER (ORDER BY m.depth, s.name, m.node) AS nth FROM m JOIN symbols s ON s.id = m.node JOIN files f ON f.id = s.file_id JOIN repos r ON r.id = f.repo_id LEFT JOIN oc ON oc.node = m.node) WHERE nth <= 200),
+ch AS (SELECT string_agg(repeat('  ', depth) || '- `' || name || '` (' || kind || ', ' || string_split(path, '/')[-1] || ':' || repo || ')', chr(10) ORDER BY nth) AS chain, count(*) AS steps, count(DISTINCT array_to_string(string_split(path, '/')[-3:-2], '/')) AS modules FROM st),
+b5 AS (SELECT * FROM st WHERE callees > 1 ORDER BY nth LIMIT 5), bc AS (SELECT DISTINCT b5.nth, b5.name AS caller, s.name FROM b5 JOIN ce ON ce.source_id = b5.node JOIN symbols s ON s.id = ce.target_id),
+b4 AS (SELECT nth, caller, string_agg('`' || name || '`', ', ' ORDER BY name) AS names FROM (SELECT *, row_number() OVER (PARTITION BY nth ORDER BY name) AS r FROM bc) WHERE r <= 4 GROUP BY ALL),
+br AS (SELECT coalesce(string_agg('- `' || caller || '` branches to ' || names || ' -- a change here ripples to multiple downstream paths.', chr(10) ORDER BY nth), '') AS branches FROM b4),
+en AS (SELECT coalesce(string_agg('`' || name || '`', ', ' ORDER BY nth), '') AS ends FROM (SELECT * FROM st WHERE callees = 0 AND depth > 0 ORDER BY nth LIMIT 5)),
+sp AS (SELECT string_agg('- `' || string_split(path, '/')[-1] || '` (`' || path || '`)', chr(10) ORDER BY path) AS files FROM (SELECT DISTINCT path FROM st ORDER BY path LIMIT 8)),
+rg AS (SELECT coalesce(string_agg('`' || name || '`', ', ' ORDER BY name), '') AS rings FROM (SELECT DISTINCT x.name FROM ce JOIN st x ON x.node = ce.source_id JOIN st y ON y.node = ce.target_id WHERE y.depth <= x.depth ORDER BY 1 LIMIT 3)),
+gd AS (SELECT 'flow' AS id, concat_ws(chr(10) || chr(10),
+  '# What Does This Flow Do?' || chr(10) || '- Entry point: `' || (SELECT name FROM symbols WHERE id = 7) || '`' || chr(10) || '- Traces ' || steps || ' call step(s) across ' || modules || ' module(s).', '# Call Sequence' || chr(10) || chain,
+  '# Failure-Prone Steps' || chr(10) || CASE WHEN branches = '' AND ends = '' THEN '- (no branch points or terminal calls detected)' ELSE concat_ws(chr(10), nullif(branches, ''), CASE WHEN ends <> '' THEN '- Terminal calls (side effects): ' || ends || '.' END) END,
+  '# Modules Spanned' || chr(10) || files, '# Tribal Knowledge' || chr(10) || CASE WHEN rings <> '' THEN '- Recursive/cyclic calls detected at: ' || rings || '.' || chr(10) ELSE '' END || '- (populated from code comments and TODOs when an LLM is available)') || chr(10) AS body FROM ch, br, en, sp, rg)"""
+
+
+def _judged(pages: DataFrame, g: Graph) -> DataFrame:
+    """Pages with the critic's verdict; the text as its digest."""
+    return pages.join(knowledge.critic(pages, g.files, g.symbols), "id").select("id", F.sha2(F.encode("body", "UTF-8"), 256).alias("body"), "errors", "warnings", F.round("quality", 6).alias("quality"), "passed")
+
+
+JUDGED = CRITIC + "SELECT id, sha256(body) AS body, errors, warnings::BIGINT AS warnings, quality, errors = 0 AND quality >= CASE WHEN warnings > 0 THEN 0.7 ELSE 0.5 END AS passed FROM pr"
+
+
+@on_graph("c2_flow_guide", FLOW + JUDGED)
+def _(g):
+    return _judged(guides.flow_guide(g, name_of(g)).withColumn("id", F.lit("flow")), g)
+
+
+MODULES = PLACED + """, kc AS (SELECT module, kind, count(*) AS n FROM p GROUP BY ALL), kt AS (SELECT module, sum(n) AS symbols, array_to_string(list(kind || '(' || n || ')' ORDER BY n DESC, kind)[1:5], ', ') AS kinds FROM kc GROUP BY 1),
+nn AS (SELECT name, sum(n) AS n FROM inc JOIN symbols s ON s.id = inc.id GROUP BY 1),
+fr AS (SELECT module, path, repo_id, coalesce(sum(nn.n), 0)::BIGINT AS refs, array_to_string(list(p.name ORDER BY p.id)[1:3], ', ') AS sample FROM p LEFT JOIN nn ON nn.name = p.name GROUP BY ALL),
+fk AS (SELECT * FROM (SELECT fr.*, r.name AS repo, row_number() OVER (PARTITION BY fr.module ORDER BY fr.refs DESC, fr.path, fr.repo_id) AS r FROM fr JOIN repos r ON r.id = fr.repo_id) WHERE r <= 5),
+ff AS (SELECT module, string_agg('- `' || string_split(path, '/')[-1] || '` - ' || repo || ' (refs: ' || refs || '; e.g. ' || sample || ')', chr(10) ORDER BY r) AS files, max(refs) AS most, min_by(string_split(path, '/')[-1], r) AS top FROM fk GROUP BY 1),
+aw AS (SELECT DISTINCT a.module, r.name || coalesce('/' || nullif(array_to_string(list_filter(string_split(b.path, '/'), lambda x: x NOT IN ('', 'src', 'main', 'java', 'kotlin'))[1:2], '/'), ''), '') AS other FROM redges e JOIN p a ON a.id = e.source_id JOIN p b ON b.id = e.target_id JOIN repos r ON r.id = b.repo_id WHERE a.module <> b.module),
+al AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY other) AS r FROM aw) WHERE r <= 8),
+ll AS (SELECT module, count(*) AS n_links, string_agg('- ' || string_split(other, '/')[-1] || ' (`' || other || '`)', chr(10) ORDER BY r) FILTER (r <= 4) AS links FROM al GROUP BY 1),
+gd AS (SELECT kt.module AS id, concat_ws(chr(10) || chr(10), '# What Does This Module Do?' || chr(10) || '- ' || symbols || ' symbols: ' || kinds, '# Common Modification Patterns' || chr(10) || files,
+  concat_ws(chr(10), '# Build-Failure Patterns', CASE WHEN most > 20 THEN '- `' || top || '` is a high-traffic file (' || most || ' incoming refs); changes ripple widely: check its impact before modifying.' END,
+    CASE WHEN n_links > 0 THEN '- This module reaches ' || n_links || ' other modules; verify cross-module impact before refactoring.' END, CASE WHEN symbols > 50 THEN '- Large module (' || symbols || ' symbols); consider splitting if adding features.' END),
+  '# Cross-Module Dependencies' || chr(10) || coalesce(links, '- (no cross-module references found)'), '# Tribal Knowledge' || chr(10) || '- (populated from code comments and TODOs when an LLM is available)') || chr(10) AS body
+  FROM kt LEFT JOIN ff ON ff.module = kt.module LEFT JOIN ll ON ll.module = kt.module)"""
+
+
+@on_graph("c1_module_guides", MODULES + JUDGED)
 def _(g):
-    page = guides.flow_guide(g, name_of(g), 2)
-    return page.select("title", F.regexp_extract("body", r"(?s)# Call Sequence\n(.*?)\n\n# Failure", 1).alias("chain"))
+    return _judged(guides.module_guides(g), g)
 
 
 @on_graph("c16_architecture_pages", PLACED + """, k AS (SELECT repo_id, string_agg('- ' || kind || ': ' || n, chr(10) ORDER BY n DESC, kind) AS kinds FROM (SELECT repo_id, kind, count(*) AS n FROM p GROUP BY ALL) GROUP BY 1), c AS (SELECT repo_id, count(*) AS n FROM p GROUP BY 1), fl AS (SELECT repo_id, count(*) AS n FROM files GROUP BY 1)
-SELECT r.id, r.name || ' contains ' || coalesce(c.n, 0) || ' symbols across ' || coalesce(fl.n, 0) || ' files.' AS overview, coalesce(k.kinds, '(none)') AS kinds, 0::BIGINT AS errors, true AS passed FROM repos r LEFT JOIN k ON k.repo_id = r.id LEFT JOIN c ON c.repo_id = r.id LEFT JOIN fl ON fl.repo_id = r.id""")
+SELECT r.id, r.name || ' contains ' || coalesce(c.n, 0) || ' symbols across ' || coalesce(fl.n, 0) || ' files.' AS overview, coalesce(k.kinds, '(none)') AS kinds, 0::BIGINT AS errors, 0.0::DOUBLE AS quality, false AS passed FROM repos r LEFT JOIN k ON k.repo_id = r.id LEFT JOIN c ON c.repo_id = r.id LEFT JOIN fl ON fl.repo_id = r.id""")
 def _(g):
+    """The critic knows none of a page's headings, so no page passes: it informs, it does not block."""
     ns = lookup.located(g).select("repo_id", F.split("qualified_name", "\\.")[0].alias("prefix")).distinct()
     pages = guides.architecture_pages(g, ns)
     part = lambda head, end: F.regexp_extract("body", rf"(?s){head}\n(.*?)\n\n{end}", 1)
-    return pages.select("id", part("## Overview", "## Symbol").alias("overview"), part("## Symbol Distribution", "## Core").alias("kinds"), "errors", "passed")
+    return pages.select("id", part("## Overview", "## Symbol").alias("overview"), part("## Symbol Distribution", "## Core").alias("kinds"), "errors", "quality", "passed")
 
 
 # --- vectors --------------------------------------------------------------------------
@@ -149,24 +189,3 @@ def _(g):
         return own, g.raw_edges.join(own.select(F.col("id").alias("source_id")), "source_id", "left_semi").select(*g.raw_edges.columns)
 
     return incremental.catch_up(g, shot, now, parse)[1]
-
-
-# --- parsers --------------------------------------------------------------------------
-def _parsed_rows(language: str):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        text, _ = SAMPLES[language]
-        parsed = parsers.parse(spark.createDataFrame([("src/sample.x", language, text)], "path string, language string, text string"))
-        word = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-        row = lambda *parts: F.rtrim(F.concat_ws(" ", *parts)).alias("found")
-        symbols = parsed.select(F.explode("symbols").alias("x")).select(row(F.lit("S"), "x.kind", "x.qualified_name", word("x.line_start"), word("x.line_end"), F.array_join("x.modifiers", " ")))
-        edges = parsed.select(F.explode("edges").alias("x")).select(row(F.lit("E"), word("x.owner"), "x.kind", "x.target_name", word("x.line"), word("x.receiver_type")))
-        imports = parsed.select(F.explode("imports").alias("x")).select(row(F.lit("I"), "x.imported_path", word("x.line")))
-        errors = parsed.where("error is not null").select(F.col("error").alias("found"))
-        return symbols.unionByName(edges).unionByName(imports).unionByName(errors)
-
-    return run
-
-
-for _language, (_, _rows) in SAMPLES.items():
-    _values = ", ".join("('" + r.replace("'", "''") + "')" for r in _rows.strip().split("\n"))
-    add(f"s9_{_language}", f"SELECT found FROM (VALUES {_values}) v(found)")(_parsed_rows(_language))

@@ -153,11 +153,6 @@ def _(documents, labels, events):
     return compose.moved(_scored(documents, labels, events), "drafts").groupBy("tier").agg(F.count("*").alias("n"))
 
 
-@on_graph("c1_module_guides", PLACED + ", k AS (SELECT module, string_agg(kind || ': ' || n, chr(10) ORDER BY kind || ': ' || n) AS kinds FROM (SELECT module, kind, count(*) AS n FROM p GROUP BY ALL) GROUP BY 1) SELECT module, kinds FROM k")
-def _(g):
-    return compose.module_guide(g).select("module", F.regexp_extract("body", r"(?s)## Symbols\n(.*?)\n## Key", 1).alias("kinds"))
-
-
 @on_graph("c10_resolve_workflow", " SELECT id, 3 AS match FROM repos WHERE lower(name) = 'japan'", False)
 def _(g):
     from grafwerk.operators.knowledge import resolve_workflow
@@ -208,10 +203,18 @@ def _(documents):
 GOLDEN = (("where is Foo defined", "L1"), ("who calls bar", "L1"), ("what breaks if I change x", "L1"), ("how does login work", "L2"), ("architecture of sync", "L2"), ("where do i start", "L3"), ("any gotcha here", "L3"), ("why did we choose it", "L4"), ("common mistake", "L4"), ("business rule for refunds", "L5"), ("what repos does the epic touch", "L5"), ("hello", "ALL"))
 
 
-@add("a17_router_accuracy", "SELECT 1.0::DOUBLE AS accuracy, 12::BIGINT AS questions")
-def _(spark, sf_dir):
-    rows = spark.createDataFrame(GOLDEN, "q string, layer string")
-    return rows.agg(F.avg((T.intent(F.col("q"))["layer"] == F.col("layer")).cast("double")).alias("accuracy"), F.count("*").alias("questions"))
+def _golden_sql() -> str:
+    told = "[" + ", ".join(f"{{'q': '{q}', 'layer': '{layer}'}}" for q, layer in GOLDEN) + "]"
+    pick = "CASE " + " ".join(f"WHEN regexp_matches(lower(q), '{r[0]}') THEN '{r[2]}'" for r in T.INTENTS) + " ELSE 'ALL' END"
+    return f" SELECT layer, count(*)::BIGINT AS questions, round(avg(({pick} = layer)::INT), 6)::DOUBLE AS accuracy FROM (SELECT g.q || ' (' || name || ')' AS q, g.layer AS layer FROM (SELECT name, {told}[(id % {len(GOLDEN)} + 1)::INT] AS g FROM symbols)) GROUP BY 1"
+
+
+@on_graph("a17_router_accuracy", _golden_sql(), False)
+def _(g):
+    """Every symbol asked about in one of the golden questions: how often its layer answers."""
+    told = F.array(*(F.struct(F.lit(q).alias("q"), F.lit(layer).alias("layer")) for q, layer in GOLDEN))
+    rows = g.symbols.select(F.element_at(told, (F.col("id") % len(GOLDEN) + 1).cast("int")).alias("g"), "name").select(F.concat("g.q", F.lit(" ("), "name", F.lit(")")).alias("q"), "g.layer")
+    return rows.groupBy("layer").agg(F.count("*").alias("questions"), F.round(F.avg((T.intent(F.col("q"))["layer"] == F.col("layer")).cast("double")), 6).alias("accuracy"))
 
 
 @on_tables("a20_corpus_stats", "documents", "SELECT count(*)::BIGINT AS files, sum(len(string_split(text, chr(10))))::BIGINT AS lines, sum(strlen(text))::BIGINT AS bytes FROM documents")
@@ -242,12 +245,6 @@ def _(documents):
     return compose.bulk_import(rows, 3000).select("path", "title")
 
 
-@add("s9_parse_synthetic", "SELECT 100::BIGINT AS files, 500::BIGINT AS functions, 500::BIGINT AS calls")
-def _(spark, sf_dir):
-    tables = parsers.parsed_tables(parsers.parse(compose.synthetic_corpus(spark, 100)))
-    return tables["symbols"].agg(F.count_distinct("path").alias("files"), F.count("*").alias("functions")).crossJoin(tables["edges"].agg(F.count("*").alias("calls")))
-
-
 @on_tables("i5_tool_percentiles_by_day", "events", "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type AS tool, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY ALL")
 def _(events):
     return rollup.percentiles(_metrics(events).withColumn("day", F.date_trunc("day", "at").cast("timestamp_ntz")), ("day", "tool"), (95,))
