@@ -15,7 +15,7 @@ own; one with less than two parts' rows is searched whole.
 Rows of a part are split by hash into chunks of at most about ``CHUNK`` and its queries
 into blocks, so a part that holds a third of all rows is many tasks.
 
-Defined results: vectors that are null, zero, or hold null or non-finite components take no
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no
 part; vectors of another length than the query's are no candidates; rows with the query's
 own id are no candidates; null ids take no part; ties go to the smaller id; a query gets all
 candidates where there are fewer than k. Components of any size are scaled by a power of two

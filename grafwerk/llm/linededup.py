@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grafwerk.llm.shared import join_spread
+from grafwerk.llm.shared import fresh, join_spread
 
 #: Least code points of a key, and least documents that hold it.
 MIN_CHARS, MIN_DOCS = 10, 2
@@ -60,10 +60,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.collect_set("__pos").alias("__dropped"))
     )
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped", text_col)]
-    found = docs.select(*rest, F.col(id_col).alias("__id"), text.alias("__whole"), F.xxhash64(text).alias("__text")).join(dropped, ["__id", "__text"], "left")
+    mark, sign, whole, gone = fresh(docs, "mark", "sign", "whole", "gone")
+    dropped = dropped.select(F.col("__id").alias(mark), F.col("__text").alias(sign), F.col("__dropped").alias(gone))
+    found = docs.select(*rest, F.col(id_col).alias(mark), text.alias(whole), F.xxhash64(text).alias(sign)).join(dropped, [mark, sign], "left")
     # the one-element array binds the split lines, so that they are made once for each text
-    put = lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__dropped")), lambda i: F.get(x, i)), "\n")
-    kept = F.when(F.col("__dropped").isNull(), F.col("__whole")).otherwise(F.transform(F.array(F.split("__whole", "\n", -1)), put)[0])
-    n_lines = F.char_length("__whole") - F.char_length(F.replace("__whole", F.lit("\n"), F.lit(""))) + 1
-    n_dropped = F.when(F.col("__dropped").isNull(), 0).otherwise(F.size("__dropped"))
+    put = lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(gone)), lambda i: F.get(x, i)), "\n")
+    kept = F.when(F.col(gone).isNull(), F.col(whole)).otherwise(F.transform(F.array(F.split(whole, "\n", -1)), put)[0])
+    n_lines = F.char_length(whole) - F.char_length(F.replace(F.col(whole), F.lit("\n"), F.lit(""))) + 1
+    n_dropped = F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone))
     return found.select(*rest, kept.alias(text_col), n_lines.cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"))

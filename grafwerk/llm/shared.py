@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch; the bytes keep a batch of very long texts small.
 ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
-#: A key with over a HEAVY-th of all rows is dealt over SALTS tasks.
-HEAVY, SALTS = 1000, 64
+#: A key with over a HEAVY-th of all rows is dealt over as many tasks as bring it below that.
+HEAVY = 1000
 BATCH_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(ARROW_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BYTES)}
 Batches = Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -76,17 +76,30 @@ def lean(run: Batches) -> Batches:
     return wrapped
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that the DataFrame has no column of, whatever the case."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def join_spread(rows: DataFrame, facts: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
     """``rows`` with the columns of ``facts``, which has one row for a key and its number of
     rows, n. The rows of a heavy key, one with over a HEAVY-th of all, are dealt by a hash of
-    ``by`` over SALTS tasks; fewer than HEAVY keys can be heavy, so those are broadcast."""
+    ``by`` over tasks that get a HEAVY-th each; fewer than HEAVY keys can be heavy, so those
+    are broadcast, and all of them have fewer than 2 * HEAVY copies."""
     facts = checkpoint(facts)
-    heavy = facts.where(F.col("n") > F.lit(facts.agg(F.sum("n")).first()[0] or 0) / HEAVY).select(*keys, F.lit(True).alias("__heavy"))
+    share = F.lit(float(facts.agg(F.sum("n")).first()[0] or 0) / HEAVY)
+    heavy = facts.where(F.col("n") > share).select(*keys, F.ceil(F.col("n") / share).cast("int").alias("__salts"))
     if heavy.isEmpty():
         return rows.join(facts.drop("n"), keys, how)
-    marked = rows.join(F.broadcast(heavy), keys, "left").withColumn("__salt", F.when(F.col("__heavy"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("__heavy")
-    every = F.when(F.col("__heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    copies = facts.drop("n").join(F.broadcast(heavy), keys, "left").withColumn("__salt", F.explode(every)).drop("__heavy")
+    marked = rows.join(F.broadcast(heavy), keys, "left").withColumn("__salt", F.pmod(F.xxhash64(by), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__salts")
+    every = F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)
+    copies = facts.drop("n").join(F.broadcast(heavy), keys, "left").withColumn("__salt", F.explode(every)).drop("__salts")
     return marked.join(copies, [*keys, "__salt"], how).drop("__salt")
 
 

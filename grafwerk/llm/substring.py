@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grafwerk.llm.shared import lean
+from grafwerk.llm.shared import fresh, lean
 
 #: Words of a window.
 WINDOW = 13
@@ -87,14 +87,14 @@ def _pack(ids: np.ndarray, signs: np.ndarray, row: np.ndarray, position: np.ndar
     rows, first, count = np.unique(row, return_index=True, return_counts=True)
     gap = np.diff(position, prepend=0)
     gap[first] = position[first]
-    parts = [np.array([len(rows), len(row)], "<i8").tobytes(), _planes(ids[rows].astype("<i8")), _planes(signs[rows].astype("<i4")), _planes(count.astype("<i4")), _planes(gap.astype("<i4"))]
+    parts = [np.array([len(rows), len(row)], "<i8").tobytes(), _planes(ids[rows].astype("<i8")), _planes(signs[rows].astype("<i8")), _planes(count.astype("<i4")), _planes(gap.astype("<i4"))]
     return b"".join(parts if hashes is None else [*parts, hashes.tobytes()])
 
 
 def _unpack(raw: bytes, hashed: bool = True) -> tuple[np.ndarray, ...]:
     rows, n = np.frombuffer(raw, "<i8", 2).tolist()
     ids, at = _unplane(raw, 16, rows, "<i8")
-    signs, at = _unplane(raw, at, rows, "<i4")
+    signs, at = _unplane(raw, at, rows, "<i8")
     count, at = _unplane(raw, at, rows, "<i4")
     gap, at = _unplane(raw, at, n, "<i4")
     first = np.cumsum(count) - count
@@ -163,7 +163,7 @@ def _spaced(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def removals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, sign, starts (packed): the first words of every window that a smaller id has too."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.hash(text).alias("sign"), text.alias("text"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("sign"), text.alias("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_targets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // TARGET + 1)
     parts = min(n_targets, MOST_PARTS)
@@ -261,7 +261,7 @@ def removals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text
             yield from merged(held)
 
     met = dealt(rows.mapInArrow(send, _SCHEMA)).mapInArrow(meet, "target int, payload binary")
-    return dealt(met).mapInArrow(gather, "id long, sign int, starts binary")
+    return dealt(met).mapInArrow(gather, "id long, sign long, starts binary")
 
 
 def dedup_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,14 +272,16 @@ def dedup_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     rest = [c for c in docs.columns if c not in added and c != text_col]
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    left = docs.select(*rest, text.alias("__text"), F.col(id_col).cast("long").alias("__id"), F.hash(text).alias("__sign"))
-    joined = left.join(found, (F.col("__id") == F.col("id")) & (F.col("__sign") == F.col("sign")), "left").select(*rest, "__text", F.col("starts").alias("__starts"))
+    whole, mark, sign, places = fresh(docs, "whole", "mark", "sign", "places")
+    left = docs.select(*rest, text.alias(whole), F.col(id_col).cast("long").alias(mark), F.xxhash64(text).alias(sign))
+    found = found.select(F.col("id").alias(mark), F.col("sign").alias(sign), F.col("starts").alias(places))
+    joined = left.join(found, [mark, sign], "left").select(*rest, whole, places)
 
     @lean
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, n_words, n_removed = [], [], []
-            for text, packed in zip(batch.column("__text"), batch.column("__starts")):
+            for text, packed in zip(batch.column(len(rest)), batch.column(len(rest) + 1)):
                 words = text.as_py().encode().split()
                 n_words.append(len(words))
                 if packed.is_valid:
@@ -293,6 +295,6 @@ def dedup_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
                 else:
                     n_removed.append(0)
                 kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=[*rest, text_col, *added])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(rest))), pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=[*rest, text_col, *added])
 
     return joined.mapInArrow(cut, f"{fields}, `{text_col}` string, n_words long, n_removed long")

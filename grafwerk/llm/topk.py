@@ -19,7 +19,7 @@ numbers of any size beyond; rows of large components have an index of their own,
 few of them slow no others down.
 
 Defined results: vectors that are null or hold null or non-finite components take no part,
-zero vectors do; vectors of other lengths than the query's are no candidates; rows with the
+empty ones neither, zero vectors do; vectors of other lengths than the query's are no candidates; rows with the
 query's own id are no candidates; null ids take no part; ties go to the smaller id; a query
 gets all candidates where there are fewer than k. Scores beyond 64 bits rank by their true
 size and are given as the nearest 64-bit number. Extra columns are ignored.
