@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import tempfile
+import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
 from weakref import WeakKeyDictionary
@@ -14,13 +15,19 @@ from grafwerk.sources.views import Graph, from_tables
 
 _built: dict[tuple[str, str], tuple[object, Graph]] = {}
 _cut: WeakKeyDictionary[DataFrame, dict[str, DataFrame]] = WeakKeyDictionary()
+_stored: WeakKeyDictionary[DataFrame, dict[str, object]] = WeakKeyDictionary()
 SOURCES = ("nation", "supplier", "part", "lineitem")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in spark.checkpoint.dir; where the session has none, in the warehouse,
     or in a temporary folder if all runs in this process."""
-    spark = df.sparkSession
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Name the folder where the session has not yet used it."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = context.getConf().get("spark.checkpoint.dir")
@@ -28,7 +35,6 @@ def checkpoint(df: DataFrame) -> DataFrame:
             here = context.master.split("[")[0] == "local"
             named = tempfile.mkdtemp(prefix="checkpoint") if here else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
         context.setCheckpointDir(named)
-    return df.checkpoint()
 
 
 def cut_once(owner: DataFrame, name: str, make: Callable[[], DataFrame]) -> DataFrame:
@@ -39,6 +45,16 @@ def cut_once(owner: DataFrame, name: str, make: Callable[[], DataFrame]) -> Data
     return held[name]
 
 
+def stored_once(owner: DataFrame, name: str, write: Callable[[str], object]) -> object:
+    """What ``write`` stores in a folder of its own in the shared one, the first time it is
+    asked for."""
+    held = _stored.setdefault(owner, {})
+    if name not in held:
+        checkpoint_folder(owner.sparkSession)
+        held[name] = write(f"{owner.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}")
+    return held[name]
+
+
 def _stamp(spark: SparkSession, sf_dir: str) -> object:
     """Names, sizes and times of the files of the graph's tables."""
     found = []
