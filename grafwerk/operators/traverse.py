@@ -37,13 +37,18 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int, limit: int | None
     return seen
 
 
+def call_pairs(edges: DataFrame, kinds: tuple[str, ...] = STRUCTURAL, a: str = "target_id", b: str = "source_id") -> DataFrame:
+    """Distinct pairs (from_id, to_id) of the resolved edges of these kinds."""
+    known = edges.where(F.col("target_id").isNotNull() & F.col("kind").isin(*kinds))
+    return known.select(F.col(a).alias("from_id"), F.col(b).alias("to_id")).distinct()
+
+
 def _calls(graph: Graph, service: bool, backward: bool) -> DataFrame:
     kinds = STRUCTURAL + (("http_call", "service_call") if service else ())
     a, b = ("target_id", "source_id") if backward else ("source_id", "target_id")
 
     def made() -> DataFrame:
-        known = graph.edges.where(F.col("target_id").isNotNull() & F.col("kind").isin(*kinds))
-        return known.select(F.col(a).alias("from_id"), F.col(b).alias("to_id")).distinct().repartition("from_id")
+        return call_pairs(graph.edges, kinds, a, b).repartition("from_id")
 
     return cut_once(graph.edges, f"calls {service} {backward}", made)
 
@@ -96,15 +101,22 @@ def flow(graph: Graph, name: str, max_depth: int = 8) -> DataFrame:
     return met.join(out, "node", "left").join(place, "node").select("node", "name", "depth", "parent", F.coalesce("callees", F.lit(0)).alias("callees"), "module")
 
 
-def closure(graph: Graph, max_depth: int = 3) -> DataFrame:
-    """source_id, target_name, target_id (smallest), distance. Level n + 1 extends level n by
-    the edges of its target, or of the one symbol that an unresolved target name can mean."""
-    unique = graph.symbols.groupBy(F.col("name").alias("target_name")).agg(F.count("*").alias("n"), F.min("id").alias("only")).where("n = 1").select("target_name", "only")
-    names = graph.symbols.select(F.col("id").alias("target_id"), F.col("name").alias("t_name"))
-    first = graph.edges.join(names, "target_id", "left").select("source_id", F.coalesce("t_name", "target_name").alias("target_name"), "target_id")
+def hops(edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """source_id, target_name, target_id (smallest), next: the edges of each source by the name
+    they lead to, and the symbol that they go on from: the target, or the one symbol that an
+    unresolved target name can mean."""
+    unique = symbols.groupBy(F.col("name").alias("target_name")).agg(F.count("*").alias("n"), F.min("id").alias("only")).where("n = 1").select("target_name", "only")
+    names = symbols.select(F.col("id").alias("target_id"), F.col("name").alias("t_name"))
+    first = edges.join(names, "target_id", "left").select("source_id", F.coalesce("t_name", "target_name").alias("target_name"), "target_id")
     first = first.groupBy("source_id", "target_name").agg(F.min("target_id").alias("target_id"))
-    hop = checkpoint(first.join(unique, "target_name", "left").select("source_id", "target_name", "target_id", F.coalesce("target_id", "only").alias("next")))
-    level, found = hop, hop.select("source_id", "target_name", "target_id", F.lit(1).alias("distance"))
+    return checkpoint(first.join(unique, "target_name", "left").select("source_id", "target_name", "target_id", F.coalesce("target_id", "only").alias("next")))
+
+
+def closure_of(hop: DataFrame, max_depth: int = 3, sources: DataFrame | None = None) -> DataFrame:
+    """source_id, target_name, target_id, distance over hops, of all or of some sources
+    (source_id). Level n + 1 extends level n by the hops of what it leads on to."""
+    level = hop if sources is None else hop.join(sources, "source_id", "left_semi")
+    found = level.select("source_id", "target_name", "target_id", F.lit(1).alias("distance"))
     step = hop.select(F.col("source_id").alias("next"), "target_name", "target_id", F.col("next").alias("then"))
     for d in range(2, max_depth + 1):
         level = checkpoint(level.select("source_id", "next").where("next is not null").distinct().join(step, "next").groupBy("source_id", "target_name").agg(F.min("target_id").alias("target_id"), F.min("then").alias("next")))
@@ -112,14 +124,31 @@ def closure(graph: Graph, max_depth: int = 3) -> DataFrame:
     return found
 
 
-def dataflow_index(graph: Graph, kinds: tuple[str, ...] = ("function", "method", "class", "interface", "enum"), max_depth: int = 5, limit: int = 500) -> DataFrame:
-    """For every symbol of these kinds: how many symbols a change reaches, at most ``limit``,
+def closure(graph: Graph, max_depth: int = 3) -> DataFrame:
+    """``closure_of`` all edges of a graph."""
+    return closure_of(hops(graph.edges, graph.symbols), max_depth)
+
+
+#: Kinds of symbols that the dataflow index has; levels; symbols a list has at most.
+INDEXED, INDEX_DEPTH, INDEX_LIMIT = ("function", "method", "class", "interface", "enum"), 5, 500
+
+
+def dataflow_of(calls: DataFrame, seeds: DataFrame, place: DataFrame, max_depth: int = INDEX_DEPTH, limit: int = INDEX_LIMIT) -> DataFrame:
+    """For every seed (node) how many symbols a change reaches over calls, at most ``limit``,
     and repositories up to the level that passed the limit. One traversal for all seeds."""
-    seeds = graph.symbols.where(F.col("kind").isin(*kinds)).select(F.col("id").alias("node"))
-    met = reach(_calls(graph, False, True), seeds, max_depth, limit).where("depth > 0 and seed <> node")
-    repo = located(graph).select(F.col("id").alias("node"), "repo_id")
+    met = reach(calls, seeds, max_depth, limit).where("depth > 0 and seed <> node")
     n = F.count("*")
-    return met.join(repo, "node").groupBy(F.col("seed").alias("symbol_id")).agg(F.least(n, F.lit(limit)).alias("within"), F.count_distinct("repo_id").alias("repos"), (n > limit).alias("truncated"))
+    return met.join(place, "node").groupBy(F.col("seed").alias("symbol_id")).agg(F.least(n, F.lit(limit)).alias("within"), F.count_distinct("repo_id").alias("repos"), (n > limit).alias("truncated"))
+
+
+def placed(graph: Graph) -> DataFrame:
+    return located(graph).select(F.col("id").alias("node"), "repo_id")
+
+
+def dataflow_index(graph: Graph, kinds: tuple[str, ...] = INDEXED, max_depth: int = INDEX_DEPTH, limit: int = INDEX_LIMIT) -> DataFrame:
+    """``dataflow_of`` all symbols of these kinds."""
+    seeds = graph.symbols.where(F.col("kind").isin(*kinds)).select(F.col("id").alias("node"))
+    return dataflow_of(_calls(graph, False, True), seeds, placed(graph), max_depth, limit)
 
 
 def dataflow_lookup(graph: Graph, name: str) -> DataFrame:

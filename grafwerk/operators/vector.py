@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,8 +91,8 @@ def orphans(stored: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 # --- an index of cells around centres ----------------------------------------------------
-#: Vectors that the centres are fitted on, rows of a cell, recall aimed at on the sample.
-SAMPLE, CELL_ROWS, AIM = 2048, 2048, 0.95
+#: Recall aimed at on the sample.
+AIM = 0.95
 
 
 class Cells:
@@ -129,40 +126,3 @@ class Cells:
     def order(self, x: np.ndarray) -> np.ndarray:
         """Cells of unit vectors, nearest first."""
         return np.argsort(-(x @ self.centres.T), axis=1, kind="stable")
-
-
-def usable_vectors(rows: DataFrame, dim: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    v = F.col(vector_col).cast("array<double>")
-    fine = (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return rows.where(F.col(id_col).isNotNull() & fine).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
-
-
-def fit_cells(rows: DataFrame, sample: int = SAMPLE, cell_rows: int = CELL_ROWS) -> Cells:
-    """Cells for usable vectors (id, v) of one length; two samples by a hash of the id."""
-    n = rows.count()
-    part = lambda name: np.array([r["v"] for r in rows.where(F.shiftrightunsigned(F.xxhash64("id", F.lit(name)), 33) < int(min(1.0, sample / max(n, 1)) * 2**31)).select("v").collect()], float)
-    x, q = part("fit"), part("ask")
-    dim = x.shape[1] if x.ndim == 2 else 1
-    return Cells(x.reshape(-1, dim), q.reshape(-1, dim), max(1, n // cell_rows))
-
-
-def in_cells(rows: DataFrame, cells: Cells, probes: int = 1) -> DataFrame:
-    """id, v, cell: each row in its nearest cell, or in its ``probes`` nearest."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
-                at = cells.order(Cells._unit(x))[:, :probes].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(at), pa.list_(pa.int32()))], names=["id", "v", "cells"])
-
-    return rows.select("id", "v").mapInArrow(run, "id long, v array<double>, cells array<int>").select("id", "v", F.explode("cells").alias("cell"))
-
-
-def nearest_in_cells(indexed: DataFrame, asked: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, id, score of the k nearest rows (id, v, cell) that share a cell with each query
-    (id, v, cell); the query's own id aside, score is 1 - cosine distance."""
-    q = asked.select(F.col("id").alias("query_id"), F.col("v").alias("q"), "cell")
-    scored = indexed.join(q, "cell").where("id <> query_id").select("query_id", "id", cosine(F.col("v"), F.col("q")).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

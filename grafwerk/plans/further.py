@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grafwerk.catalog import CRITIC, PLACED, name_of, on_graph, on_tables
-from grafwerk.operators import guides, incremental, knowledge, lookup, vector
-from grafwerk.plans.store import checkpoint
+from grafwerk.operators import annindex, guides, incremental, knowledge, lookup
+from grafwerk.plans.store import stored_once
 from grafwerk.sources import files as files_source
 from grafwerk.sources.views import Graph
 
@@ -160,12 +160,9 @@ def _(g):
 # --- vectors --------------------------------------------------------------------------
 @on_tables("v3_ann_search", "embeddings")
 def _(embeddings):
-    """Rows whose id is divisible by 100 against all rows, by cells around centres."""
-    first = embeddings.where("embedding is not null").select(F.size("embedding").alias("n")).groupBy("n").count().orderBy(F.desc("count"), "n").first()
-    rows = vector.usable_vectors(embeddings, first["n"] if first else 1)
-    cells = vector.fit_cells(rows)
-    held = checkpoint(vector.in_cells(rows, cells))
-    return vector.nearest_in_cells(held, vector.in_cells(rows.where("id % 100 = 0"), cells, cells.probes), 5)
+    """Rows whose id is divisible by 100 against all rows of their length, by a stored index."""
+    index = stored_once(embeddings, "vectors", lambda path: annindex.VectorIndex.write(embeddings, path))
+    return index.search(annindex.vectors(embeddings.where("vec_id % 100 = 0")), 5)
 
 
 # --- upkeep ---------------------------------------------------------------------------

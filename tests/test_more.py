@@ -98,26 +98,6 @@ def test_reach_stops_at_the_limit(spark):
     assert got[110] == 2 and 500 not in got and len(got) == 21
 
 
-def test_vector_cells(spark):
-    rng = np.random.default_rng(2)
-    centres = rng.standard_normal((40, 12))
-    x = centres[np.arange(3000) % 40] + 0.25 * rng.standard_normal((3000, 12))
-    df = table(spark, [(i, v.tolist()) for i, v in enumerate(x)] + [(9000, None), (9001, [0.0] * 12), (9002, [1.0])], "vec_id long, embedding array<double>")
-    rows = vector.usable_vectors(df, 12).checkpoint()
-    cells = vector.fit_cells(rows, cell_rows=100)
-    assert rows.count() == 3000 and len(cells.centres) == 30 and cells.probes < 15
-    got = {}
-    for r in vector.nearest_in_cells(vector.in_cells(rows, cells), vector.in_cells(rows.where("id % 100 = 0"), cells, cells.probes), 5).collect():
-        got.setdefault(r["query_id"], set()).add(r["id"])
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    hits = 0
-    for i in range(0, 3000, 100):
-        near = u @ u[i]
-        near[i] = -2
-        hits += len(got[i] & set(np.argsort(-near)[:5].tolist()))
-    assert hits >= 0.9 * 150
-
-
 def test_stores(spark, tmp_path):
     for s in (store.LocalStore(spark), store.TableStore(spark, str(tmp_path / "records"))):
         assert isinstance(s, store.MemoryStore)
