@@ -115,22 +115,70 @@ def signature(text: Column, line: Column) -> Column:
     return F.trim(F.get(F.split(text, "\n", -1), line - 1))
 
 
+def question_words(spark: SparkSession, question: str) -> list[str]:
+    """The tokens of a question, as those of a text."""
+    return [r["w"] for r in spark.range(1).select(F.explode(tokens(F.lit(question))).alias("w")).collect()]
+
+
 def recall(records: DataFrame, question: str, limit: int = 20, threshold: float = 0.1) -> DataFrame:
-    """id, via: whole-phrase hits; with two or fewer, rows that hold all its words too; with
-    none at all, nearest by hashed words. Records need title, body, is_latest."""
+    """id, via, score: whole-phrase hits; with two or fewer, also all rows that hold any of its
+    words, those with most first; with none at all, nearest by hashed words. Records need
+    title, body, is_latest and may have a description."""
     held = records.where("is_latest")
-    phrase = lexical.occurrence_search(held, question, ["title", "body"], limit).select("id", F.lit("phrase").alias("via"))
-    few = phrase.agg(F.count("*").alias("n"))
-    words = [r["w"] for r in records.sparkSession.range(1).select(F.explode(tokens(F.lit(question))).alias("w")).collect()]
-    text = F.lower(F.concat_ws(" ", "title", "body"))
-    every = F.lit(bool(words))
-    for w in words:
-        every = every & F.contains(text, F.lit(w))
-    wide = held.where(every).select("id").join(phrase, "id", "left_anti").crossJoin(F.broadcast(few.where("n <= 2"))).select("id", F.lit("words").alias("via")).orderBy("id").limit(limit)
+    fields = [c for c in ("title", "description", "body") if c in records.columns]
+    phrase = lexical.occurrence_search(held, question, fields, limit).select("id", F.lit("phrase").alias("via"), F.col("score").cast("double").alias("score"))
+    few = phrase.agg(F.count("*").alias("n")).where("n <= 2").select("n")
+    words = question_words(records.sparkSession, question)
+    wide = lexical.by_words(held, words, fields).join(phrase, "id", "left_anti").crossJoin(F.broadcast(few)).select("id", F.lit("words").alias("via"), F.col("score").cast("double").alias("score"))
     lexically = phrase.unionByName(wide)
-    none = lexically.agg(F.count("*").alias("n")).where("n = 0")
+    none = lexically.limit(1).agg(F.count("*").alias("n")).where("n = 0")
+    text = F.lower(F.concat_ws(" ", *fields))
     near = HashRetriever(held.withColumn("t", text), F.col("t"), threshold).retrieve(question, limit)
-    return lexically.unionByName(near.crossJoin(F.broadcast(none)).select("id", F.lit("near").alias("via")))
+    return lexically.unionByName(near.crossJoin(F.broadcast(none)).select("id", F.lit("near").alias("via"), "score"))
+
+
+#: What a word counts in each field of a knowledge document; least cosine.
+KNOWLEDGE_WEIGHTS, KNOWLEDGE_NEAR = {"title": 10, "description": 5, "tags": 5, "body": 1}, 0.3
+
+
+def knowledge_search(docs: DataFrame, question: str, limit: int = 20, archived: bool = False) -> DataFrame:
+    """place, id, provenance, score of the documents (id, title, description, body, tags,
+    modules, status) that answer a question: by weighted words, each followed by documents
+    that share modules or tags with it, up to half the limit; by the phrase where it is one
+    word; by hashed words where nothing else is found."""
+    shown = docs if archived else docs.where(~F.col("status").eqNullSafe("archived"))
+    words = question_words(docs.sparkSession, question)
+    text = F.concat_ws("\n", "title", "description", "body")
+    if len(words) < 2:
+        found = lexical.occurrence_search(shown, words[0] if words else question, ["title", "description", "body"], limit * 2).withColumn("r", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).where(F.col("r") <= limit)
+        lexically = found.select(F.col("r").alias("parent"), F.lit(0).alias("nth"), "id", F.lit("lexical_knowledge").alias("provenance"), F.lit(1.0).alias("score"))
+    else:
+        flat = shown.withColumn("tags", F.lower(F.array_join("tags", " ")))
+        hits = checkpoint(lexical.weighted_search(flat, words, KNOWLEDGE_WEIGHTS, limit=1 << 30))
+        best = checkpoint(hits.orderBy(F.desc("score"), "id").limit(limit).withColumn("parent", F.row_number().over(Window.orderBy(F.desc("score"), "id"))))
+        # documents that share a module or tag with a hit and hold none of the words
+        marks = shown.select("id", F.explode(F.concat(*(F.transform(F.array_distinct(F.coalesce(F.col(c), F.array().cast("array<string>"))), lambda x, c=c: F.struct(F.lit(c).alias("kind"), x.alias("value"))) for c in ("modules", "tags")))).alias("m"))
+        ours = marks.join(best, "id").select("parent", F.col("score").alias("from"), "m")
+        shared = marks.join(hits.select("id"), "id", "left_anti").join(F.broadcast(ours), "m").groupBy("id", "parent", "from").agg(F.count("*").alias("n"))
+        first = shared.groupBy("id").agg(F.min(F.struct("parent", "from", "n")).alias("x")).select("id", "x.parent", F.greatest(F.col("x.from") * 0.5 + F.col("x.n"), F.lit(0.5)).alias("score"))
+        few = first.orderBy("parent", F.desc("score"), "id").limit(limit // 2).withColumn("nth", F.row_number().over(Window.orderBy("parent", F.desc("score"), "id")))
+        own = best.select("parent", F.lit(0).alias("nth"), "id", F.lit("lexical_knowledge").alias("provenance"), F.col("score").cast("double").alias("score"))
+        lexically = own.unionByName(few.select("parent", "nth", "id", F.lit("lexical_knowledge_expanded").alias("provenance"), F.col("score").cast("double").alias("score")))
+    found = checkpoint(lexically)
+    if found.isEmpty():
+        near = HashRetriever(shown.withColumn("t", text), F.col("t"), KNOWLEDGE_NEAR).retrieve(question, limit)
+        found = near.select(F.lit(0).alias("parent"), F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("nth"), "id", F.lit("semantic_knowledge").alias("provenance"), F.round("score", 4).alias("score"))
+    place = F.row_number().over(Window.orderBy("parent", "nth"))
+    return found.withColumn("place", place).where(F.col("place") <= limit).select("place", "id", "provenance", "score")
+
+
+def bridged(hits: DataFrame, docs: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """id, repo, side, other, n: for each repository that a found document (repos) affects what
+    it depends on, and what depends on it (dependencies: source, target, n)."""
+    affects = docs.join(hits.select("id"), "id", "left_semi").select("id", F.explode("repos").alias("repo")).distinct()
+    out = affects.join(dependencies.select(F.col("source").alias("repo"), F.col("target").alias("other"), "n"), "repo").withColumn("side", F.lit("dependency"))
+    into = affects.join(dependencies.select(F.col("target").alias("repo"), F.col("source").alias("other"), "n"), "repo").withColumn("side", F.lit("dependent"))
+    return out.unionByName(into).select("id", "repo", "side", "other", "n")
 
 
 def capture(new: DataFrame, held: DataFrame, refs: DataFrame, as_of: Column) -> DataFrame:

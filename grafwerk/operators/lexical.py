@@ -73,6 +73,13 @@ def weighted_search(docs: DataFrame, query_tokens: list[str], weights: dict[str,
     return docs.select("id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(limit)
 
 
+def by_words(docs: DataFrame, words: list[str], fields: list[str]) -> DataFrame:
+    """id, score: how many of the words lie in the fields' text, for those with any."""
+    text = F.lower(F.concat_ws(" ", *(F.coalesce(F.col(c), F.lit("")) for c in fields)))
+    score = sum((F.contains(text, F.lit(w)).cast("int") for w in words), F.lit(0))
+    return docs.select("id", score.alias("score")).where("score > 0")
+
+
 def related(docs: DataFrame, hits: DataFrame, array_col: str, budget: int) -> DataFrame:
     """Documents that share values with a hit: max over hits of max(score / 2 + shared, 0.5)."""
     tagged = docs.select("id", F.explode(F.array_distinct(array_col)).alias("value"))

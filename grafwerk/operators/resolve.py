@@ -190,6 +190,11 @@ def resolve_edges(graph: Graph, types: DataFrame | None = None, up: DataFrame |
     )
 
 
+def written_back(edges: DataFrame) -> DataFrame:
+    """Edges as they are stored: an exact one has its target and no name, others have a name."""
+    return edges.withColumn("target_name", F.when(F.col("resolution") != "exact", F.col("target_name")))
+
+
 def resolution_stats(edges: DataFrame) -> DataFrame:
     return edges.groupBy("resolution", "tier").agg(F.count("*").alias("edges"))
 

@@ -138,11 +138,62 @@ def _(documents, labels, events):
     return rows.select("id", zero("refs"), zero("reinforcement"), F.round(memory.freshness(F.col("type"), F.col("created"), F.col("origin"), as_of), 6).alias("freshness"), F.when(F.col("origin") == "manual", 1.0).otherwise(0.5).alias("authority"))
 
 
-@on_tables("m11_recall", "documents labels", "SELECT doc_id AS id, 'phrase' AS via FROM (SELECT doc_id, (length(lower(left(text, 12))) - length(replace(lower(left(text, 12)), 'ththe', ''))) // 5 + (length(lower(text)) - length(replace(lower(text), 'ththe', ''))) // 5 AS score FROM documents) WHERE score > 0 ORDER BY score DESC, id LIMIT 20")
+PHRASE = "SELECT doc_id AS id, (length(lower(left(text, 12))) - length(replace(lower(left(text, 12)), '$1', ''))) // len('$1') + (length(lower(text)) - length(replace(lower(text), '$1', ''))) // len('$1') AS score FROM documents"
+
+
+@on_tables("m11_recall", "documents labels", f"SELECT id, 'phrase' AS via, score::DOUBLE AS score FROM ({PHRASE.replace('$1', 'ththe')}) WHERE score > 0 ORDER BY score DESC, id LIMIT 20")
 def _(documents, labels):
     return compose.recall(_records(documents, labels), "Ththe")
 
 
+@on_tables("l12_recall_words", "documents labels", f"""WITH p AS (SELECT * FROM ({PHRASE.replace('$1', 'tion zzq ing')}) WHERE score > 0 LIMIT 20), t AS (SELECT doc_id AS id, lower(left(text, 12) || ' ' || text) AS t FROM documents)
+SELECT id, 'words' AS via, (contains(t, 'tion')::INT + contains(t, 'zzq')::INT + contains(t, 'ing')::INT)::DOUBLE AS score FROM t WHERE score > 0 AND (SELECT count(*) FROM p) = 0""")
+def _(documents, labels):
+    """A phrase that no record holds whole: all that hold any of its words."""
+    return compose.recall(_records(documents, labels), "tion zzq ing")
+
+
+@on_tables("m16_recall_near", "documents labels", HASHED.replace("lower(text)", "lower(left(text, 12) || ' ' || text)").replace("FROM documents", "FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -1, 'the qzxv of')") .replace("lower(left(text, 12) || ' ' || text)", "CASE WHEN doc_id < 0 THEN text ELSE lower(left(text, 12) || ' ' || text) END") + ", e AS (SELECT s.id, s.i, x / n AS x FROM s JOIN n ON n.id = s.id WHERE n > 0), c AS (SELECT a.id, round(sum(a.x * b.x), 9) AS score FROM e a JOIN e b ON b.i = a.i AND b.id = -1 WHERE a.id >= 0 GROUP BY 1) SELECT id, 'near' AS via, score FROM c WHERE score >= 0.1 ORDER BY score DESC, id LIMIT 20")
+def _(documents, labels):
+    """A question whose only word is nowhere: the nearest by hashed words."""
+    return compose.recall(_records(documents, labels), "the qzxv of")
+
+
+@on_graph("r9_written_back", " SELECT id, source_id, target_id, CASE WHEN resolution <> 'exact' THEN target_name END AS target_name, resolution FROM redges")
+def _(g):
+    from grafwerk.operators import resolve
+
+    return resolve.written_back(g.edges).select("id", "source_id", "target_id", "target_name", "resolution")
+
+
+def _knowledge_docs(documents):
+    return documents.select(F.col("doc_id").alias("id"), F.left("text", F.lit(40)).alias("title"), F.col("source").alias("description"), F.col("text").alias("body"), F.array("lang", "source").alias("tags"),
+        F.array(F.concat(F.lit("mod"), (F.col("doc_id") % 9).cast("string"))).alias("modules"), F.array(F.col("doc_id") % 25).alias("repos"), F.when(F.col("doc_id") % 11 == 0, "archived").otherwise("approved").alias("status"))
+
+
+KNOWLEDGE = """, d AS (SELECT doc_id AS id, lower(left(text, 40)) AS ti, lower(source) AS de, lower(lang || ' ' || source) AS tg, lower(text) AS bo, lang, source, doc_id % 9 AS m FROM documents WHERE doc_id % 11 <> 0),
+hs AS (SELECT id, lang, source, m, (10 * (contains(ti, 'eroues')::INT + contains(ti, 'thesor')::INT) + 5 * (contains(de, 'eroues')::INT + contains(de, 'thesor')::INT) + 5 * (contains(tg, 'eroues')::INT + contains(tg, 'thesor')::INT) + contains(bo, 'eroues')::INT + contains(bo, 'thesor')::INT) AS score FROM d),
+be AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS parent FROM hs WHERE score > 0 QUALIFY parent <= 20),
+sh AS (SELECT h.id, b.parent, greatest(b.score * 0.5 + (h.lang = b.lang)::INT + (h.source = b.source)::INT + (h.m = b.m)::INT, 0.5) AS score FROM hs h JOIN be b ON (h.lang = b.lang OR h.source = b.source OR h.m = b.m) WHERE h.score = 0),
+fi AS (SELECT * FROM sh QUALIFY row_number() OVER (PARTITION BY id ORDER BY parent) = 1), fe AS (SELECT *, row_number() OVER (ORDER BY parent, score DESC, id) AS nth FROM fi QUALIFY nth <= 10),
+al AS (SELECT parent, 0 AS nth, id, 'lexical_knowledge' AS provenance, score::DOUBLE AS score FROM be UNION ALL SELECT parent, nth, id, 'lexical_knowledge_expanded', score FROM fe),
+kr AS (SELECT row_number() OVER (ORDER BY parent, nth)::INT AS place, id, provenance, score::DOUBLE AS score FROM al QUALIFY place <= 20) """
+
+
+@on_tables("c9_knowledge_search", "documents", KNOWLEDGE.replace(", d AS", "WITH d AS", 1) + "SELECT * FROM kr")
+def _(documents):
+    return compose.knowledge_search(_knowledge_docs(documents), "eroues thesor")
+
+
+@add("c9_graph_bridge", VIEWS + """, ns AS (SELECT DISTINCT f.repo_id, string_split(s.qualified_name, '.')[1] || '.' || left(s.name, 3) AS prefix FROM symbols s JOIN files f ON f.id = s.file_id),
+dp AS (SELECT f.repo_id AS source, ns.repo_id AS target, count(*)::BIGINT AS n FROM imports i JOIN files f ON f.id = i.file_id JOIN ns ON starts_with(i.imported_path, prefix) AND ns.repo_id <> f.repo_id GROUP BY ALL)""" + KNOWLEDGE + """
+SELECT kr.id, kr.id % 25 AS repo, 'dependency' AS side, target AS other, n FROM kr JOIN dp ON dp.source = kr.id % 25 UNION ALL SELECT kr.id, kr.id % 25, 'dependent', source, n FROM kr JOIN dp ON dp.target = kr.id % 25""")
+def _(spark, sf_dir):
+    g, docs = build(spark, sf_dir), _knowledge_docs(table(spark, sf_dir, "documents"))
+    ns = lookup.located(g).select("repo_id", F.concat(F.split("qualified_name", "\\.")[0], F.lit("."), F.left("name", F.lit(3))).alias("prefix")).distinct()
+    return compose.bridged(compose.knowledge_search(docs, "eroues thesor"), docs, rollup.repo_dependencies(g, ns))
+
+
 @on_tables("m12_reference_log", "events", "SELECT event_id % 200 AS id, user_id AS session, min(ts) AS first, count(*)::BIGINT AS n FROM events GROUP BY ALL")
 def _(events):
     return _refs(events).groupBy("id", "session").agg(F.min("at").cast("timestamp_ntz").alias("first"), F.count("*").alias("n"))
