@@ -207,3 +207,63 @@ def test_derived_tables_follow_random_changes(spark, sf):
             assert rows(tables[name]) == rows(whole[name]), name
     far = tables["closure"].select("source_id").distinct().count()
     assert far > 50
+
+
+def test_sketches_merge(spark, tmp_path):
+    from grafwerk.operators import sketches
+
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), rng.randrange(3000), None if k % 50 == 0 else rng.expovariate(0.1), "error" if k % 9 == 0 else "ok", f"2024-01-{1 + k % 20:02d} 10:00:00", k) for k in range(6000)]
+    df = spark.createDataFrame(rows, "tool string, session long, duration_ms double, status string, at string, event_id long").withColumn("at", F.col("at").cast("timestamp"))
+    sketches.store(df.where("event_id % 20 < 15"), str(tmp_path / "days"))
+    sketches.store(df.where("event_id % 20 >= 10"), str(tmp_path / "days"))  # five days again, five new
+    got = {r["tool"]: r for r in sketches.merged(sketches.stored(spark, str(tmp_path / "days"))).collect()}
+    for tool in "ab":
+        own = [r for r in rows if r[0] == tool]
+        times = sorted(r[2] for r in own if r[2] is not None)
+        assert got[tool]["calls"] == len(own) and got[tool]["errors"] == sum(r[3] == "error" for r in own)
+        assert abs(got[tool]["avg_ms"] - sum(times) / len(times)) < 1e-6
+        assert abs(got[tool]["sessions"] / len({r[1] for r in own}) - 1) <= sketches.DISTINCT_ERROR
+        for p in (50, 95, 99):
+            rank = np.searchsorted(times, got[tool][f"p{p}"]) / len(times)
+            assert abs(rank - p / 100) <= sketches.RANK_ERROR
+
+
+def test_buffer_survives_a_failure_between_write_and_commit(spark, tmp_path):
+    import time
+
+    from grafwerk.streaming import buffer
+
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    row = lambda k: (k, "ab"[k % 2], k % 7, None, float(k), "ok")
+    for part in range(3):
+        spark.createDataFrame([row(k) for k in range(part * 100, part * 100 + 100)], buffer.ROW).coalesce(1).write.mode("append").parquet(source)
+    before = {k: spark.conf.get(k, None) for k in buffer.STORE}
+    for k, v in buffer.STORE.items():
+        spark.conf.set(k, v)
+    failed = []
+
+    def fail(number):
+        if not failed:
+            failed.append(number)
+            raise RuntimeError("between write and commit")
+
+    def start(check):
+        stream = spark.readStream.schema(buffer.ROW).option("maxFilesPerTrigger", 1).parquet(source)
+        return buffer.write(buffer.buffered(stream, 20, 1.0, 1), folder, before_commit=check)
+
+    try:
+        with pytest.raises(Exception, match="between write and commit"):
+            start(fail).awaitTermination(120)
+        query = start(None)
+        until = time.time() + 150
+        while time.time() < until and buffer.written(spark, folder).count() < 300:
+            time.sleep(1)
+        query.stop()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    got = sorted(r["event_id"] for r in buffer.written(spark, folder).collect())
+    assert got == list(range(300)) and failed
+    sizes = [r["n"] for r in buffer.written(spark, folder).groupBy("batch", "tool").agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) >= 40  # full groups first, the rest when its time had passed

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from grafwerk.plans.samples import SAMPLES
 from grafwerk.operators import knowledge, lexical, lookup, resolve, traverse, vector
 from grafwerk.plans.store import write
 from grafwerk.sources import files, parsers
@@ -161,3 +162,18 @@ def test_streams(spark, sf, tmp_path):
     assert {(r["start"], r["tool"]): r["calls"] for r in spark.table("w").collect()} == want
     metrics.apply_changes(stream, lambda df, _: total.append(df.count()), str(tmp_path / "c2")).awaitTermination()
     assert sum(total) == batch.count() and len(total) == 3
+
+
+@pytest.mark.parametrize("language", sorted(SAMPLES))
+def test_parsed_samples(spark, language):
+    """Symbols, edges and imports of a text in each language."""
+    from grafwerk.sources import parsers
+
+    text, wanted = SAMPLES[language]
+    parsed = parsers.parse(spark.createDataFrame([("src/sample.x", language, text)], "path string, language string, text string")).first()
+    word = lambda v: "" if v is None else str(v)
+    row = lambda *parts: " ".join(parts).rstrip()
+    found = [row("S", x["kind"], x["qualified_name"], word(x["line_start"]), word(x["line_end"]), " ".join(x["modifiers"])) for x in parsed["symbols"]]
+    found += [row("E", word(x["owner"]), x["kind"], x["target_name"], word(x["line"]), word(x["receiver_type"])) for x in parsed["edges"]]
+    found += [row("I", x["imported_path"], word(x["line"])) for x in parsed["imports"]]
+    assert parsed["error"] is None and sorted(found) == sorted(wanted.strip().split("\n"))
