@@ -233,3 +233,31 @@ def test_texts_of_one_id_with_one_32_bit_mark_keep_their_own(spark):
     rows = [(1, "p " * 20), (2, a), (2, b)]
     got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring.dedup_windows(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(1, 20, 0), (2, 20, 20), (2, 25, 20)]
+
+
+def test_sql_of_the_feed_is_brute_force(sf):
+    """The SQL over the given tables against the loop."""
+    import duckdb
+
+    from grafwerk.llm.queries import OP12_SQL
+
+    con = duckdb.connect()
+    for t in ("sale_lines", "vendors", "items"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    rows = lambda q: con.execute(q).fetchall()
+    lines = rows("SELECT sale_id, line_no, item_id, vendor_id, quantity, amount, flag, shipped_at FROM sale_lines")
+    want = brute_feed(lines, rows("SELECT vendor_id, nation_id FROM vendors"), rows("SELECT item_id, price FROM items"))
+    got = rows(f"SELECT nation_id, arrival_day, item_id, change, old_rank, new_rank, revenue, batch FROM ({OP12_SQL})")
+    key = lambda r: tuple(map(str, r))
+    assert sorted(got, key=key) == sorted(want, key=key) and len(got) > 1000
+
+
+def test_minhash_query_is_its_sql(spark, sf):
+    import duckdb
+
+    from grafwerk.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    want = con.execute(f"SELECT doc_id, n_shingles, component_id, kept FROM ({queries.OP11_SQL}) ORDER BY 1").fetchall()
+    assert [tuple(r) for r in queries.op11_minhash(spark, sf).orderBy("doc_id").collect()] == want
