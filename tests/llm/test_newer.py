@@ -261,3 +261,87 @@ def test_minhash_query_is_its_sql(spark, sf):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
     want = con.execute(f"SELECT doc_id, n_shingles, component_id, kept FROM ({queries.OP11_SQL}) ORDER BY 1").fetchall()
     assert [tuple(r) for r in queries.op11_minhash(spark, sf).orderBy("doc_id").collect()] == want
+
+
+# --- 4: the fit against plain boosting --------------------------------------------------
+def plain_boosting(rows, labels, trees, depth, least, ridge, rate, bins):
+    """Boosting with loops over rows: every node tries every cut of every feature."""
+    n = len(rows)
+    base = math.log(sum(labels) / (n - sum(labels)))
+    cuts = [sorted({float(np.quantile([r[f] for r in rows], q, method="lower")) for q in np.linspace(0, 1, bins + 1)[1:-1]}) for f in range(len(rows[0]))]
+    score = [base] * n
+
+    def grow(members, level, grad, hess):
+        g, h = sum(grad[i] for i in members), sum(hess[i] for i in members)
+        best, choice = 1e-6, None
+        if level < depth and len(members) >= 2 * least:
+            for f, some in enumerate(cuts):
+                for c in some:
+                    left = [i for i in members if rows[i][f] <= c]
+                    if least <= len(left) <= len(members) - least:
+                        gl, hl = sum(grad[i] for i in left), sum(hess[i] for i in left)
+                        gain = gl**2 / (hl + ridge) + (g - gl) ** 2 / (h - hl + ridge) - g**2 / (h + ridge)
+                        if gain > best + 1e-12:
+                            best, choice = gain, (f, c)
+        if choice is None:
+            for i in members:
+                score[i] += rate * g / (h + ridge)
+            return
+        f, c = choice
+        grow([i for i in members if rows[i][f] <= c], level + 1, grad, hess)
+        grow([i for i in members if rows[i][f] > c], level + 1, grad, hess)
+
+    for _ in range(trees):
+        p = [1 / (1 + math.exp(-s)) for s in score]
+        grow(list(range(n)), 0, [y - q for y, q in zip(labels, p)], [q * (1 - q) for q in p])
+    return [1 / (1 + math.exp(-s)) for s in score]
+
+
+def test_fitted_trees_are_plain_boosting(monkeypatch):
+    from grafwerk.llm import quality
+
+    for name, value in {"TREES": 6, "DEPTH": 3, "LEAST": 5, "BINS": 8}.items():
+        monkeypatch.setattr(quality, name, value)
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(150, 4)).round(2)
+    labels = ((rows[:, 0] > 0.2) ^ (rows[:, 1] * rows[:, 2] > 0.5) | (rng.random(150) < 0.1)).astype(float)
+    want = plain_boosting(rows.tolist(), labels.tolist(), 6, 3, 5, quality.RIDGE, quality.RATE, 8)
+    assert np.allclose(quality.fit_trees(rows, labels).score(rows), want, atol=1e-9)
+
+
+# --- stages of the pipeline -------------------------------------------------------------
+def test_line_stage_and_packing_are_brute_force(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from grafwerk.llm.queries import vocabulary_path
+
+    rng = random.Random(12)
+    shared = [f"  A line that {k} documents share  " for k in range(6)]
+    rows = [(i, "\n".join(rng.choice([*shared, f"own line {rng.randrange(10**6)}", "short", ""]) for _ in range(rng.randrange(1, 9))), "en", "s", 0) for i in range(60)]
+    rows += [(60, None, "en", "s", None), (61, "word " * 3000, "en", "s", 0), (3, rows[3][1], "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    first = {}
+    key = lambda line: line.strip(" \t\n\x0b\f\r").lower()
+    for i, t, *_ in rows:
+        for line in (t or "").split("\n"):
+            first.setdefault(key(line), set()).add(i)
+    gone = lambda i, line: len(key(line)) >= 10 and len(first[key(line)]) > 1 and i > min(first[key(line)])
+    want = sorted((i, "\n".join(x for x in (t or "").split("\n") if not gone(i, x))) for i, t, *_ in rows)
+    kept = corpus_pipeline.drop_lines(spark, docs, str(tmp_path)).checkpoint()
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == want
+    token = Tokenizer.from_file(vocabulary_path())
+    places, pieces = {}, {}
+    for r in corpus_pipeline.pack(spark, kept.where("doc_id <> 3"), str(tmp_path)).collect():
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        pieces.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
+    for some in places.values():
+        assert sum(n for _, n in some) <= 1024 and [o for o, _ in sorted(some)] == [sum(n for _, n in sorted(some)[:k]) for k in range(len(some))]
+    for i, t in want:
+        if i != 3:
+            ids = [*token.encode(t, add_special_tokens=False).ids, 2]
+            for _, start, length, crc in sorted(pieces.pop(i)):
+                assert zlib.crc32(np.array(ids[start : start + length], "<u4").tobytes()) == crc
+                ids[start : start + length] = [-1] * length
+            assert set(ids) == {-1}
+    assert not pieces
