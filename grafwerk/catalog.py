@@ -529,9 +529,9 @@ def _(questions):
     return questions.select("item_id", T.intent(F.col("text")).alias("i")).select("item_id", "i.intent", "i.layer")
 
 
-@on_tables("c15_slugs", "documents", "SELECT doc_id, left(regexp_replace(regexp_replace(lower(left(text, 120)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) AS slug FROM documents")
+@on_tables("c15_slugs", "documents", "SELECT doc_id, left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) AS slug FROM documents")
 def _(documents):
-    return documents.select("doc_id", T.slug(F.left("text", F.lit(120))).alias("slug"))
+    return documents.select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 @on_tables("k9_truncate", "documents", "SELECT doc_id, length(CASE WHEN length(text) <= 2000 THEN text ELSE regexp_replace(left(text, 2000), '\\n[^\\n]*$', '') END)::INT AS n FROM documents")

@@ -94,13 +94,15 @@ def symbols_in_module(graph: Graph, part: str, repo_id: int | None = None) -> Da
 
 
 def files_exist(files: DataFrame, refs: DataFrame) -> DataFrame:
-    """ref, found: a path equals the reference or ends in / and it. Joined on the base name."""
+    """ref, found: a path equals the reference or ends in / and it. Paths are posted under each
+    of their endings, so a base name that very many files have makes no pairs."""
     base = lambda c: F.element_at(F.split(c, "/"), -1)
-    known = files.select("path", base(F.col("path")).alias("base")).distinct()
-    wanted = refs.select("ref", base(F.col("ref")).alias("base")).distinct()
-    hit = (F.col("path") == F.col("ref")) | F.endswith(F.col("path"), F.concat(F.lit("/"), F.col("ref")))
-    found = wanted.join(known, "base").where(hit).select("ref").distinct().withColumn("found", F.lit(True))
-    return refs.select("ref").distinct().join(found, "ref", "left").select("ref", F.coalesce("found", F.lit(False)).alias("found"))
+    wanted = refs.select("ref").distinct()
+    some = files.select("path", base(F.col("path")).alias("base")).join(wanted.select(base(F.col("ref")).alias("base")).distinct(), "base", "left_semi")
+    parts = F.split("path", "/")
+    endings = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
+    found = wanted.join(some.select(F.explode(endings).alias("ref")), "ref", "left_semi").withColumn("found", F.lit(True))
+    return wanted.join(found, "ref", "left").select("ref", F.coalesce("found", F.lit(False)).alias("found"))
 
 
 def symbols_exist(symbols: DataFrame, refs: DataFrame) -> DataFrame:
