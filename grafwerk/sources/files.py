@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grafwerk.sources.records import front_matter, put_files
+
 #: Language of each ending, folders never read, the size limit.
 LANGUAGES = {"kt": "kotlin", "java": "java", "swift": "swift", "py": "python", "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "dart": "dart", "go": "go", "m": "objc", "mm": "objc", "h": "header", "hpp": "cpp", "c": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp"}
 SKIPPED = ("node_modules", "build", "dist", "target", "vendor", "__pycache__", ".git", ".gradle", ".venv", "venv", "Pods")
@@ -187,30 +187,13 @@ def export_records(spark: SparkSession, source: str, target: str) -> int:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source)
     base = F.lit(source.rstrip("/") + "/")
     rows = files.select(F.element_at(F.split("path", base), -1).alias("path"), "content")
-
-    def copy(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(target if ":" in target else f"file://{target}")
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                where = f"{root}/{path}"
-                store.create_dir(where.rsplit("/", 1)[0], recursive=True)
-                with store.open_output_stream(where + ".part", compression=None) as out:
-                    out.write(content)
-                store.move(where + ".part", where)
-            yield pd.DataFrame({"n": [len(batch)]})
-
-    return rows.mapInPandas(copy, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return put_files(rows, target)
 
 
 def markdown(spark: SparkSession, path: str) -> DataFrame:
-    """path, fields (map of the front matter's scalar lines), body of markdown records."""
+    """path, fields (scalars of the front matter), lists, maps, body of markdown records."""
     raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("path", F.input_file_name())
-    head = F.regexp_extract("value", r"(?s)\A---\n(.*?)\n---\n", 1)
-    pairs = F.filter(F.split(head, "\n"), lambda x: x.rlike(r"^[A-Za-z_]+:"))
-    fields = F.map_from_entries(F.transform(pairs, lambda x: F.struct(F.regexp_extract(x, r"^([A-Za-z_]+):", 1), F.regexp_replace(F.trim(F.regexp_replace(x, r"^[A-Za-z_]+:", "")), "^[\"']|[\"']$", ""))))
-    return raw.select("path", fields.alias("fields"), F.regexp_replace("value", r"(?s)\A---\n.*?\n---\n", "").alias("body"))
+    return raw.select("path", front_matter(F.col("value")).alias("r")).select("path", "r.*")
 
 
 def write_markdown(records: DataFrame, path: str) -> None:
