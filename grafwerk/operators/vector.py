@@ -53,8 +53,10 @@ def hash_embed(rows: DataFrame, id_col: str, text: Column, dim: int = 256) -> Da
     Each distinct word's SHA-256 gives the component, the sign and the size it adds.
     """
     words = F.array_distinct(F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != ""))
-    pair = lambda i: F.substr("h", F.lit(2 * i + 1), F.lit(2))
-    word32 = lambda i: F.conv(F.concat(pair(i + 3), pair(i + 2), pair(i + 1), pair(i)), 16, 10).cast("long")
+    # four bytes of the digest, the least first: one number with its bytes turned round
+    big = lambda i: F.conv(F.substr("h", F.lit(2 * i + 1), F.lit(8)), 16, 10).cast("long")
+    turned = lambda v: F.shiftleft(v.bitwiseAND(0xFF), 24) + F.shiftleft(v.bitwiseAND(0xFF00), 8) + F.shiftright(v, 8).bitwiseAND(0xFF00) + F.shiftright(v, 24)
+    word32 = lambda i: turned(big(i))
     hashed = rows.select(F.col(id_col).alias("id"), F.explode(words).alias("w")).select("id", F.sha2("w", 256).alias("h"))
     odd = F.substr("h", F.lit(10), F.lit(1)).isin(*"13579bdf")  # the fifth byte
     parts = hashed.select("id", (word32(0) % dim).cast("int").alias("i"), (F.when(odd, 1.0).otherwise(-1.0) * (0.5 + (word32(5) % 1000) / 1000)).alias("x"))
