@@ -158,15 +158,15 @@ def exact_links(left: list[np.ndarray], right: list[np.ndarray] | None = None, s
     return label
 
 
-def size_class(size: F.Column) -> F.Column:
-    """Sets of which one has at least SHARED of OF as many members are of one or of
+def size_class(size: F.Column, shared: int = SHARED, of: int = OF) -> F.Column:
+    """Sets of which one has at least shared of ``of`` as many members are of one or of
     neighbouring classes."""
-    return F.floor(F.log(size.cast("double")) / float(np.log(OF / SHARED)) - 1e-9).cast("int")
+    return F.floor(F.log(size.cast("double")) / float(np.log(of / min(shared, of - 1))) - 1e-9).cast("int")
 
 
 def links(held: DataFrame, shared: int = SHARED, of: int = OF, part: int = PART) -> DataFrame:
     """A spanning forest (u, v) of the links within zones of ``held`` (node, zone, n, held)."""
-    rows = held.withColumn("class", size_class(F.col("n")))
+    rows = held.withColumn("class", size_class(F.col("n"), shared, of))
     sizes = checkpoint(rows.groupBy("zone", "class").agg(F.sum(F.col("n") * 8).alias("bytes")))
     large = sizes.groupBy("zone").agg(F.sum("bytes").alias("all")).where(F.col("all") > part).select("zone")
     own = checkpoint(sizes.join(large, "zone").select("zone", "class", F.ceil(F.col("bytes") / part).cast("int").alias("parts")))

@@ -19,9 +19,9 @@ texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more:
 fingerprints have 256 bits, the same join finds fingerprints within ``WIDE_BUDGET`` bits,
 and the whole shingle sets decide. About 39 bits differ at 0.8, too many for blocks that
 agree for sure; so the rotations are draws of bits whose first ones make the cell, enough of
-them that a pair at 0.8 misses every cell with a chance below ``MISS``. Each text proposes
-its nearest texts of other groups and what the sets confirm joins groups, until a round
-joins none; so a large group of near copies costs a few pairs a text, not all of them.
+them that a pair at 0.8 misses every cell with a chance below ``MISS``. A task gives the
+spanning forest of what meets in its cells; the components are zones, within which all sets
+are compared by the tasks of ``minhash.links``, so no pair that met is lost to nearer ones.
 The cells hold about ``CROWD`` texts whatever their number n, which takes rotations in
 proportion to n ** 0.23 (24 at fifty thousand texts, 400 at 100 million).
 
@@ -33,9 +33,9 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grafwerk.llm.shared import HEAVY, checkpoint, join_spread, lean, text_of
+from grafwerk.llm.shared import checkpoint, join_spread, lean, text_of
 
 WORDS, SEED, BUDGET = 4, 42, 4
 #: Fingerprints of a cell above which it is split; pairs of leaves compared at once.
@@ -55,7 +55,7 @@ TASK_ROWS, LOCAL = 1_000_000, 1 << 20
 #: Near copies: words of a shingle, least similarity, bits that may differ, of all and of the
 #: first 64 of a draw; chance that no cell has a pair at that similarity; texts of a cell.
 WIDE_WORDS, SIMILAR, WIDE_BUDGET, KEY_BUDGET, MISS, CROWD = 5, 0.8, 54, 21, 0.001, 64
-WIDE, NEXT = 256, 4
+WIDE = 256
 
 
 def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
@@ -329,12 +329,6 @@ def shingles(text: str, words: int = WIDE_WORDS) -> np.ndarray:
     return np.unique(out * np.uint64(0xBF58476D1CE4E5B9))
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sorted sets; 1 where both are empty."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
-
-
 def wide_fingerprint(found: np.ndarray) -> np.ndarray:
     """WIDE bits as uint64 words: set in over half the hashes of the shingles, each hashed
     to as many words."""
@@ -387,122 +381,85 @@ def wide_fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return made.groupBy("node").agg(F.first("words").alias("words"))
 
 
-def _wide_cells(prints: DataFrame, bits: int, turns: list[int]) -> DataFrame:
-    """(node, root, size, words) once for each of these rotations, with its cell."""
-    lead = draws(max(turns) + 1)
+def _wide_cells(prints: DataFrame, bits: int, turns: int) -> DataFrame:
+    """(fp, words) once for each rotation, with its cell."""
+    lead = draws(turns)
 
     @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
                 plain = np.unpackbits(batch.column("words").flatten().to_numpy().view(np.uint8).reshape(len(batch), WIDE // 8), axis=1)
-                for turn in turns:
+                for turn in range(turns):
                     key = _lead(plain, lead[turn])
                     cell = (key >> np.uint64(64 - bits)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "root", "size", "words")), pa.array(np.full(len(batch), turn, np.int32)), pa.array(cell)], names=["fp", "root", "size", "words", "turn", "cell"])
-
-    return prints.select("node", "root", "size", "words").mapInArrow(run, "fp long, root long, size long, words array<long>, turn int, cell long")
+                    yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("words"), pa.array(np.full(len(batch), turn, np.int32)), pa.array(cell)], names=["fp", "words", "turn", "cell"])
 
+    return prints.select("node", "words").mapInArrow(run, "fp long, words array<long>, turn int, cell long")
 
-def _nearest(i: np.ndarray, j: np.ndarray, far: np.ndarray, size: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the pairs (i, j) those that are among the k nearest of an end whose group is not the
-    larger one: a large group is found by the small ones beside it."""
-    asks = np.concatenate([size[i] <= size[j], size[j] <= size[i]])
-    who, pair = np.concatenate([i, j])[asks], np.tile(np.arange(len(i)), 2)[asks]
-    order = np.lexsort([pair, far[pair], who])
-    place = np.arange(len(who)) - np.searchsorted(who[order], who[order])
-    keep = np.unique(pair[order][place < k])
-    return i[keep], j[keep], far[keep]
 
-
-def proposals(prints: DataFrame, bits: int, turns: list[int], k: int, cell: int = CELL) -> DataFrame:
-    """Distinct pairs (u, v), u < v, of texts of unlike groups: of each text the k nearest
-    of its cells in these rotations, by fingerprint and within WIDE_BUDGET bits."""
-    lead = draws(max(turns) + 1)
+def meetings(prints: DataFrame, bits: int, turns: int, cell: int = CELL) -> DataFrame:
+    """A spanning forest (u, v) in each task of all texts that meet in a cell within
+    WIDE_BUDGET bits; none is left out for others that are nearer."""
+    lead = draws(turns)
 
     @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (table := _read(batches)) is None:
             return
-        col = {c: table.column(c).to_numpy() for c in ("fp", "root", "size", "turn", "cell", "i", "j", "is_i")}
+        col = {c: table.column(c).to_numpy() for c in ("fp", "turn", "cell", "i", "j", "is_i")}
         words = table.column("words").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(table), WIDE // 64)
         key = np.zeros(len(words), np.uint64)
         for turn in np.unique(col["turn"]).tolist():
             for at in np.array_split(rows := np.flatnonzero(col["turn"] == turn), len(rows) // 65_536 + 1):
                 key[at] = _lead(np.unpackbits(words[at].view(np.uint8), axis=1), lead[turn])
-        held = [np.zeros(0, np.int64)] * 3
+        node, place = np.unique(col["fp"], return_inverse=True)
+        label = np.arange(len(node))
         for i, j in _join_cells(col, key, KEY_BUDGET):
-            apart = col["root"][i] != col["root"][j]
+            apart = label[place[i]] != label[place[j]]
             i, j = i[apart], j[apart]
             far = np.zeros(len(i), np.int64)
             for w in range(WIDE // 64):
                 far += np.bitwise_count(words[i, w] ^ words[j, w])
             near = far <= WIDE_BUDGET
-            held = [np.concatenate(x) for x in zip(held, (i[near], j[near], far[near]))]
-            if len(held[0]) > CHUNK:
-                held = list(_nearest(*held, col["size"], k))
-        i, j, _ = _nearest(*held, col["size"], k)
-        u, v = np.minimum(col["fp"][i], col["fp"][j]), np.maximum(col["fp"][i], col["fp"][j])
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            label = unite(label, place[i[near]], place[j[near]])
+        u = np.flatnonzero(label != np.arange(len(node)))
+        yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[label[u]])], names=["u", "v"])
 
     spread = _split_cells(_wide_cells(prints, bits, turns), cell)
-    parts = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), prints.count() * len(turns) // TASK_ROWS + 1)
+    parts = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), prints.count() * turns // TASK_ROWS + 1)
     return spread.repartition(parts, "turn", "cell", "i", "j").mapInArrow(run, "u long, v long").distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, similar: float = SIMILAR, text_col: str = "text") -> DataFrame:
-    """Of the pairs (u, v) of nodes those whose whole texts' shingle sets are similar."""
+def _sets(docs: DataFrame, zones: DataFrame, text_col: str) -> DataFrame:
+    """node, zone, n and held: the shingle set of every text of a zone, once. A text without
+    words has a member that stands for that."""
 
     @lean
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x.as_py()).tobytes() for x in batch.column(1)], pa.binary())], names=["node", "held"])
-
-    @lean
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [similarity(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)) >= similar for a, b in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
+            made = [s if len(s) else np.zeros(1, np.uint64) for s in (shingles(x.as_py()) for x in batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], names=["node", "zone", "n", "held"])
 
-    asked = pairs.select(F.col("u").alias("node")).distinct().union(pairs.select("v").distinct()).distinct()
-    texts = docs.select(node(text_col).alias("node"), text_of(text_col).alias("text")).join(asked, "node", "left_semi").dropDuplicates(["node"])
-    held = checkpoint(texts.mapInArrow(sets, "node long, held binary"))
-    left, right = held.select(F.col("node").alias("u"), F.col("held").alias("a")), held.select(F.col("node").alias("v"), F.col("held").alias("b"))
-    return checkpoint(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long"))
+    texts = docs.select(node(text_col).alias("node"), text_of(text_col).alias("text")).join(zones, "node").dropDuplicates(["node"])
+    return texts.select("node", "zone", "text").mapInArrow(run, "node long, zone long, n long, held binary")
 
 
 def near_copies(docs: DataFrame, similar: float = SIMILAR, cell: int = CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, node (hash of the text) and component_id, the smallest id reachable through
     texts whose five-word shingle sets are similar.
 
-    The first round proposes each text's nearest of every cell, the next ones its NEXT nearest
-    in a third of the rotations in turn, only between groups and only for texts that have a
-    neighbour at all.
+    Texts that meet in cells make zones, and within a zone all whole sets are compared.
     """
+    from grafwerk.llm import minhash
+
     prints = checkpoint(wide_fingerprints(docs, text_col))
-    bits, turns = rotations(prints.count(), similar)
-    pool = prints.withColumn("root", F.col("node")).withColumn("size", F.lit(1).cast("long"))
-    tried = edges = roots = met = None
-    for turn in itertools.count():
-        found = proposals(pool, bits, list(range(turns) if not turn else range(turn % 3, turns, 3)), NEXT if turn else 1, cell)
-        found = checkpoint(found if tried is None else found.join(tried, ["u", "v"], "left_anti"))
-        if found.isEmpty():
-            break
-        near = confirmed(found, docs, similar, text_col)
-        if near.isEmpty():
-            break
-        tried = found if tried is None else tried.unionByName(found)
-        edges = near if edges is None else edges.unionByName(near)
-        roots = components(edges)
-        roots = checkpoint(roots.union(roots.select("root", "root").distinct()))
-        if not turn:  # texts without a neighbour in any cell have none later
-            met = checkpoint(prints.join(found.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi"))
-        pool = met.join(roots, "node", "left").select("node", "words", F.coalesce("root", "node").alias("root"))
-        large = roots.groupBy("root").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "root").limit(HEAVY)
-        pool = pool.join(F.broadcast(large), "root", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    zones = components(meetings(prints, *rotations(prints.count(), similar), cell))
+    zones = zones.union(zones.select("root", "root").distinct()).toDF("node", "zone")
+    least = Fraction(str(similar))
+    roots = components(minhash.links(checkpoint(_sets(docs, zones, text_col)), 100 * least.numerator, 100 * least.denominator))
+    roots = checkpoint(roots.union(roots.select("root", "root").distinct()))
     named = docs.select(id_col, node(text_col).alias("node"))
-    if roots is None:
-        roots = docs.sparkSession.createDataFrame([], "node long, root long")
     firsts = named.groupBy("node").agg(F.min(id_col).alias("first"), F.count("*").alias("n")).join(roots, "node", "left").select("node", "first", "n", "root")
     alone, linked = firsts.where("root is null").select("node", "first", "n"), firsts.where("root is not null")
     # the members of a large group look up its name, and copies that of their text, in many places

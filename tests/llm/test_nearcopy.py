@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from grafwerk.llm import simhash
 
 
 def jaccard(a, b):
@@ -54,3 +55,35 @@ def test_repeated_ids(spark):
         got = sorted((r["doc_id"], r["text"]) for r in dict(corpus_pipeline.STAGES)["near copies"](spark, docs.repartition(n), "").collect())
         seen.add(tuple(got))
     assert len(seen) == 1 and [i for i, _ in got] == [1, 2, 3] and got[:2] == [(1, a), (2, b)]
+
+
+def test_a_pair_behind_many_nearer_texts(spark):
+    """Both ends of a pair at 0.8 have sixty texts beside them just below 0.8, of which some
+    are nearer by fingerprint."""
+    rng = random.Random(11)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    one = new(400)
+    two = one[:180] + new(40) + one[220:]
+    beside = [x[:at] + new(42) + x[at + 42 :] for x in (one, two) for at in rng.sample(range(5, 350), 60)]
+    texts = [" ".join(x) for x in (one, two, *beside)]
+    sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (one, two, *beside)]
+    near = [[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets]
+    root = list(range(len(texts)))
+    for _ in range(10):
+        root = [min(root[j] for j in range(len(texts)) if near[i][j]) for i in range(len(texts))]
+    assert near[0][1] and not any(near[k][j] for k in (0, 1) for j in range(2, len(texts)) if sum(near[j]) == 1)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
+    assert found == dict(enumerate(root))
+
+
+def test_near_copies_at_another_similarity(spark):
+    """Sizes that differ by more than a class of 0.8 are compared, too."""
+    rng = random.Random(12)
+    one = [f"w{rng.randrange(10**9)}" for _ in range(400)]
+    texts = [" ".join(one), " ".join(one[:370]), " ".join(one[:330]), "", " ", "\n"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert jaccard(texts[0], texts[1]) >= 0.9 > jaccard(texts[1], texts[2]) > 0.85
+    for similar, of_two in ((0.9, 2), (0.85, 0)):
+        found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs, similar).collect()}
+        assert found == {0: 0, 1: 0, 2: of_two, 3: 3, 4: 3, 5: 3}
