@@ -40,3 +40,20 @@ def test_a_session_that_broadcasts_less_is_left_as_it_is(spark, thresholds):
         store.measured_joins(spark)
         assert spark.conf.get(thresholds[0]) == value
         assert spark.conf.get(thresholds[1], None) is None
+
+
+def test_questions_of_files_and_symbols_resolve_no_edges(spark, sf, tmp_path, monkeypatch):
+    from grafwerk import catalog
+
+    for name in ("nation", "supplier", "part", "lineitem"):
+        os.symlink(f"{sf}/{name}.parquet", tmp_path / f"{name}.parquet")
+    cut, checkpoint = [], store.checkpoint
+    monkeypatch.setattr(store, "checkpoint", lambda df: cut.append(df.columns) or checkpoint(df))
+    for name in ("a15_facts", "g5_test_symbols", "l1_search_symbols"):
+        assert not catalog.queries()[name](spark, str(tmp_path)).isEmpty()
+    assert not cut
+    graph = store.build(spark, str(tmp_path))
+    assert graph.edges is store.build(spark, str(tmp_path)).edges
+    assert len(cut) == 2 and "target_id" in cut[1]
+    assert graph.with_edges(graph.edges.limit(3)).edges.count() == 3
+    assert graph.edges.count() == graph.raw_edges.count() == graph.derived.raw_edges.count()
