@@ -11,7 +11,12 @@ one checkpoint. Its state has, for a slice of a nation's items,
 An item changes its set only when its revenue crosses a power of two. After each arrival day
 the highest occupied bands are scanned until ``TOP`` items are collected: all items of a band
 are above all of the bands below, so that the rest of the ladder is never looked at. Sets and
-revenues are packed, so that a state call moves a band or a chunk and not one item.
+revenues are packed, and a slice is bounded, so its state is one short row.
+
+A store is opened for every partition at each of the starts. Spark's RocksDB stores don't free
+all of their native memory when they are closed (statistics, half a megabyte a store on eight
+cores), so that many partitions filled the executors; the state is therefore kept in the stores
+that hold a partition's rows on the heap, only while its task runs.
 
 Lines are summed up by item and day in every task before they are shuffled, so a hot item is a
 row a task and day. A nation with more than ``SLICE_ROWS`` lines is dealt over as many slices
@@ -40,25 +45,23 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from grafwerk.llm.shared import checkpoint, lean, remove, shared_dir
 
 TOP, LATENESS = 10, 8
 FIRST_DAY, BATCHES, DAYS = 19723, 12, 180
-#: Lines of a slice over the whole input; chunks of a slice's revenues; rows held in a task
-#: before they are summed up.
-SLICE_ROWS, CHUNKS, HELD = 50_000, 8, 1 << 18
+#: Lines of a slice over the whole input; rows held in a task before they are summed up.
+SLICE_ROWS, HELD = 50_000, 1 << 18
 LARGEST = 1e13
 FED = "nation_id int, slice int, item_id long, shipped_day long, arrival_day long, cents long, batch int"
 LISTS = "nation_id int, slice int, day long, until long, item_id long, revenue long, listed boolean"
+STATE = "revenues binary, bands map<int, binary>"
 FEED = "nation_id int, arrival_day long, item_id long, change string, old_rank int, new_rank int, revenue long, batch int"
 STATE_CONF = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    # stores of a start that has ended would stay open on the executors, with room set aside on disk
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider",
+    # stores of a start that has ended would stay on the executors
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
-    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 POWERS = np.left_shift(np.int64(1), np.arange(63, dtype=np.int64))
 
@@ -68,25 +71,21 @@ def band_of(revenue: np.ndarray) -> np.ndarray:
     return np.searchsorted(POWERS, revenue, "right")
 
 
-class Ladder(StatefulProcessor):
+class Ladder:
     """For each day of a slice its list of ``top`` items and the items that fell from it."""
 
     def __init__(self, top: int = TOP):
         self.top = top
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.revenues = handle.getMapState("revenues", "chunk int", "packed binary")
-        self.bands = handle.getMapState("bands", "band int", "items binary")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def __call__(self, key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows)).groupby(["day", "item_id"], sort=True)["cents"].sum()
         day, touched, delta = new.index.get_level_values(0).to_numpy(), new.index.get_level_values(1).to_numpy(), new.to_numpy()
-        item, revenue = self._revenues()
+        packed, bands = state.get if state.exists else (b"", {})
+        item, revenue = np.frombuffer(packed, np.int64).reshape(2, -1)
         every = np.union1d(item, touched)
         held = np.zeros(len(every), np.int64)
         held[np.searchsorted(every, item)] = revenue
-        band = {k[0]: np.frombuffer(v[0], np.int64) for k, v in self.bands.iterator()}
-        before = {k: v for k, v in band.items()}
+        band = {k: np.frombuffer(v, np.int64) for k, v in bands.items()}
         days, starts = np.unique(day, return_index=True)
         ends = [*starts[1:].tolist(), len(day)]
         shown, out = self._highest(every, held, band), []
@@ -106,7 +105,7 @@ class Ladder(StatefulProcessor):
             until = int(days[k + 1]) if k + 1 < len(days) else None
             out.append((int(days[k]), until, rows_of, held[np.searchsorted(every, rows_of)], len(listed)))
             shown = listed
-        self._keep(every, held, touched, before, band)
+        state.update((np.stack([every, held]).tobytes(), {k: v.tobytes() for k, v in band.items() if len(v)}))
         count = [len(x[2]) for x in out]
         made = {"nation_id": np.full(sum(count), key[0], np.int32), "slice": np.full(sum(count), key[1], np.int32), "day": np.repeat([x[0] for x in out], count)}
         made["until"] = pd.array(np.repeat(np.array([x[1] for x in out], object), count), "Int64")
@@ -124,25 +123,6 @@ class Ladder(StatefulProcessor):
         found = np.concatenate([np.zeros(0, np.int64), *got])
         return found[np.lexsort([found, -held[np.searchsorted(every, found)]])[: self.top]]
 
-    def _revenues(self) -> tuple[np.ndarray, np.ndarray]:
-        chunks = [np.frombuffer(v[0], np.int64).reshape(2, -1) for _, v in self.revenues.iterator()]
-        both = np.concatenate([np.zeros((2, 0), np.int64), *chunks], axis=1)
-        return both[0], both[1]
-
-    def _keep(self, every: np.ndarray, held: np.ndarray, touched: np.ndarray, before: dict, band: dict) -> None:
-        chunk = every % CHUNKS
-        for c in np.unique(touched % CHUNKS).tolist():
-            self.revenues.updateValue((c,), (np.stack([every[chunk == c], held[chunk == c]]).tobytes(),))
-        for k, items in band.items():
-            if before.get(k) is not items:
-                if len(items):
-                    self.bands.updateValue((k,), (items.tobytes(),))
-                elif k in before:
-                    self.bands.removeKey((k,))
-
-    def close(self) -> None:
-        pass
-
 
 def summed(lines: DataFrame) -> DataFrame:
     """nation_id, slice, day, item_id, cents: sums of each task, which hold few rows at a time."""
@@ -237,7 +217,7 @@ def change_feed(lines: DataFrame, top: int = TOP, lateness: int = LATENESS) -> D
             _mkdirs(spark, f"{folder}/fed")
             _move(spark, f"{folder}/cut/batch={b}", f"{folder}/fed/batch={b}")
             fed = spark.readStream.schema(FED).parquet(f"{folder}/fed").where(~late & F.col("nation_id").isNotNull() & F.col("item_id").isNotNull())
-            lists = summed(fed).groupBy("nation_id", "slice").transformWithStateInPandas(Ladder(top), LISTS, "Append", "None")
+            lists = summed(fed).groupBy("nation_id", "slice").applyInPandasWithState(Ladder(top), LISTS, STATE, "append", GroupStateTimeout.NoTimeout)
             query = lists.writeStream.foreachBatch(lambda x, n, b=b: merge(x, n, b)).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
             query.awaitTermination()
     finally:

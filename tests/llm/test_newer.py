@@ -1,6 +1,7 @@
 """MinHash near copies, the leaderboard feed and whitening against brute force."""
 
 import math
+import os
 import random
 import zlib
 from datetime import datetime, timedelta
@@ -171,6 +172,19 @@ def test_leaderboard_without_rows(spark):
     assert feed.count() == 0 and feed.columns == [c.split()[0] for c in leaderboard.FEED.split(", ")]
 
 
+def test_leaderboard_opens_no_native_stores(spark, monkeypatch):
+    """Stores outside the heap keep memory when they are closed, one a partition and start."""
+    prepare(spark)
+    kept = []
+    monkeypatch.setattr(leaderboard, "remove", lambda spark, folder: kept.append(folder))
+    rows = [(1, 0, i % 3, leaderboard.FIRST_DAY + b, leaderboard.FIRST_DAY + b, 100 + i, b) for b in (1, 2) for i in range(6)]
+    assert leaderboard.change_feed(spark.createDataFrame(rows, leaderboard.FED)).count() == 3
+    state = [f for f in kept if f.endswith("/state")]
+    files = [name for f in state for _, _, names in os.walk(f"{f.removeprefix('file:')}/state") for name in names if not name.startswith(".")]
+    assert any(name.endswith(".delta") for name in files)
+    assert not [name for name in files if name.endswith((".zip", ".changelog"))]
+
+
 def test_bands():
     assert leaderboard.band_of(np.array([-5, 0, 1, 2, 3, 4, 2**40 - 1, 2**40, 2**62])).tolist() == [0, 0, 1, 2, 2, 3, 40, 41, 63]
 
