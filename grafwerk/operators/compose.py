@@ -126,15 +126,17 @@ def recall(records: DataFrame, question: str, limit: int = 20, threshold: float
     title, body, is_latest and may have a description."""
     held = records.where("is_latest")
     fields = [c for c in ("title", "description", "body") if c in records.columns]
-    phrase = lexical.occurrence_search(held, question, fields, limit).select("id", F.lit("phrase").alias("via"), F.col("score").cast("double").alias("score"))
-    few = phrase.agg(F.count("*").alias("n")).where("n <= 2").select("n")
+    phrase = checkpoint(lexical.occurrence_search(held, question, fields, limit).select("id", F.lit("phrase").alias("via"), F.col("score").cast("double").alias("score")))
+    found = phrase.count()
+    if found > 2:  # the texts are not searched for words, nor hashed, where that isn't asked for
+        return phrase
     words = question_words(records.sparkSession, question)
-    wide = lexical.by_words(held, words, fields).join(phrase, "id", "left_anti").crossJoin(F.broadcast(few)).select("id", F.lit("words").alias("via"), F.col("score").cast("double").alias("score"))
-    lexically = phrase.unionByName(wide)
-    none = lexically.limit(1).agg(F.count("*").alias("n")).where("n = 0")
+    wide = lexical.by_words(held, words, fields).join(phrase, "id", "left_anti").select("id", F.lit("words").alias("via"), F.col("score").cast("double").alias("score"))
+    if found or not wide.isEmpty():
+        return phrase.unionByName(wide)
     text = F.lower(F.concat_ws(" ", *fields))
     near = HashRetriever(held.withColumn("t", text), F.col("t"), threshold).retrieve(question, limit)
-    return lexically.unionByName(near.crossJoin(F.broadcast(none)).select("id", F.lit("near").alias("via"), "score"))
+    return near.select("id", F.lit("near").alias("via"), "score")
 
 
 #: What a word counts in each field of a knowledge document; least cosine.

@@ -162,3 +162,19 @@ def test_file_context_and_lone_repo(spark):
     assert got == {("compass", 1), ("wiki", 2), ("memory", 3)} and guides.file_context(recs, "").count() == 1
     repos = table(spark, [("only",)], "name string")
     assert guides.inferred_repo(table(spark, [("a/b.py",)], "path string"), repos).first()["repo"] == "only"
+
+
+def test_recall_hashes_no_texts_once_words_answer(spark, monkeypatch):
+    """Whole texts are hashed only where neither the phrase nor a word of it is found."""
+    from grafwerk.operators import compose
+
+    def unwanted(*_):
+        raise AssertionError("texts are hashed")
+
+    rows = spark.createDataFrame([(i, f"note {i}", "a red fox ran" if i < 5 else "an owl slept", True) for i in range(9)], "id long, title string, body string, is_latest boolean")
+    with monkeypatch.context() as m:
+        m.setattr(compose, "HashRetriever", unwanted)
+        assert sorted(tuple(r) for r in compose.recall(rows, "red fox").collect()) == [(i, "phrase", 1.0) for i in range(5)]
+        assert sorted(tuple(r) for r in compose.recall(rows, "owl fox").collect()) == [(i, "words", 1.0) for i in range(9)]
+    assert {r["via"] for r in compose.recall(rows, "qqq ran!").collect()} == {"words"}
+    assert compose.recall(rows, "zzzq").count() == 0
