@@ -626,8 +626,8 @@ def _(documents):
 
 @on_tables("v15_hash_search", "documents", HASHED + ", e AS (SELECT s.id, s.i, x / n AS x FROM s JOIN n ON n.id = s.id WHERE n > 0) SELECT a.id, round(sum(a.x * b.x), 6) AS score FROM e a JOIN e b ON b.i = a.i AND b.id = 0 GROUP BY 1")
 def _(documents):
-    e = vector.hash_embed(documents, "doc_id", F.col("text"))
-    return vector.sparse_cosine(e, e.where("id = 0")).withColumn("score", F.round("score", 6))
+    embedded = lambda rows: vector.hash_embed(rows, "doc_id", F.col("text"))
+    return vector.sparse_cosine(embedded(documents), embedded(documents.where("doc_id = 0"))).withColumn("score", F.round("score", 6))
 
 
 @on_graph("v10_chunks", " SELECT id, left(kind || ' ' || qualified_name || chr(10) || docstring, 2048) AS chunk FROM symbols", False)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from hashlib import sha256
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,16 +57,45 @@ def hash_embed(rows: DataFrame, id_col: str, text: Column, dim: int = 256) -> Da
     Each distinct word's SHA-256 gives the component, the sign and the size it adds.
     """
     words = F.array_distinct(F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != ""))
-    # four bytes of the digest, the least first: one number with its bytes turned round
-    big = lambda i: F.conv(F.substr("h", F.lit(2 * i + 1), F.lit(8)), 16, 10).cast("long")
-    turned = lambda v: F.shiftleft(v.bitwiseAND(0xFF), 24) + F.shiftleft(v.bitwiseAND(0xFF00), 8) + F.shiftright(v, 8).bitwiseAND(0xFF00) + F.shiftright(v, 24)
-    word32 = lambda i: turned(big(i))
-    hashed = rows.select(F.col(id_col).alias("id"), F.explode(words).alias("w")).select("id", F.sha2("w", 256).alias("h"))
-    odd = F.substr("h", F.lit(10), F.lit(1)).isin(*"13579bdf")  # the fifth byte
-    parts = hashed.select("id", (word32(0) % dim).cast("int").alias("i"), (F.when(odd, 1.0).otherwise(-1.0) * (0.5 + (word32(5) % 1000) / 1000)).alias("x"))
-    sums = parts.groupBy("id", "i").agg(F.sum("x").alias("x"))
-    size = sums.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
-    return sums.join(size, "id").where("n > 0").select("id", "i", (F.col("x") / F.col("n")).alias("x"))
+    asked = rows.select(F.col(id_col).alias("id"), words.alias("words")).where("id is not null and size(words) > 0")
+    kind = asked.schema["id"].dataType.simpleString()
+    held = asked.mapInArrow(lambda batches: _hashed(batches, dim), f"id {kind}, i array<int>, x array<double>")
+    # an id has one row as a rule; several are united here, by component
+    united = held.groupBy("id").agg(F.collect_list(F.arrays_zip("i", "x")).alias("rows"))
+    flat = F.flatten("rows")
+    summed = F.transform(F.array_distinct(flat["i"]), lambda i: F.struct(i.alias("i"), F.aggregate(F.filter(flat, lambda p: p["i"] == i), F.lit(0.0), lambda s, p: s + p["x"]).alias("x")))
+    whole = united.select("id", F.when(F.size("rows") == 1, F.col("rows")[0]).otherwise(summed).alias("parts"))
+    sized = whole.select("id", "parts", F.sqrt(F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["x"] * p["x"])).alias("n")).where("n > 0")
+    return sized.select("id", "n", F.inline("parts")).select("id", "i", (F.col("x") / F.col("n")).alias("x"))
+
+
+#: Words whose digests a task keeps; rows that leave it at once.
+KEPT_WORDS, HASHED_ROWS = 1 << 17, 1024
+
+
+def _hashed(batches: Iterable[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
+    """id, i, x: of each row's distinct words the sums by component."""
+    kept: dict[str, tuple[int, float]] = {}
+
+    def place(word: str) -> tuple[int, float]:
+        if (found := kept.get(word)) is None:
+            h = sha256(word.encode()).digest()
+            found = int.from_bytes(h[:4], "little") % dim, (1.0 if h[4] & 1 else -1.0) * (0.5 + int.from_bytes(h[5:9], "little") % 1000 / 1000)
+            if len(kept) >= KEPT_WORDS:
+                kept.clear()
+            kept[word] = found
+        return found
+
+    for whole in batches:
+        for at in range(0, whole.num_rows, HASHED_ROWS):
+            batch, sums = whole.slice(at, HASHED_ROWS), []
+            for words in batch.column(1):
+                row: dict[int, float] = {}
+                for word in words.values.to_pylist():
+                    i, x = place(word)
+                    row[i] = row.get(i, 0.0) + x
+                sums.append(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(r) for r in sums], pa.list_(pa.int32())), pa.array([list(r.values()) for r in sums], pa.list_(pa.float64()))], ["id", "i", "x"])
 
 
 def sparse_cosine(embedded: DataFrame, query: DataFrame) -> DataFrame:
