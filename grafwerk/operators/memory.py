@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grafwerk.operators import sequences, similar, vector
+from grafwerk.plans.store import checkpoint
 
 #: Weights of the signals, days until freshness halves, tier and archive limits.
 WEIGHTS = {"graph": 0.25, "refs": 0.20, "confidence": 0.15, "critic": 0.20, "freshness": 0.05, "reinforcement": 0.05, "authority": 0.10}
@@ -100,11 +101,18 @@ def superseded(new: DataFrame, held: DataFrame, threshold: float = SIMILAR, rang
     latest = held.where("is_latest")
     events = titled(latest, 1).unionByName(titled(new, 0)).where("k <> ''")
     before = sequences.running(events, ["type", "k"], ["id", "ask"], F.when(F.col("ask") == 1, F.col("id")), "old_id", F.max, range_rows=range_rows)
-    by_title = before.where("ask = 0 and old_id is not null").groupBy(F.col("id").alias("new_id")).agg(F.max("old_id").alias("old_id"))
-    rest = new.join(by_title.select(F.col("new_id").alias("id")), "id", "left_anti")
+    by_title = checkpoint(before.where("ask = 0 and old_id is not null").groupBy(F.col("id").alias("new_id")).agg(F.max("old_id").alias("old_id")))
     text = lambda df, *cols: F.concat_ws(" ", *(F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit("")) for c in cols if c in df.columns))
-    embed = lambda df, t: vector.hash_embed(df.select("id", t.alias("t")), "id", F.col("t")).join(df.select("id", F.col("type").alias("block")), "id")
-    near = similar.best_match(embed(rest, text(rest, "title", "body")), embed(latest, text(latest, "title", "description", "body")), threshold)
+    of = lambda df: text(df, "title", "description", "body")
+    untitled = lambda df: df.join(by_title.select(F.col("new_id").alias("id")), "id", "left_anti")
+    if any(not df.groupBy("id").count().where("id is not null and count > 1").isEmpty() for df in ([new] if new is held else [new, held])):
+        embed = lambda df, t: vector.hash_embed(df.select("id", t.alias("t")), "id", F.col("t")).join(df.select("id", F.col("type").alias("block")), "id")
+        near = similar.best_match(embed(untitled(new), text(new, "title", "body")), embed(latest, of(latest)), threshold)
+    else:
+        packed = lambda df, t: checkpoint(vector.hash_packed(df.select("id", F.col("type").alias("block"), "is_latest", t.alias("t")), "id", F.col("t"), ["block", "is_latest"]))
+        old = packed(held if new is held else latest, of(held))
+        asking = old if new is held and "description" not in new.columns else packed(new, text(new, "title", "body"))
+        near = similar.nearest(untitled(asking), old.where("is_latest"), threshold, 256)
     by_text = near.select(F.col("id").alias("new_id"), F.col("other").alias("old_id"))
     return by_title.withColumn("via", F.lit("title")).unionByName(by_text.withColumn("via", F.lit("text")))
 

@@ -73,6 +73,35 @@ def hash_embed(rows: DataFrame, id_col: str, text: Column, dim: int = 256) -> Da
 KEPT_WORDS, HASHED_ROWS = 1 << 17, 1024
 
 
+def hash_packed(rows: DataFrame, id_col: str, text: Column, keep: list[str], dim: int = 256) -> DataFrame:
+    """id, the columns of ``keep``, v: ``hash_embed`` of rows whose ids differ, as ``dim`` whole
+    numbers (thousandths) of 2 or 4 bytes that are the vector but for its length."""
+    words = F.array_distinct(F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != ""))
+    asked = rows.select(F.col(id_col).alias("id"), *keep, words.alias("words")).where("id is not null and size(words) > 0")
+    names = ["id", *keep]
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, tuple[int, int]] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, HASHED_ROWS):
+                batch, packed = whole.slice(at, HASHED_ROWS), []
+                for own in batch.column(len(names)):
+                    sums = [0] * dim
+                    for word in own.values.to_pylist():
+                        if (place := kept.get(word)) is None:
+                            h = sha256(word.encode()).digest()
+                            if len(kept) >= KEPT_WORDS:
+                                kept.clear()
+                            place = kept[word] = int.from_bytes(h[:4], "little") % dim, (1 if h[4] & 1 else -1) * (500 + int.from_bytes(h[5:9], "little") % 1000)
+                        sums[place[0]] += place[1]
+                    packed.append(np.array(sums, "<i2" if max(map(abs, sums)) < 1 << 15 else "<i4").tobytes() if any(sums) else None)
+                out = pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(packed, pa.binary())], names=[*names, "v"])
+                yield out.filter(out.column(len(names)).is_valid())
+
+    kinds = ", ".join(f"{c} {asked.schema[c].dataType.simpleString()}" for c in names)
+    return asked.mapInArrow(pack, f"{kinds}, v binary")
+
+
 def _hashed(batches: Iterable[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
     """id, i, x: of each row's distinct words the sums by component."""
     kept: dict[str, tuple[int, float]] = {}

@@ -1,11 +1,13 @@
 """What cut tables and exchanges leave on disk."""
 
 import os
+import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from grafwerk import catalog
-from grafwerk.operators import incremental, resolve
+from grafwerk.operators import incremental, memory, resolve, similar, vector
 from grafwerk.plans import store
 from grafwerk.sources.views import from_tables
 
@@ -71,3 +73,26 @@ def test_files_written_again_in_slices_leave_the_graph_as_it_was(spark, sf, monk
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     assert edges.join(sources, "source_id", "left_anti").isEmpty()
     assert not catalog.queries()["i4_catch_up"](spark, sf).isEmpty()
+
+
+def test_long_texts_are_cut_off_once_each(spark):
+    """A text of 300 words fills most of its 256 components; its vector is one packed row."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(5000)}"
+    texts = [" ".join(word() for _ in range(300)) for _ in range(120)]
+    texts += [" ".join(w if rng.random() < 0.95 else word() for w in t.split()) for t in texts] + texts[:3]
+    rows = [(k, "ab"[k % 3 == 0], f"title {k}", t, True) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, type string, title string, body string, is_latest boolean")
+    before = _bytes(_folder(spark))
+    got = {(r["new_id"], r["old_id"], r["via"]) for r in memory.superseded(df, df).collect()}
+    assert _bytes(_folder(spark)) - before < len(rows) * 2000
+    x = np.zeros((len(rows), 256))
+    for r in vector.hash_embed(df, "id", F.concat_ws(" ", "title", "body")).collect():
+        x[r["id"], r["i"]] = r["x"]
+    want = set()
+    for k, row in enumerate(rows):
+        near = [(-round(float(x[k] @ x[j]), 12), j) for j in range(k) if rows[j][1] == row[1] and x[k] @ x[j] >= 0.85]
+        want |= {(k, min(near)[1], "text")} if near else set()
+    assert got == want and len(want) > 60
+    packed = vector.hash_packed(df.select("id", F.col("type").alias("block"), F.concat_ws(" ", "title", "body").alias("t")), "id", F.col("t"), ["block"])
+    assert {(r["id"], r["other"], "text") for r in similar.nearest(packed, packed, 0.85, 256, 9).collect()} == want
