@@ -4,10 +4,11 @@ import os
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from grafwerk import catalog
-from grafwerk.operators import incremental, memory, resolve, similar, vector
+from grafwerk.operators import components, incremental, memory, resolve, similar, vector
 from grafwerk.plans import store
 from grafwerk.sources.views import from_tables
 
@@ -96,3 +97,39 @@ def test_long_texts_are_cut_off_once_each(spark):
     assert got == want and len(want) > 60
     packed = vector.hash_packed(df.select("id", F.col("type").alias("block"), F.concat_ws(" ", "title", "body").alias("t")), "id", F.col("t"), ["block"])
     assert {(r["id"], r["other"], "text") for r in similar.nearest(packed, packed, 0.85, 256, 9).collect()} == want
+
+
+@pytest.mark.parametrize("local", [4, 30, 10**6])
+def test_components_and_labels_whatever_a_task_takes(spark, monkeypatch, local):
+    """Rings that lie in one block, span several, and are found in rounds."""
+    monkeypatch.setattr(components, "LOCAL", local)
+    rng = random.Random(local)
+    edges = [(i, i + 1) for i in range(60)] + [(3 * k + 2, 3 * k) for k in range(12)] + [(45, 30), (60, 50), (70, 71), (71, 70), (5, 5), (80, 0)] + [(rng.randrange(60, 90), rng.randrange(60, 90)) for _ in range(12)]
+    follows = {i: {b for a, b in edges if a == i} for i in range(91)}
+    reach = {}
+    for i in follows:
+        seen, open_ = set(), list(follows[i])
+        while open_:
+            if (x := open_.pop()) not in seen:
+                seen.add(x)
+                open_ += follows[x]
+        reach[i] = seen
+    nodes, arcs = spark.range(91).withColumnRenamed("id", "node"), spark.createDataFrame(edges, "from_id long, to_id long")
+    got = {r["node"]: r["component"] for r in components.strong_components(nodes, arcs).collect()}
+    assert got == {i: min([i, *(j for j in reach[i] if i in reach[j])]) for i in follows}
+    if local > 4:
+        index = components.reach_index(nodes, arcs)
+        assert {(r["seed"], r["node"]) for r in components.reached_from(index, nodes).collect()} == {(i, j) for i in reach for j in reach[i]}
+
+
+def test_a_path_of_any_length_takes_few_jobs(spark):
+    """Rounds that follow the path would take a thousand."""
+    group = "components of a long ring"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        ring = spark.range(2000).select(F.col("id").alias("from_id"), ((F.col("id") + 1) % 2000).alias("to_id"))
+        got = components.strong_components(spark.range(2001).withColumnRenamed("id", "node"), ring).groupBy("component").count().collect()
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    assert {tuple(r) for r in got} == {(0, 2000), (2000, 1)}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) < 40
