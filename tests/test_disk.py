@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grafwerk import catalog
-from grafwerk.operators import components, incremental, memory, resolve, similar, vector
+from grafwerk.operators import components, incremental, memory, resolve, similar, traverse, vector
 from grafwerk.plans import store
 from grafwerk.sources.views import from_tables
 
@@ -133,3 +133,18 @@ def test_a_path_of_any_length_takes_few_jobs(spark):
         spark.sparkContext.setJobGroup("", "")
     assert {tuple(r) for r in got} == {(0, 2000), (2000, 1)}
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) < 40
+
+
+def test_closure_and_dataflow_in_slices_are_those_of_one_plan(spark, sf, monkeypatch):
+    g = store.build(spark, sf)
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    hop = traverse.hops(g.edges, g.symbols)
+    one, index = rows(traverse.closure_of(hop)), rows(traverse.dataflow_index(g))
+    cut, checkpoint = [], traverse.checkpoint
+    monkeypatch.setattr(traverse, "checkpoint", lambda df, **kw: cut.append(df.columns) or checkpoint(df, **kw))
+    monkeypatch.setattr(traverse, "HOPS", hop.count() // 3)
+    assert rows(traverse.closure_of(hop)) == one != []
+    assert len(cut) in (6, 8) and all("target_name" in c for c in cut)
+    monkeypatch.setattr(traverse, "SEEDS", 50)
+    monkeypatch.setattr(traverse, "SMALL", 3)
+    assert rows(traverse.dataflow_index(g)) == index != []
